@@ -18,7 +18,7 @@ from shelfmark.operators.rules import (
 )
 
 ELEMENT = (
-    "struct<pos:int,stop:int,tag:string,path:string,fields:array<string>,"
+    "struct<pos:int,stop:int,tag:string,path:string,fields:array<string>,hits:array<int>,"
     "attrs:map<string,string>,texts:array<string>,html:string>"
 )
 ERROR_TAG = "!error"
@@ -39,10 +39,23 @@ KEPT_ATTRIBUTES = {
 }
 
 
+def rule_ids(field: str, selectors: dict = SELECTORS) -> tuple:
+    """(first, last) number of a field's rules, counted over all fields in their order."""
+    before = 0
+    for name, listed in selectors.items():
+        if name == field:
+            return before, before + len(listed) - 1
+        before += len(listed)
+    raise KeyError(field)
+
+
 class _Vocabulary:
-    """The tokens the rules look at, and the fields a token may lead to."""
+    """The tokens the rules look at, the fields a token may lead to, and the rules themselves."""
 
-    def __init__(self, selectors):
+    def __init__(self, selectors, keep_path):
+        self.keep_path, self.rules = keep_path, {}
+        for number, (field, _, _, pattern) in enumerate(selector_rows(selectors)):
+            self.rules.setdefault(field, []).append((number, re.compile(pattern.replace(r"\z", r"\Z"))))
         self.tokens, self.inside, self.fields, self.inside_fields = set(), set(), {}, {}
         for field, listed in selectors.items():
             for steps in map(selector_parts, listed):
@@ -91,7 +104,8 @@ class _PageReader(HTMLParser):
         attrs = dict(reversed(attrs))
         line, fields = self.describe(tag, attrs)
         path = (self.stack[-1]["path"] if self.stack else "") + line
-        entry = {"tag": tag, "path": path, "fields": fields, "attrs": attrs, "pos": self.count,
+        hits = [n for f in fields for n, rule in self.words.rules[f] if rule.search(path)]
+        entry = {"tag": tag, "path": path, "fields": fields, "hits": hits, "attrs": attrs, "pos": self.count,
                  "text": len(self.texts), "start": self.here()}
         self.count += 1
         self.stack.append(entry)
@@ -119,11 +133,13 @@ class _PageReader(HTMLParser):
         entry = self.stack.pop()
         self.silent -= entry["tag"] in SILENT
         attrs, fields = entry["attrs"], entry["fields"]
-        if not (fields or entry["tag"] in KEPT_TAGS or "itemprop" in attrs):
+        wanted = entry["hits"] or (fields and self.words.keep_path)
+        if not (wanted or entry["tag"] in KEPT_TAGS or "itemprop" in attrs):
             return
         self.found.append({
-            "pos": entry["pos"], "stop": self.count, "tag": entry["tag"], "path": entry["path"],
-            "fields": sorted(fields),
+            "pos": entry["pos"], "stop": self.count, "tag": entry["tag"],
+            "path": entry["path"] if self.words.keep_path else None,
+            "fields": sorted(fields), "hits": entry["hits"],
             "attrs": {k: v or "" for k, v in attrs.items() if k in KEPT_ATTRIBUTES},
             "texts": self.texts[entry["text"]:],
             "html": self.page[entry["start"]:end] if fields & MARKUP_FIELDS else None,
@@ -141,24 +157,29 @@ def _read(words, page):
             reader.close_top(len(page))
         return sorted(reader.found, key=lambda e: e["pos"])
     except Exception as problem:  # one unreadable page must not fail the job
-        return [{"pos": 0, "stop": 0, "tag": ERROR_TAG, "path": "", "fields": [], "attrs": {},
+        return [{"pos": 0, "stop": 0, "tag": ERROR_TAG, "path": "", "fields": [], "hits": [], "attrs": {},
                  "texts": [type(problem).__name__], "html": None}]
 
 
-def element_array(page: Column, selectors: dict = SELECTORS) -> Column:
-    """``array<struct>`` of the elements of one page that some rule can match."""
-    words = _Vocabulary(selectors)
+def element_array(page: Column, selectors: dict = SELECTORS, keep_path: bool = False) -> Column:
+    """``array<struct>`` of the elements of one page that some rule matches or some layer reads.
+
+    ``hits`` numbers the rules an element matches. ``keep_path`` also keeps elements that only
+    share a token with a rule, and their paths, for rules that are joined later.
+    """
+    words = _Vocabulary(selectors, keep_path)
 
     @F.pandas_udf(f"array<{ELEMENT}>")
     def read_pages(pages: pd.Series) -> pd.Series:
         return pages.map(lambda page: _read(words, page))
 
-    return read_pages(page)
+    # Non-deterministic for the planner: it must not be copied into the expressions that use it.
+    return read_pages.asNondeterministic()(page)
 
 
 def page_elements(pages: DataFrame, selectors: dict = SELECTORS) -> DataFrame:
     """One row per element: ``(url, pos, stop, tag, path, fields, attrs, texts, html)``."""
-    return pages.select("url", F.explode(element_array(F.col("html"), selectors)).alias("e")).select(
+    return pages.select("url", F.explode(element_array(F.col("html"), selectors, keep_path=True)).alias("e")).select(
         "url", "e.*"
     )
 
@@ -194,20 +215,17 @@ def apply_selector_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
 # ── Expressions over the element array of a page ──────────────────────────
 
 
-def of_field(elements: Column, field: str) -> Column:
-    return F.filter(elements, lambda e: F.array_contains(e["fields"], field))
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def of_tag(elements: Column, tag: str) -> Column:
     return F.filter(elements, lambda e: e["tag"] == tag)
 
 
-def matching(elements: Column, selector: str) -> Column:
-    return F.filter(elements, lambda e: e["path"].rlike(selector_pattern(selector)))
-
-
 def first_of(items: Column) -> Column:
-    return F.try_element_at(items, F.lit(1))
+    return F.get(items, F.lit(0))
 
 
 def first_filled(values: Column) -> Column:
@@ -215,57 +233,89 @@ def first_filled(values: Column) -> Column:
     return F.coalesce(first_of(F.filter(values, lambda v: v != "")), F.lit(""))
 
 
-def css_hits(elements: Column, selectors: list) -> Column:
-    """``array<struct(selector, text, html, pos, stop)>`` of the first element of each selector,
-    kept where it has text, in rule order. ``elements`` are those of the rule's field."""
+def words(element: Column) -> Column:
+    return F.coalesce(F.array_join(element["texts"], " "), F.lit(""))
 
-    def hit(selector):
-        node = first_of(matching(elements, selector))
-        return F.struct(
-            F.lit(selector).alias("selector"),
-            F.coalesce(F.array_join(node["texts"], " "), F.lit("")).alias("text"),
-            node["html"].alias("html"), node["pos"].alias("pos"), node["stop"].alias("stop"),
-        )
 
-    return F.filter(F.array(*[hit(s) for s in selectors]), lambda h: h["text"] != "")
+def matched(elements: Column, rule: Column) -> Column:
+    return F.filter(elements, lambda e: F.array_contains(e["hits"], rule))
 
 
-def meta_value(elements: Column, *keys: str) -> Column:
-    """First non-empty ``<meta>`` content for the keys, in key then attribute order."""
-    metas = of_tag(elements, "meta")
-    values = [
-        strip(F.coalesce(first_of(F.filter(metas, _named(attribute, key)))["attrs"]["content"], F.lit("")))
-        for key in keys
-        for attribute in ("property", "name", "itemprop")
-    ]
-    return first_filled(F.array(*values))
+def rule_numbers(field: str, selectors: dict = SELECTORS) -> Column:
+    first, last = rule_ids(field, selectors)
+    return F.sequence(F.lit(first), F.lit(last))
 
 
-def _named(attribute: str, key: str):
-    return lambda e: e["attrs"][attribute] == key
+def selector_name(field: str, rule: Column, selectors: dict = SELECTORS) -> Column:
+    """``css:<selector>`` of a rule number."""
+    first, _ = rule_ids(field, selectors)
+    names = F.array(*[F.lit(f"css:{s}") for s in selectors[field]])
+    return F.get(names, rule - first)
 
 
-def meta_values(elements: Column, *keys: str) -> Column:
-    """Every distinct non-empty content for the keys, in key then attribute order."""
-    metas = of_tag(elements, "meta")
-    found = [
-        F.transform(
-            F.filter(metas, _named(attribute, key)),
+def css_hit(elements: Column, field: str, selectors: dict = SELECTORS) -> Column:
+    """``struct(source, text, html)`` of the first rule whose first element has text."""
+    tried = F.transform(
+        rule_numbers(field, selectors),
+        lambda r: F.struct(r.alias("rule"), first_of(matched(elements, r)).alias("node")),
+    )
+    filled = F.filter(tried, lambda h: F.size(h["node"]["texts"]) > 0)
+    hits = F.transform(
+        filled,
+        lambda h: F.struct(
+            selector_name(field, h["rule"], selectors).alias("source"),
+            F.array_join(h["node"]["texts"], " ").alias("text"),
+            h["node"]["html"].alias("html"),
+        ),
+    )
+    return first_of(hits)
+
+
+_META_ATTRIBUTES = ("property", "name", "itemprop")
+
+
+def _meta_lists(metas: Column, keys: tuple) -> Column:
+    """Contents per key and attribute, in that order, of the ``<meta>`` elements given."""
+    wanted = F.array(
+        *[F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")) for k in keys for a in _META_ATTRIBUTES]
+    )
+    return F.transform(
+        wanted,
+        lambda w: F.transform(
+            F.filter(metas, lambda e: e["attrs"][w["a"]] == w["k"]),
             lambda e: strip(F.coalesce(e["attrs"]["content"], F.lit(""))),
-        )
-        for key in keys
-        for attribute in ("property", "name", "itemprop")
-    ]
-    return F.array_distinct(F.filter(F.concat(*found), lambda v: v != ""))
+        ),
+    )
 
 
-def microdata_value(elements: Column, prop: str) -> Column:
-    """First non-empty value of an ``itemprop``: an attribute that carries it, else the text."""
-    def value(e):
-        listed = [
-            strip(F.coalesce(e["attrs"][name], F.lit("")))
-            for name in ("content", "value", "href", "src", "data-src")
-        ]
-        return first_filled(F.array(*listed, F.array_join(e["texts"], "")))
+def meta_value(metas: Column, *keys: str) -> Column:
+    """First non-empty content: per key and attribute, only the first element counts."""
+    return first_filled(
+        F.transform(_meta_lists(metas, keys), lambda l: F.coalesce(first_of(l), F.lit("")))
+    )
+
 
-    return first_filled(F.transform(F.filter(elements, _named("itemprop", prop)), value))
+def meta_values(metas: Column, *keys: str) -> Column:
+    """Every distinct non-empty content for the keys, in key then attribute order."""
+    return F.array_distinct(F.filter(F.flatten(_meta_lists(metas, keys)), lambda v: v != ""))
+
+
+def microdata_values(elements: Column, *props: str) -> Column:
+    """``map(prop, value)``: the first non-empty value per ``itemprop``, from an attribute that
+    carries it, else from the text."""
+    names = F.array(*[F.lit(p) for p in props])
+    carriers = F.array(*[F.lit(a) for a in ("content", "value", "href", "src", "data-src")])
+
+    def value(e):
+        listed = F.transform(carriers, lambda a: strip(F.coalesce(e["attrs"][a], F.lit(""))))
+        return first_filled(F.concat(listed, F.array(F.array_join(e["texts"], ""))))
+
+    marked = F.filter(elements, lambda e: e["attrs"]["itemprop"].isNotNull())
+    found = let(
+        marked,
+        lambda m: F.transform(
+            names,
+            lambda p: first_filled(F.transform(F.filter(m, lambda e: e["attrs"]["itemprop"] == p), value)),
+        ),
+    )
+    return F.map_from_arrays(names, found)

@@ -14,37 +14,41 @@ from shelfmark.functions.text import alnum_key, clean_text, html_escape, strip,
 from shelfmark.functions.urls import host_of
 from shelfmark.operators import jsonld
 from shelfmark.operators.elements import (
-    ERROR_TAG, css_hits, element_array, first_of, matching, meta_value, microdata_value, of_field,
-    of_tag,
+    ERROR_TAG, css_hit, element_array, first_of, let, matched, meta_value, microdata_values, of_tag,
+    rule_numbers, selector_name, words,
 )
 from shelfmark.operators.images import IMAGE_LIMIT, dedupe_image_variants, extract_images
-from shelfmark.operators.rules import (
-    BRAND_SELECTORS, BREADCRUMB_FILLER, BREADCRUMB_SELECTORS, CATEGORY_NOISE,
-    LONG_DESCRIPTION_SELECTORS, PRICE_SELECTORS, SELECTORS, SHORT_DESCRIPTION_SELECTORS,
-    SKU_SELECTORS, TITLE_SELECTORS,
-)
+from shelfmark.operators.rules import BREADCRUMB_FILLER, CATEGORY_NOISE, SELECTORS
+from shelfmark.runtime import built_once
 from shelfmark.schema import UNKNOWN_BRAND
 
 # The single strings of a page that may hold entities, in the order they are decoded.
+_CSS_FIELDS = ["title", "price", "brand", "sku", "short_description", "long_description"]
+_MICRODATA = ["name", "price", "priceCurrency", "availability", "sku", "image"]
 _TEXTS = ["name", "brand", "manufacturer", "sku", "mpn", "description", "currency", "availability"]
 
 
-def breadcrumbs_from_markup(elements: Column) -> Column:
-    """``struct(selector, names)`` of the first breadcrumb container with link texts."""
+def breadcrumbs_from_markup(elements: Column, selectors: dict = SELECTORS) -> Column:
+    """``struct(source, names)`` of the first breadcrumb container with link texts."""
     anchors = of_tag(elements, "a")
-    marks = of_field(elements, "breadcrumbs")
 
-    def trail(selector):
-        box = first_of(matching(marks, selector))
-        inside = F.filter(anchors, lambda a: (a["pos"] > box["pos"]) & (a["pos"] < box["stop"]))
-        names = F.transform(inside, lambda a: clean_text(F.array_join(a["texts"], " ")))
-        return F.struct(
-            F.lit(selector).alias("selector"), F.filter(names, lambda n: n != "").alias("names")
+    def trail(rule):
+        return let(
+            first_of(matched(elements, rule)),
+            lambda box: F.transform(
+                F.filter(anchors, lambda a: (a["pos"] > box["pos"]) & (a["pos"] < box["stop"])),
+                lambda a: clean_text(words(a)),
+            ),
         )
 
-    return first_of(
-        F.filter(F.array(*[trail(s) for s in BREADCRUMB_SELECTORS]), lambda t: F.size(t["names"]) > 0)
+    trails = F.transform(
+        rule_numbers("breadcrumbs", selectors),
+        lambda r: F.struct(
+            selector_name("breadcrumbs", r, selectors).alias("source"),
+            F.filter(trail(r), lambda n: n != "").alias("names"),
+        ),
     )
+    return first_of(F.filter(trails, lambda t: F.size(t["names"]) > 0))
 
 
 def clean_breadcrumbs(names: Column, title: Column) -> Column:
@@ -52,26 +56,35 @@ def clean_breadcrumbs(names: Column, title: Column) -> Column:
 
     ``names`` and ``title`` have their entities decoded.
     """
-    title_key = alnum_key(title)
     keyed = F.transform(
         F.coalesce(names, F.array().cast("array<string>")),
-        lambda n, i: F.struct(
-            clean_text(n).alias("name"),
-            F.regexp_replace(F.lower(clean_text(n)), "^[ .]+|[ .]+$", "").alias("low"),
-            alnum_key(n).alias("key"),
+        lambda n: let(
+            clean_text(n),
+            lambda name: F.struct(
+                name.alias("name"),
+                F.regexp_replace(F.lower(name), "^[ .]+|[ .]+$", "").alias("low"),
+                alnum_key(name).alias("key"),
+            ),
         ),
     )
 
-    def itself(e):
-        either = F.contains(title_key, e["key"]) | F.contains(e["key"], title_key)
-        return (title_key != "") & (e["key"] != "") & (
-            (e["key"] == title_key) | ((F.length(e["key"]) > 20) & either)
+    def without_product(title_key):
+        def itself(e):
+            either = F.contains(title_key, e["key"]) | F.contains(e["key"], title_key)
+            return (title_key != "") & (e["key"] != "") & (
+                (e["key"] == title_key) | ((F.length(e["key"]) > 20) & either)
+            )
+
+        return F.filter(
+            keyed, lambda e: (e["low"] != "") & ~e["low"].isin(BREADCRUMB_FILLER) & ~itself(e)
         )
 
-    kept = F.filter(keyed, lambda e: (e["low"] != "") & ~e["low"].isin(BREADCRUMB_FILLER) & ~itself(e))
-    keys = F.transform(kept, lambda e: e["key"])
-    unique = F.filter(kept, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.transform(unique, lambda e: e["name"])
+    def first_of_each(kept):
+        keys = F.transform(kept, lambda e: e["key"])
+        unique = F.filter(kept, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+        return F.transform(unique, lambda e: e["name"])
+
+    return let(let(alnum_key(title), without_product), first_of_each)
 
 
 def brand_from_context(title: Column, categories: Column) -> Column:
@@ -110,10 +123,6 @@ def _first(*layers) -> Column:
     )
 
 
-def _css(hit: Column) -> Column:
-    return F.concat(F.lit("css:"), hit["selector"])
-
-
 def _text(hit: Column) -> Column:
     return F.coalesce(clean_text(hit["text"]), F.lit(""))
 
@@ -121,82 +130,91 @@ def _text(hit: Column) -> Column:
 def page_facts(pages: DataFrame, selectors: dict = SELECTORS) -> DataFrame:
     """Elements, structured data and rule hits per page: what every field is read from."""
     carried = [c for c in pages.columns if c != "html"]
-    read = pages.where(F.coalesce(F.col("html"), F.lit("")) != "").select(
-        *carried,
-        element_array(F.col("html"), selectors).alias("el"),
-        jsonld.jsonld_payloads(F.col("html")).alias("payloads"),
-    )
-    noded = read.select(*carried, "el", jsonld.jsonld_nodes(F.col("payloads")).alias("nodes"))
-    chosen = noded.select(
-        *carried, "el",
-        jsonld.best_product_node(F.col("nodes")).alias("product"),
-        jsonld.jsonld_breadcrumbs(F.col("nodes")).alias("crumbs"),
-        *[of_field(F.col("el"), f).alias(f"el_{f}")
-          for f in ("title", "price", "brand", "sku", "short_description", "long_description")],
-    )
-    product, el = F.col("product"), F.col("el")
-    fields = {
-        "title": TITLE_SELECTORS, "price": PRICE_SELECTORS, "brand": BRAND_SELECTORS,
-        "sku": SKU_SELECTORS, "short_description": SHORT_DESCRIPTION_SELECTORS,
-        "long_description": LONG_DESCRIPTION_SELECTORS,
-    }
-    hits = chosen.select(
-        *carried, "el", "crumbs",
-        *[first_of(css_hits(F.col(f"el_{f}"), listed)).alias(f"css_{f}") for f, listed in fields.items()],
-        breadcrumbs_from_markup(el).alias("markup"),
-        jsonld.offers_summary(product).alias("offers"),
-        *[jsonld.node_text(product, k).alias(f"ld_{k}")
-          for k in ("name", "brand", "manufacturer", "sku", "mpn", "description")],
-        F.filter(
-            F.transform(
-                jsonld.as_list(F.try_variant_get(product, "$.image", "variant")),
-                lambda v: jsonld.first_str(v),
-            ),
-            lambda u: u != "",
-        ).alias("ld_images"),
-    )
-    # One trip to Python decodes the entities of every string of the page.
+
+    def once(step, build):
+        return built_once((step, repr(selectors)), build)
+
+    el, product, texts = F.col("el"), F.col("product"), F.col("texts")
+    kept = ["el", "metas", "micro", *[f"css_{f}" for f in _CSS_FIELDS]]
     empty = F.array().cast("array<string>")
-    singles = F.array(
-        *[F.coalesce(F.col(f"ld_{k}"), F.lit("")) for k in _TEXTS[:6]],
-        F.coalesce(F.col("offers.currency"), F.lit("")),
-        F.coalesce(F.col("offers.availability"), F.lit("")),
-        _text(F.col("css_title")),
-    )
     markup = F.coalesce(F.col("markup.names"), empty)
-    parts = [singles, F.col("crumbs"), markup, F.coalesce(F.col("ld_images"), empty)]
-    packed = hits.select(
-        *carried, "el", *[f"css_{f}" for f in fields], "markup", "offers",
-        F.size("crumbs").alias("n_crumbs"), F.size(markup).alias("n_markup"),
-        unescape_all(F.concat(*parts)).alias("texts"),
-    )
-    texts, n = F.col("texts"), len(_TEXTS) + 1
-    most = F.greatest(F.size(texts), F.lit(1))
-    return packed.select(
-        *carried, "el", *[f"css_{f}" for f in fields],
-        F.col("markup.selector").alias("markup_selector"),
-        F.col("offers.price_value").alias("ld_price"),
-        *[strip(F.get(texts, i)).alias(f"ld_{k}") for i, k in enumerate(_TEXTS)],
-        F.get(texts, n - 1).alias("css_title_key"),
-        F.slice(texts, n + 1, F.col("n_crumbs")).alias("crumbs"),
-        F.slice(texts, F.lit(n + 1) + F.col("n_crumbs"), F.col("n_markup")).alias("markup_names"),
-        F.transform(
-            F.slice(texts, F.lit(n + 1) + F.col("n_crumbs") + F.col("n_markup"), most), strip
-        ).alias("ld_images"),
+    n = len(_TEXTS) + 1
+
+    def reading():
+        return [
+            element_array(F.col("html"), selectors).alias("el"),
+            jsonld.jsonld_nodes(jsonld.jsonld_payloads(F.col("html"))).alias("nodes"),
+        ]
+
+    def choosing():
+        return [
+            jsonld.best_product_node(F.col("nodes")).alias("product"),
+            jsonld.jsonld_breadcrumbs(F.col("nodes")).alias("crumbs"),
+            of_tag(el, "meta").alias("metas"),
+            microdata_values(el, *_MICRODATA).alias("micro"),
+            *[css_hit(el, f, selectors).alias(f"css_{f}") for f in _CSS_FIELDS],
+            breadcrumbs_from_markup(el, selectors).alias("markup"),
+        ]
+
+    def structured():
+        images = F.transform(
+            jsonld.as_list(F.try_variant_get(product, "$.image", "variant")),
+            lambda v: jsonld.first_str(v),
+        )
+        return [
+            jsonld.offers_summary(product).alias("offers"),
+            jsonld.node_texts(product, *_TEXTS[:6]).alias("ld"),
+            F.coalesce(F.filter(images, lambda u: u != ""), empty).alias("ld_images"),
+        ]
+
+    def decoding():
+        # One trip to Python decodes the entities of every string of the page.
+        singles = F.array(
+            *[F.coalesce(F.col("ld")[k], F.lit("")) for k in _TEXTS[:6]],
+            F.coalesce(F.col("offers.currency"), F.lit("")),
+            F.coalesce(F.col("offers.availability"), F.lit("")),
+            _text(F.col("css_title")),
+        )
+        return [
+            F.size("crumbs").alias("n_crumbs"), F.size(markup).alias("n_markup"),
+            unescape_all(F.concat(singles, F.col("crumbs"), markup, F.col("ld_images"))).alias("texts"),
+        ]
+
+    def unpacking():
+        after_crumbs = F.lit(n + 1) + F.col("n_crumbs")
+        images = F.slice(
+            texts, after_crumbs + F.col("n_markup"), F.greatest(F.size(texts), F.lit(1))
+        )
+        return [
+            F.col("markup.source").alias("markup_source"),
+            F.col("offers.price_value").alias("ld_price"),
+            *[strip(F.get(texts, F.lit(i))).alias(f"ld_{k}") for i, k in enumerate(_TEXTS)],
+            F.get(texts, F.lit(n - 1)).alias("css_title_key"),
+            F.slice(texts, F.lit(n + 1), F.col("n_crumbs")).alias("crumbs"),
+            F.slice(texts, after_crumbs, F.col("n_markup")).alias("markup_names"),
+            F.transform(images, strip).alias("ld_images"),
+        ]
+
+    read = pages.where(F.coalesce(F.col("html"), F.lit("")) != "").select(
+        *carried, *once("reading", reading)
     )
+    chosen = read.select(*carried, "el", *once("choosing", choosing))
+    found = chosen.select(*carried, *kept, "crumbs", "markup", *once("structured", structured))
+    packed = found.select(*carried, *kept, "markup", "offers", *once("decoding", decoding))
+    return packed.select(*carried, *kept, *once("unpacking", unpacking))
 
 
 def extract_title(facts: DataFrame) -> DataFrame:
     """Theme title, structured name, meta title, microdata, first heading, document title."""
     el = F.col("el")
-    heading = clean_text(F.array_join(first_of(of_tag(el, "h1"))["texts"], " "))
-    document = clean_text(F.array_join(first_of(of_tag(el, "title"))["texts"], " "))
+    heading = clean_text(words(first_of(of_tag(el, "h1"))))
+    document = clean_text(words(first_of(of_tag(el, "title"))))
     document = F.element_at(F.split(document, r"(?U)\s+[|–—\-]\s+"), 1)
     chosen = _first(
-        (_text(F.col("css_title")), _css(F.col("css_title"))),
+        (_text(F.col("css_title")), F.col("css_title.source")),
         (F.col("ld_name"), F.lit("jsonld")),
-        (meta_value(el, "og:title", "twitter:title"), F.lit("opengraph")),
-        (microdata_value(el, "name"), F.lit("microdata")),
+        (meta_value(F.col("metas"), "og:title", "twitter:title"), F.lit("opengraph")),
+        (F.col("micro")["name"], F.lit("microdata")),
         (F.coalesce(heading, F.lit("")), F.lit("h1")),
         (F.coalesce(document, F.lit("")), F.lit("document-title")),
     )
@@ -207,15 +225,15 @@ def extract_title(facts: DataFrame) -> DataFrame:
 
 def extract_price(facts: DataFrame) -> DataFrame:
     """Offers, meta price, theme price text, microdata. A currency found early is kept."""
-    el, ld = F.col("el"), F.col("ld_price")
+    ld = F.col("ld_price")
     text = F.element_at(F.split(_text(F.col("css_price")), r"[–—]|\.\.\."), 1)
     read = facts.select(
         "*",
-        to_number(meta_value(el, "product:price:amount", "og:price:amount")).alias("_og"),
-        meta_value(el, "product:price:currency", "og:price:currency").alias("_og_code"),
+        to_number(meta_value(F.col("metas"), "product:price:amount", "og:price:amount")).alias("_og"),
+        meta_value(F.col("metas"), "product:price:currency", "og:price:currency").alias("_og_code"),
         text.alias("_text"), to_number(text).alias("_css"), currency_in(text).alias("_css_code"),
-        to_number(microdata_value(el, "price")).alias("_micro"),
-        microdata_value(el, "priceCurrency").alias("_micro_code"),
+        to_number(F.col("micro")["price"]).alias("_micro"),
+        F.col("micro")["priceCurrency"].alias("_micro_code"),
         F.upper("ld_currency").alias("_code"),
     )
     has_text = F.coalesce(F.col("_text"), F.lit("")) != ""
@@ -239,14 +257,14 @@ def extract_price(facts: DataFrame) -> DataFrame:
             F.col("_og").isNotNull(),
             outcome(F.col("_og"), og_code, format_price(F.col("_og"), og_code), F.lit("opengraph")),
         )
-        .when(F.col("_css").isNotNull(), outcome(F.col("_css"), css_code, shown, _css(F.col("css_price"))))
+        .when(F.col("_css").isNotNull(), outcome(F.col("_css"), css_code, shown, F.col("css_price.source")))
         .when(
             F.col("_micro").isNotNull(),
             outcome(
                 F.col("_micro"), micro_code, format_price(F.col("_micro"), micro_code), F.lit("microdata")
             ),
         )
-        .when(F.col("css_price").isNotNull(), outcome(none, css_code, shown, _css(F.col("css_price"))))
+        .when(F.col("css_price").isNotNull(), outcome(none, css_code, shown, F.col("css_price.source")))
         .otherwise(outcome(none, og_code, F.lit(""), F.lit(None).cast("string")))
     )
     return (
@@ -263,7 +281,7 @@ def extract_price(facts: DataFrame) -> DataFrame:
 
 
 def extract_availability(facts: DataFrame) -> DataFrame:
-    micro = F.element_at(F.split(microdata_value(F.col("el"), "availability"), "[/#]"), -1)
+    micro = F.element_at(F.split(F.col("micro")["availability"], "[/#]"), -1)
     known = F.coalesce(F.nullif(F.col("ld_availability"), F.lit("")), micro)
     return facts.withColumn("availability", known).withColumn("in_stock", stock_state(F.col("availability")))
 
@@ -280,7 +298,7 @@ def extract_categories(facts: DataFrame) -> DataFrame:
         "*",
         F.when(F.size("_ld") > 0, F.col("_ld")).otherwise(F.col("_css")).alias("categories"),
         F.when(F.size("_ld") > 0, F.lit("jsonld"))
-        .when(F.size("_css") > 0, F.concat(F.lit("css:"), F.col("markup_selector")))
+        .when(F.size("_css") > 0, F.col("markup_source"))
         .alias("by_categories"),
     ).drop("_ld", "_css")
 
@@ -295,8 +313,8 @@ def extract_brand(facts: DataFrame) -> DataFrame:
     read = facts.withColumn("_context", brand_from_context(F.col("title"), F.col("categories")))
     chosen = _first(
         (F.coalesce(structured, F.lit("")), F.lit("jsonld")),
-        (meta_value(F.col("el"), "product:brand", "og:brand"), F.lit("opengraph")),
-        (theme, _css(F.col("css_brand"))),
+        (meta_value(F.col("metas"), "product:brand", "og:brand"), F.lit("opengraph")),
+        (theme, F.col("css_brand.source")),
         (F.col("_context.brand"), F.col("_context.source")),
     )
     return read.withColumn("_brand", chosen).select(
@@ -309,7 +327,7 @@ def extract_brand(facts: DataFrame) -> DataFrame:
 def extract_sku(facts: DataFrame) -> DataFrame:
     options = [
         F.nullif(F.col("ld_sku"), F.lit("")), F.nullif(F.col("ld_mpn"), F.lit("")),
-        F.nullif(microdata_value(F.col("el"), "sku"), F.lit("")), _text(F.col("css_sku")),
+        F.nullif(F.col("micro")["sku"], F.lit("")), _text(F.col("css_sku")),
     ]
     return facts.withColumn("sku", F.substring(clean_text(F.coalesce(*options)), 1, 80))
 
@@ -318,7 +336,7 @@ def extract_descriptions(facts: DataFrame) -> DataFrame:
     """Theme markup; the short one also from structured data or meta, escaped in a paragraph."""
     plain = F.coalesce(
         F.nullif(F.col("ld_description"), F.lit("")),
-        meta_value(F.col("el"), "og:description", "description"),
+        meta_value(F.col("metas"), "og:description", "description"),
     )
     short, long = F.col("css_short_description"), F.col("css_long_description")
     return facts.select(
@@ -326,15 +344,23 @@ def extract_descriptions(facts: DataFrame) -> DataFrame:
         F.when(short.isNotNull(), short["html"])
         .when(plain != "", F.concat(F.lit("<p>"), html_escape(plain), F.lit("</p>")))
         .otherwise(F.lit("")).alias("short_description"),
-        F.when(short.isNotNull(), _css(short)).when(plain != "", F.lit("jsonld/meta"))
+        F.when(short.isNotNull(), short["source"]).when(plain != "", F.lit("jsonld/meta"))
         .alias("by_short_description"),
         F.coalesce(long["html"], F.lit("")).alias("long_description"),
-        _css(long).alias("by_long_description"),
+        long["source"].alias("by_long_description"),
     )
 
 
 def extract_image_fields(facts: DataFrame) -> DataFrame:
-    read = facts.withColumn("_images", extract_images(F.col("el"), F.col("ld_images"), F.col("url")))
+    read = facts.withColumn(
+        "_images",
+        built_once(
+            "images",
+            lambda: extract_images(
+                F.col("el"), F.col("metas"), F.col("ld_images"), F.col("micro")["image"], F.col("url")
+            ),
+        ),
+    )
     none = F.array().cast("array<string>")
     return read.select(
         "*",

@@ -7,9 +7,9 @@ from pyspark.sql import Column, functions as F
 from shelfmark.functions.text import SPACE, strip
 from shelfmark.functions.urls import absolutize_url, is_junk_image, largest_from_srcset
 from shelfmark.operators.elements import (
-    first_filled, first_of, matching, meta_values, microdata_value, of_field, of_tag,
+    first_filled, first_of, let, matched, meta_values, of_tag, rule_ids, rule_numbers, selector_name,
 )
-from shelfmark.operators.rules import GALLERY_SELECTORS, IMAGE_ATTRIBUTES, REGION_SELECTORS
+from shelfmark.operators.rules import IMAGE_ATTRIBUTES, SELECTORS
 
 IMAGE_LIMIT = 30
 SCAN_LIMIT = 12
@@ -18,15 +18,17 @@ _SIZE_SUFFIX = r"(?i)-(\d+)x(\d+)(?=\.[a-z0-9]{2,5}$)"
 
 def image_from_tag(attrs: Column, base: Column) -> Column:
     """Best source of one image tag: the largest of a srcset, else the first usable attribute."""
-    sets = [largest_from_srcset(attrs[name]) for name in ("data-srcset", "srcset")]
-    plain = [
-        F.element_at(F.split(strip(F.coalesce(attrs[name], F.lit(""))), f"(?U){SPACE}+"), 1)
-        for name in IMAGE_ATTRIBUTES
-    ]
+    sets = F.transform(
+        F.array(F.lit("data-srcset"), F.lit("srcset")), lambda n: largest_from_srcset(attrs[n])
+    )
+    plain = F.transform(
+        F.array(*[F.lit(n) for n in IMAGE_ATTRIBUTES]),
+        lambda n: F.regexp_extract(attrs[n], f"(?U)^{SPACE}*(\\S+)", 1),
+    )
     candidates = F.transform(
-        F.filter(F.array(*sets, *plain), lambda u: u != ""), lambda u: absolutize_url(u, base)
+        F.filter(F.concat(sets, plain), lambda u: u != ""), lambda u: absolutize_url(u, base)
     )
-    return F.coalesce(first_of(F.filter(candidates, lambda u: ~is_junk_image(u))), F.lit(""))
+    return first_filled(F.filter(candidates, lambda u: ~is_junk_image(u)))
 
 
 def dedupe_image_variants(images: Column) -> Column:
@@ -44,40 +46,39 @@ def dedupe_image_variants(images: Column) -> Column:
             url.alias("url"),
         )
 
-    items = F.transform(F.filter(images, lambda u: F.coalesce(u, F.lit("")) != ""), described)
-    pictures = F.array_distinct(F.transform(items, lambda i: i["base"]))
-    return F.transform(
-        pictures, lambda base: F.array_max(F.filter(items, lambda i: i["base"] == base))["url"]
-    )
+    def best_per_base(items):
+        bases = F.array_distinct(F.transform(items, lambda i: i["base"]))
+        return F.transform(
+            bases, lambda base: F.array_max(F.filter(items, lambda i: i["base"] == base))["url"]
+        )
 
+    kept = F.filter(images, lambda u: F.coalesce(u, F.lit("")) != "")
+    return let(F.transform(kept, described), best_per_base)
 
-def usable_images(urls: Column, base: Column) -> Column:
-    """Absolute addresses without query strings, furniture and repeats dropped."""
+
+def absolute_images(urls: Column, base: Column) -> Column:
+    """Absolute addresses without query strings; furniture dropped."""
     absolute = F.transform(urls, lambda u: absolutize_url(u, base))
     kept = F.filter(absolute, lambda u: ~is_junk_image(u))
-    return F.array_distinct(F.transform(kept, lambda u: F.substring_index(u, "?", 1)))
+    return F.transform(kept, lambda u: F.substring_index(u, "?", 1))
 
 
-def gallery_lists(elements: Column, base: Column) -> Column:
-    """Per gallery selector, ``struct(selector, tags, images)`` in rule order."""
-    tags = F.transform(
-        of_field(elements, "gallery"),
-        lambda e: F.struct(e["path"].alias("path"), image_from_tag(e["attrs"], base).alias("source")),
+def image_tags(elements: Column, base: Column) -> Column:
+    """Per ``<img>``: its place, the rules it matches and its best source."""
+    return F.transform(
+        of_tag(elements, "img"),
+        lambda e: F.struct(
+            e["pos"].alias("pos"), e["hits"].alias("hits"),
+            F.substring_index(image_from_tag(e["attrs"], base), "?", 1).alias("source"),
+        ),
     )
 
-    def found(selector):
-        hits = matching(tags, selector)
-        sources = F.filter(F.transform(hits, lambda t: t["source"]), lambda s: s != "")
-        return F.struct(
-            F.lit(selector).alias("selector"),
-            F.size(hits).alias("tags"),
-            usable_images(sources, base).alias("images"),
-        )
 
-    return F.filter(F.array(*[found(s) for s in GALLERY_SELECTORS]), lambda g: g["tags"] > 0)
+def _sources(tags: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: t["source"]), lambda s: s != ""))
 
 
-def collect_gallery(structured: Column, galleries: Column) -> Column:
+def collect_gallery(structured: Column, tags: Column, selectors: dict = SELECTORS) -> Column:
     """Structured-data images, then gallery after gallery until there is more than one image."""
     start = F.struct(
         structured.alias("images"),
@@ -85,53 +86,63 @@ def collect_gallery(structured: Column, galleries: Column) -> Column:
         F.lit(False).alias("done"),
     )
 
-    def step(state, gallery):
-        images = F.array_union(state["images"], gallery["images"])
-        grew = F.size(images) > F.size(state["images"])
-        source = F.coalesce(state["source"], F.when(grew, F.concat(F.lit("css:"), gallery["selector"])))
-        return F.when(state["done"], state).otherwise(
-            F.struct(
-                images.alias("images"), source.alias("source"), (F.size(images) > 1).alias("done")
+    def step(state, rule):
+        def grow(hits):
+            images = F.array_union(state["images"], _sources(hits))
+            return let(
+                images,
+                lambda i: F.struct(
+                    i.alias("images"),
+                    F.coalesce(
+                        state["source"],
+                        F.when(
+                            F.size(i) > F.size(state["images"]), selector_name("gallery", rule, selectors)
+                        ),
+                    ).alias("source"),
+                    (F.size(i) > 1).alias("done"),
+                ),
             )
-        )
-
-    return F.aggregate(galleries, start, step)
-
 
-def fallback_images(elements: Column, base: Column) -> Column:
-    """Meta images, else microdata, else the first images of the main region."""
-    meta = usable_images(
-        meta_values(elements, "og:image", "og:image:secure_url", "twitter:image"), base
-    )
-    micro = usable_images(F.array(microdata_value(elements, "image")), base)
-    marks = of_field(elements, "region")
-    regions = F.filter(
-        marks,
-        lambda e: F.exists(F.array(*[F.size(matching(F.array(e), s)) > 0 for s in REGION_SELECTORS]), lambda x: x),
-    )
-    region = first_of(regions)
-    within = F.filter(
-        of_tag(elements, "img"),
-        lambda e: region.isNull() | ((e["pos"] > region["pos"]) & (e["pos"] < region["stop"])),
-    )
-    scanned = F.transform(F.slice(within, 1, SCAN_LIMIT), lambda e: image_from_tag(e["attrs"], base))
-    scan = usable_images(F.filter(scanned, lambda s: s != ""), base)
+        grown = let(matched(tags, rule), lambda hits: F.when(F.size(hits) > 0, grow(hits)))
+        return F.when(state["done"], state).otherwise(F.coalesce(grown, state))
 
-    def option(images, name):
-        return F.struct(images.alias("images"), F.lit(name).alias("source"))
+    return F.aggregate(rule_numbers("gallery", selectors), start, step)
 
-    options = F.array(option(meta, "opengraph"), option(micro, "microdata"), option(scan, "content-scan"))
-    return first_of(F.filter(options, lambda o: F.size(o["images"]) > 0))
 
+def scanned_images(elements: Column, tags: Column, selectors: dict = SELECTORS) -> Column:
+    """Sources of the first images of the main region, or of the page when it has none."""
+    first, last = rule_ids("region", selectors)
+    regions = F.filter(elements, lambda e: F.exists(e["hits"], lambda h: h.between(first, last)))
+    within = let(
+        first_of(regions),
+        lambda r: F.filter(
+            tags, lambda t: r.isNull() | ((t["pos"] > r["pos"]) & (t["pos"] < r["stop"]))
+        ),
+    )
+    return _sources(F.slice(within, 1, SCAN_LIMIT))
+
+
+def extract_images(
+    elements: Column, metas: Column, structured: Column, micro: Column, base: Column,
+    selectors: dict = SELECTORS,
+) -> Column:
+    """``struct(images, source)`` of a page: galleries, then meta, microdata and page images."""
+    # The three lists of plain addresses are resolved in one pass.
+    meta = meta_values(metas, "og:image", "og:image:secure_url", "twitter:image")
+    lists = F.array(structured, meta, F.array(F.coalesce(micro, F.lit(""))))
+    resolved = F.transform(lists, lambda urls: F.array_distinct(absolute_images(urls, base)))
+
+    def option(images, source):
+        return F.struct(images.alias("images"), source.alias("source"))
+
+    def choose(found, tags):
+        gallery = collect_gallery(found[0], tags, selectors)
+        options = F.array(
+            let(gallery, lambda g: option(g["images"], g["source"])),
+            option(found[1], F.lit("opengraph")),
+            option(found[2], F.lit("microdata")),
+            option(scanned_images(elements, tags, selectors), F.lit("content-scan")),
+        )
+        return first_of(F.filter(options, lambda o: F.size(o["images"]) > 0))
 
-def extract_images(elements: Column, structured: Column, base: Column) -> Column:
-    """``struct(images, source)`` of a page."""
-    gallery = collect_gallery(usable_images(structured, base), gallery_lists(elements, base))
-    # Bound once through a one-element array, since both fields depend on the whole choice.
-    return F.transform(
-        F.array(gallery),
-        lambda g: F.when(
-            F.size(g["images"]) > 0,
-            F.struct(g["images"].alias("images"), g["source"].alias("source")),
-        ).otherwise(fallback_images(elements, base)),
-    )[0]
+    return let(resolved, lambda f: let(image_tags(elements, base), lambda t: choose(f, t)))

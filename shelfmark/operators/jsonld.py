@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from shelfmark.functions.money import to_number
 from shelfmark.functions.text import SPACE, strip
+from shelfmark.operators.elements import first_filled, first_of, let
 
 # Schema.org types, last name part, lower case.
 PRODUCT_TYPES = [
@@ -36,8 +37,12 @@ def _items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def _fields(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
 def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return _fields(value).isNotNull()
 
 
 def _present(value: Column) -> Column:
@@ -49,7 +54,10 @@ def _none() -> Column:
 
 
 def as_list(value: Column) -> Column:
-    return F.when(~_present(value), _none()).otherwise(F.coalesce(_items(value), F.array(value)))
+    return let(
+        value,
+        lambda v: F.when(~_present(v), _none()).otherwise(F.coalesce(_items(v), F.array(v))),
+    )
 
 
 def jsonld_payloads(html: Column) -> Column:
@@ -74,19 +82,16 @@ def parse_lenient(payload: Column) -> Column:
 
 def _children(value: Column) -> Column:
     """What a value leads to, in visiting order: last pushed, first seen."""
-    nested = F.filter(
-        F.array(*[_get(value, key) for key in NESTED_KEYS]), lambda n: n.isNotNull() & is_object(n)
-    )
-    graph = _get(value, "@graph")
-    listed = F.when(_items(graph).isNotNull(), F.reverse(_items(graph))).when(
-        is_object(graph), F.array(graph)
-    )
-    below = F.concat(nested, F.coalesce(listed, _none()))
-    return (
-        F.when(_items(value).isNotNull(), F.reverse(_items(value)))
-        .when(is_object(value), below)
-        .otherwise(_none())
-    )
+
+    def of_object(fields):
+        nested = F.filter(
+            F.array(*[fields[key] for key in NESTED_KEYS]), lambda n: n.isNotNull() & is_object(n)
+        )
+        graph = fields["@graph"]
+        listed = F.coalesce(F.reverse(_items(graph)), F.when(is_object(graph), F.array(graph)), _none())
+        return F.concat(nested, listed)
+
+    return F.coalesce(F.reverse(_items(value)), let(_fields(value), of_object), _none())
 
 
 def _visits(value: Column, depth: int) -> Column:
@@ -132,93 +137,105 @@ def type_names(node: Column) -> Column:
     )
 
 
-def _filled(node: Column, key: str) -> Column:
-    value = _get(node, key)
-    return F.when(_present(value), ~F.to_json(value).isin('""', "[]", "{}", "0", "false")).otherwise(False)
-
-
 def best_product_node(nodes: Column) -> Column:
     """The node of a product type with most fields filled; the first visited one on ties."""
 
     def key(node, position):
-        names = type_names(node)
-        score = sum((_filled(node, k).cast("int") for k in SCORED_KEYS), F.lit(0))
-        return F.struct(
-            F.arrays_overlap(names, F.array(*[F.lit(t) for t in PRODUCT_TYPES])).alias("is_product"),
-            F.array_join(names, " ").contains("product").alias("named_product"),
-            score.alias("score"),
-            (-position).alias("first"),
+        score = F.aggregate(
+            F.array(*[F.lit(k) for k in SCORED_KEYS]), F.lit(0),
+            lambda n, k: n + _is_filled(_fields(node)[k]).cast("int"),
+        )
+        return let(
+            type_names(node),
+            lambda names: F.struct(
+                F.arrays_overlap(names, F.array(*[F.lit(t) for t in PRODUCT_TYPES])).alias("is_product"),
+                F.array_join(names, " ").contains("product").alias("named_product"),
+                score.alias("score"),
+                (-position).alias("first"),
+            ),
         )
 
     best = F.array_max(F.filter(F.transform(nodes, key), lambda k: k["is_product"]))
-    return F.when(best.isNotNull(), F.get(nodes, -best["first"]))
+    return let(best, lambda b: F.get(nodes, -b["first"]))
+
+
+def _is_filled(value: Column) -> Column:
+    return let(
+        value,
+        lambda v: F.coalesce(_present(v) & ~F.to_json(v).isin('""', "[]", "{}", "0", "false"), F.lit(False)),
+    )
 
 
 def _scalar_text(value: Column) -> Column:
     """Text of a string, number or boolean; NULL for anything else."""
-    is_container = _items(value).isNotNull() | is_object(value)
+    kind = F.when(_present(value) & _items(value).isNull() & ~is_object(value), F.schema_of_variant(value))
     text = F.try_variant_get(value, "$", "string")
-    boolean = F.schema_of_variant(value) == "BOOLEAN"
-    return F.when(
-        _present(value) & ~is_container, strip(F.when(boolean, F.initcap(text)).otherwise(text))
-    )
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind.isNotNull(), strip(text))
 
 
 def first_str(value: Column, depth: int = 2) -> Column:
     """A plain string out of a string, number, object or list; entities are left as they are."""
-    named = F.array(*[F.coalesce(_scalar_text(_get(value, k)), F.lit("")) for k in NAME_KEYS])
-    of_object = F.coalesce(F.try_element_at(F.filter(named, lambda v: v != ""), F.lit(1)), F.lit(""))
-    out = F.when(is_object(value), of_object)
-    if depth:
-        inner = F.filter(F.transform(_items(value), lambda v: first_str(v, depth - 1)), lambda v: v != "")
-        out = out.when(
-            _items(value).isNotNull(), F.coalesce(F.try_element_at(inner, F.lit(1)), F.lit(""))
+
+    def of_fields(fields):
+        keys = F.array(*[F.lit(k) for k in NAME_KEYS])
+        return first_filled(
+            F.transform(keys, lambda k: F.coalesce(let(fields[k], _scalar_text), F.lit("")))
         )
-    return F.when(~_present(value), F.lit("")).otherwise(
-        F.coalesce(out.otherwise(_scalar_text(value)), F.lit(""))
-    )
+
+    def choose(v):
+        options = [_scalar_text(v), let(_fields(v), of_fields)]
+        if depth:
+            listed = F.transform(_items(v), lambda i: first_str(i, depth - 1))
+            options.append(first_filled(listed))
+        return F.when(_present(v), F.coalesce(*options)).otherwise(F.lit(""))
+
+    return F.coalesce(let(value, choose), F.lit(""))
 
 
 def node_text(node: Column, key: str) -> Column:
     return first_str(_get(node, key))
 
 
+def node_texts(node: Column, *keys: str) -> Column:
+    """``map(key, text)`` of several fields of a node."""
+    names = F.array(*[F.lit(k) for k in keys])
+    return F.map_from_arrays(
+        names, let(_fields(node), lambda f: F.transform(names, lambda k: first_str(f[k])))
+    )
+
+
 def _offer_number(offer: Column) -> Column:
     def usable(v):
-        return _present(v) & (F.to_json(v) != '""')
-
-    spec = _get(_get(offer, "priceSpecification"), "price")
-    chosen = (
-        F.when(usable(_get(offer, "price")), _get(offer, "price"))
-        .when(usable(_get(offer, "lowPrice")), _get(offer, "lowPrice"))
-        .when(usable(spec), spec)
-    )
-    # The variant is bound once, so that its kind and its value come from one lookup.
-    number = F.transform(
-        F.filter(F.array(chosen), lambda v: v.isNotNull()),
-        lambda v: F.when(F.schema_of_variant(v) == "BOOLEAN", F.lit(None).cast("double"))
-        .when(
-            F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-            F.try_variant_get(v, "$", "double"),
+        return v.isNotNull() & ~F.is_variant_null(v) & (F.to_json(v) != '""')
+
+    def number(v):
+        kind = F.schema_of_variant(v)
+        return (
+            F.when(kind == "BOOLEAN", F.lit(None).cast("double"))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+            .otherwise(to_number(F.try_variant_get(v, "$", "string")))
         )
-        .otherwise(to_number(F.try_variant_get(v, "$", "string"))),
-    )
-    return F.try_element_at(number, F.lit(1))
+
+    spec = F.try_variant_get(offer["priceSpecification"], "$.price", "variant")
+    options = F.filter(F.array(offer["price"], offer["lowPrice"], spec), usable)
+    return let(first_of(options), number)
 
 
 def offers_summary(node: Column) -> Column:
     """``struct(price_value, currency, availability)`` over the offers of a product node."""
-    offers = F.filter(as_list(_get(node, "offers")), is_object)
 
-    def first_of(key):
-        texts = F.filter(F.transform(offers, lambda o: node_text(o, key)), lambda v: v != "")
-        return F.coalesce(F.try_element_at(texts, F.lit(1)), F.lit(""))
+    def summary(offers):
+        def first_text(key):
+            return first_filled(F.transform(offers, lambda o: first_str(o[key])))
 
-    return F.struct(
-        F.array_min(F.transform(offers, _offer_number)).alias("price_value"),
-        first_of("priceCurrency").alias("currency"),
-        F.element_at(F.split(first_of("availability"), "[/#]"), -1).alias("availability"),
-    )
+        return F.struct(
+            F.array_min(F.transform(offers, _offer_number)).alias("price_value"),
+            first_text("priceCurrency").alias("currency"),
+            F.element_at(F.split(first_text("availability"), "[/#]"), -1).alias("availability"),
+        )
+
+    fields = F.transform(as_list(_get(node, "offers")), _fields)
+    return let(F.filter(fields, lambda o: o.isNotNull()), summary)
 
 
 def jsonld_breadcrumbs(nodes: Column) -> Column:
@@ -226,10 +243,14 @@ def jsonld_breadcrumbs(nodes: Column) -> Column:
 
     def trail(node):
         entries = F.transform(
-            F.filter(as_list(_get(node, "itemListElement")), is_object),
+            F.filter(
+                F.transform(as_list(_get(node, "itemListElement")), _fields), lambda e: e.isNotNull()
+            ),
             lambda e: F.struct(
-                F.coalesce(F.nullif(node_text(e, "name"), F.lit("")), node_text(e, "item")).alias("name"),
-                _position(e).alias("position"),
+                first_filled(
+                    F.transform(F.array(F.lit("name"), F.lit("item")), lambda k: first_str(e[k]))
+                ).alias("name"),
+                let(e["position"], _position).alias("position"),
             ),
         )
         named = F.filter(entries, lambda e: e["name"] != "")
@@ -243,13 +264,11 @@ def jsonld_breadcrumbs(nodes: Column) -> Column:
 
     lists = F.filter(nodes, lambda n: F.array_contains(type_names(n), BREADCRUMB_TYPE))
     trails = F.filter(F.transform(lists, trail), lambda t: F.size(t) > 0)
-    return F.coalesce(F.try_element_at(trails, F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(first_of(trails), F.array().cast("array<string>"))
 
 
-def _position(entry: Column) -> Column:
-    value = _get(entry, "position")
+def _position(value: Column) -> Column:
     text = strip(F.try_variant_get(value, "$", "string"))
     number = F.try_variant_get(value, "$", "double").cast("int")
-    integer_text = text.rlike(r"^[+-]?[0-9]+$")
     is_text = F.schema_of_variant(value) == "STRING"
-    return F.when(_present(value) & (~is_text | integer_text), number)
+    return F.when(_present(value) & (~is_text | text.rlike(r"^[+-]?[0-9]+$")), number)

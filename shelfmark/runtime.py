@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -67,3 +68,15 @@ def with_global_index(df: DataFrame, order: list, name: str = "index") -> DataFr
 
 def as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
+
+
+_BUILT: dict = {}
+
+
+def built_once(key, build):
+    """Reuse large column expressions within one application; building them is driver time."""
+    context = SparkContext._active_spark_context
+    slot = (context.applicationId, key)
+    if slot not in _BUILT:
+        _BUILT[slot] = build()
+    return _BUILT[slot]
