@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfmark.functions.base import let
 from shelfmark.functions.urls import url_path
 
 # Path budget.
@@ -26,38 +27,56 @@ def _hash(c: Column) -> Column:
 def safe_path_segment(value: Column, max_len: Column | int = MAX_SEGMENT) -> Column:
     """A folder name; longer ones are cut and carry a hash of the original."""
     limit = F.lit(max_len) if isinstance(max_len, int) else max_len
-    original = F.coalesce(value, F.lit(""))
-    name = F.regexp_replace(original, "[^a-zA-Z0-9]+", "_")
-    name = F.regexp_replace(name, "^_+|_+$", "")
-    head = F.regexp_replace(F.substr(name, F.lit(1), F.greatest(limit - 7, F.lit(1))), "^_+|_+$", "")
-    cut = F.when(F.length(name) > limit, F.concat(head, F.lit("_"), _hash(original))).otherwise(name)
-    free = F.when(F.lower(cut).isin(RESERVED), F.concat(cut, F.lit("_"))).otherwise(cut)
-    return F.when(name == "", F.lit("unnamed")).otherwise(free)
+
+    def shortened(name, original):
+        head = F.substr(name, F.lit(1), F.greatest(limit - 7, F.lit(1)))
+        head = F.regexp_replace(head, "^_+|_+$", "")
+        return F.when(F.length(name) > limit, F.concat(head, F.lit("_"), _hash(original))).otherwise(name)
+
+    def unreserved(cut):
+        return (
+            F.when(cut == "", F.lit("unnamed"))
+            .when(F.lower(cut).isin(RESERVED), F.concat(cut, F.lit("_")))
+            .otherwise(cut)
+        )
+
+    def segment(original):
+        name = F.regexp_replace(F.regexp_replace(original, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
+        return let(let(name, lambda n: shortened(n, original)), unreserved)
+
+    return let(F.coalesce(value, F.lit("")), segment)
 
 
 def _cut_filename(name: Column, seed: Column, limit: Column) -> Column:
+    def cut(extension):
+        ending = F.when(extension != "", F.concat(F.lit("."), extension)).otherwise(F.lit(""))
+        suffix = F.concat(F.lit("_"), _hash(seed), ending)
+        stem = F.substr(name, F.lit(1), F.length(name) - F.length(ending))
+        return F.concat(F.substr(stem, F.lit(1), F.greatest(limit - F.length(suffix), F.lit(1))), suffix)
+
     extension = F.regexp_extract(name, r"(?s)\.([^.]{1,5})$", 1)
-    suffix = F.when(
-        extension != "", F.concat(F.lit("_"), _hash(seed), F.lit("."), extension)
-    ).otherwise(F.concat(F.lit("_"), _hash(seed)))
-    stem = F.when(extension != "", F.regexp_replace(name, r"(?s)\.[^.]{1,5}$", "")).otherwise(name)
-    keep = F.greatest(limit - F.length(suffix), F.lit(1))
-    short = F.concat(F.substr(stem, F.lit(1), keep), suffix)
-    return F.when((limit <= 0) | (F.length(name) <= limit), name).otherwise(short)
+    return F.when((limit <= 0) | (F.length(name) <= limit), name).otherwise(let(extension, cut))
 
 
 def safe_filename(url: Column, max_len: Column | int = MAX_FILENAME, fallback: str = "image") -> Column:
     """A file name from the last path part of an image URL."""
     limit = F.lit(max_len) if isinstance(max_len, int) else max_len
-    encoded = F.element_at(F.split(url_path(url), "/"), -1)
-    decoded = F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
-    name = F.regexp_replace(decoded, r'[<>:"/\\|?*\x00-\x1f]', "_")
-    name = F.regexp_replace(F.regexp_replace(name, r"[^\x20-\x7e]", "_"), r"^[. ]+|[. ]+$", "")
-    name = F.when(name == "", F.lit(fallback)).otherwise(name)
-    seed = F.coalesce(F.nullif(url, F.lit("")), name)
-    name = _cut_filename(name, seed, limit)
-    stem = F.lower(F.regexp_replace(name, r"(?s)\.[^.]*$", ""))
-    return F.when(stem.isin(RESERVED), F.concat(F.lit("_"), name)).otherwise(name)
+
+    def decoded(encoded):
+        text = F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+        name = F.regexp_replace(F.coalesce(text, encoded), r'[<>:"/\\|?*\x00-\x1f]|[^\x20-\x7e]', "_")
+        return F.regexp_replace(name, r"^[. ]+|[. ]+$", "")
+
+    def finished(name):
+        stem = F.lower(F.regexp_replace(name, r"(?s)\.[^.]*$", ""))
+        return F.when(stem.isin(RESERVED), F.concat(F.lit("_"), name)).otherwise(name)
+
+    def named(raw):
+        name = F.when(raw == "", F.lit(fallback)).otherwise(raw)
+        return let(let(name, lambda n: _cut_filename(n, F.coalesce(F.nullif(url, F.lit("")), n), limit)), finished)
+
+    last = F.element_at(F.split(url_path(url), "/"), -1)
+    return let(let(last, decoded), named)
 
 
 def product_dir(root: Column, categories: Column, title: Column, url: Column,
@@ -79,24 +98,31 @@ def product_dir(root: Column, categories: Column, title: Column, url: Column,
     last_part = F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
     name = safe_path_segment(F.when(title != "", title).otherwise(last_part))
 
-    def joined(levels):
-        middle = F.when(levels == 0, F.lit("Uncategorized")).otherwise(
-            F.array_join(F.slice(trail, 1, levels), "/")
+    def place(trail, name):
+        def joined(levels):
+            middle = F.when(levels == 0, F.lit("Uncategorized")).otherwise(
+                F.array_join(F.slice(trail, 1, levels), "/")
+            )
+            return F.concat_ws("/", root, middle, name)
+
+        fitting = F.filter(
+            F.transform(F.sequence(F.size(trail), F.lit(0), F.lit(-1)), joined),
+            lambda p: F.length(p) <= budget,
         )
-        return F.concat_ws("/", root, middle, name)
+        base = F.concat_ws("/", root, F.lit("Uncategorized"))
+        room = F.greatest(F.lit(budget) - F.length(base) - 1, F.lit(MIN_SEGMENT))
+        squeezed = safe_path_segment(F.when(title != "", title).otherwise(url), room)
+        return F.coalesce(F.get(fitting, F.lit(0)), F.concat_ws("/", base, squeezed))
 
-    fitting = F.filter(
-        F.transform(F.sequence(F.size(trail), F.lit(0), F.lit(-1)), joined),
-        lambda p: F.length(p) <= budget,
-    )
-    base = F.concat_ws("/", root, F.lit("Uncategorized"))
-    room = F.greatest(F.lit(budget) - F.length(base) - 1, F.lit(MIN_SEGMENT))
-    squeezed = safe_path_segment(F.when(title != "", title).otherwise(url), room)
-    return F.coalesce(F.try_element_at(fitting, F.lit(1)), F.concat_ws("/", base, squeezed))
+    return let(trail, lambda t: let(name, lambda n: place(t, n)))
 
 
 def image_path(folder: Column, url: Column, max_path: int = MAX_PATH) -> Column:
     """Path of one image under ``folder``; empty when no usable name fits."""
-    room = F.lit(max_path - 1 - SAFETY_MARGIN) - F.length(folder)
-    name = safe_filename(url, F.least(room, F.lit(MAX_FILENAME)))
-    return F.when(room < MIN_FILENAME, F.lit("")).otherwise(F.concat_ws("/", folder, name))
+
+    def within(folder):
+        room = F.lit(max_path - 1 - SAFETY_MARGIN) - F.length(folder)
+        name = let(F.least(room, F.lit(MAX_FILENAME)), lambda r: safe_filename(url, r))
+        return F.when(room < MIN_FILENAME, F.lit("")).otherwise(F.concat_ws("/", folder, name))
+
+    return let(folder, within)

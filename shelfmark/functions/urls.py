@@ -7,6 +7,7 @@ from urllib.parse import quote, urlparse, urlunparse
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from shelfmark.functions.base import let
 from shelfmark.functions.text import SPACE, strip
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
@@ -162,10 +163,11 @@ def _tidy_path(parts: Column) -> Column:
         .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.concat(done, F.array(part))),
     )
-    last = F.element_at(parts, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    joined = F.array_join(closed, "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    joined = F.array_join(F.concat(kept, open_end), "/")
+    return F.regexp_replace(joined, "^(?!/)", "/")
 
 
 def resolve_url(href: Column, base: Column) -> Column:
@@ -197,14 +199,17 @@ def resolve_url(href: Column, base: Column) -> Column:
 
 def absolutize_url(url: Column, base: Column) -> Column:
     """Absolute form of an image or link address; data URIs become empty."""
-    url = strip(F.coalesce(url, F.lit("")))
-    return (
-        F.when(url == "", F.lit(""))
-        .when(url.startswith("//"), F.concat(F.lit("https:"), url))
-        .when(url.rlike("^https?://"), url)
-        .when(url.startswith("data:"), F.lit(""))
-        .otherwise(resolve_url(url, base))
-    )
+
+    def choose(url):
+        return (
+            F.when(url == "", F.lit(""))
+            .when(url.startswith("//"), F.concat(F.lit("https:"), url))
+            .when(url.rlike("^https?://"), url)
+            .when(url.startswith("data:"), F.lit(""))
+            .otherwise(resolve_url(url, base))
+        )
+
+    return let(strip(F.coalesce(url, F.lit(""))), choose)
 
 
 def html_cache_key(url: Column) -> Column:

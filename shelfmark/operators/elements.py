@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.base import first_of, let
 from shelfmark.functions.text import strip
 from shelfmark.operators.rules import (
     IMAGE_ATTRIBUTES, MARKUP_FIELDS, SELECTORS, selector_parts, selector_pattern, selector_rows,
@@ -215,19 +216,10 @@ def apply_selector_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
 # ── Expressions over the element array of a page ──────────────────────────
 
 
-def let(value: Column, body) -> Column:
-    """``body`` over a value that is computed once, however often the body refers to it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def of_tag(elements: Column, tag: str) -> Column:
     return F.filter(elements, lambda e: e["tag"] == tag)
 
 
-def first_of(items: Column) -> Column:
-    return F.get(items, F.lit(0))
-
-
 def first_filled(values: Column) -> Column:
     """First non-empty string of an array, or an empty one."""
     return F.coalesce(first_of(F.filter(values, lambda v: v != "")), F.lit(""))

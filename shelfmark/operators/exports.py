@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.text import clean_html, raw_description, strip_control
-from shelfmark.operators.catalogue import distinct_list, has_title
-from shelfmark.runtime import scratch_path
+from shelfmark.operators.catalogue import distinct_list, distinct_values, has_title
+from shelfmark.runtime import cut_lineage
 from shelfmark.schema import EXPORT_FIELDS, export_rows
+from shelfmark.sources.logs import path_exists
 
 FORMATS = ["json", "csv", "excel", "xml", "categories", "brands"]
 
@@ -33,8 +34,10 @@ def excel_rows(df: DataFrame, clean: bool = True, keep: tuple = ()) -> DataFrame
 
 
 def _writer(df: DataFrame, partition: str | None):
-    writer = df.write.mode("errorifexists")
-    return writer.partitionBy(partition) if partition else writer
+    if partition is None:
+        return df.write.mode("errorifexists")
+    # Files per store of an even size: large stores are split, small ones share a task.
+    return df.hint("rebalance", partition).write.mode("errorifexists").partitionBy(partition)
 
 
 def append_product_log(df: DataFrame, path: str) -> None:
@@ -100,7 +103,7 @@ def export_bundle(df: DataFrame, root: str, sites: list | None = None, formats:
     others go on; rows are counted by one aggregation over the source.
     """
     spark = df.sparkSession
-    chosen = df if sites is None else df.where(F.col("site").isin(sites))
+    chosen = cut_lineage(df if sites is None else df.where(F.col("site").isin(sites)))
     errors = {}
     for fmt in formats:
         target = f"{root}/{fmt}"
@@ -176,8 +179,6 @@ def publish(df: DataFrame, table: str, version: str) -> None:
 
 def current_version(spark, table: str) -> str | None:
     """Newest published version, by name."""
-    from shelfmark.sources.logs import path_exists
-
     if not path_exists(spark, f"{table}/manifest"):
         return None
     row = spark.read.schema("version string").json(f"{table}/manifest").agg(F.max("version")).first()
@@ -191,14 +192,8 @@ def read_published(spark, table: str) -> DataFrame | None:
 
 def write_snapshot(products: DataFrame, failed: DataFrame, root: str, version: str) -> None:
     """Products, sorted distinct categories and failures, published as one version each."""
-    from shelfmark.operators.catalogue import distinct_values
-
     publish(products, f"{root}/products", version)
-    categories = distinct_values(products, "categories").select(F.col("value").alias("category"))
+    written = read_published(products.sparkSession, f"{root}/products")
+    categories = distinct_values(written, "categories").select(F.col("value").alias("category"))
     publish(categories.orderBy("category"), f"{root}/categories", version)
     publish(failed, f"{root}/failures", version)
-
-
-def scratch(df: DataFrame, name: str) -> str:
-    """A fresh path for a round trip, under the shared folder of the session."""
-    return scratch_path(df.sparkSession, name)

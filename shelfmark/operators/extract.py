@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.base import first_of, let
 from shelfmark.functions.money import currency_in, format_price, to_number
 from shelfmark.functions.text import alnum_key, clean_text, html_escape, strip, unescape_all
 from shelfmark.functions.urls import host_of
 from shelfmark.operators import jsonld
 from shelfmark.operators.elements import (
-    ERROR_TAG, css_hit, element_array, first_of, let, matched, meta_value, microdata_values, of_tag,
-    rule_numbers, selector_name, words,
+    ERROR_TAG, css_hit, element_array, matched, meta_value, microdata_values, of_tag, rule_numbers,
+    selector_name, words,
 )
 from shelfmark.operators.images import IMAGE_LIMIT, dedupe_image_variants, extract_images
 from shelfmark.operators.rules import BREADCRUMB_FILLER, CATEGORY_NOISE, SELECTORS

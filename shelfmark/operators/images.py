@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfmark.functions.base import first_of, let
 from shelfmark.functions.text import SPACE, strip
 from shelfmark.functions.urls import absolutize_url, is_junk_image, largest_from_srcset
 from shelfmark.operators.elements import (
-    first_filled, first_of, let, matched, meta_values, of_tag, rule_ids, rule_numbers, selector_name,
+    first_filled, matched, meta_values, of_tag, rule_ids, rule_numbers, selector_name,
 )
 from shelfmark.operators.rules import IMAGE_ATTRIBUTES, SELECTORS
 

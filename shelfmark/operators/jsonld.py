@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfmark.functions.base import first_of, let
 from shelfmark.functions.money import to_number
 from shelfmark.functions.text import SPACE, strip
-from shelfmark.operators.elements import first_filled, first_of, let
+from shelfmark.operators.elements import first_filled
 
 # Schema.org types, last name part, lower case.
 PRODUCT_TYPES = [
