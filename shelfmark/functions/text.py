@@ -35,10 +35,17 @@ def unescape_html(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def unescape_all(values: pd.Series) -> pd.Series:
-    """Decode every string of an array."""
+    """Decode every string of an array.
+
+    Non-deterministic for the planner: a filter on what is derived from the result must not
+    copy the call into its own expressions.
+    """
     return values.map(lambda items: [_decode(v) for v in items], na_action="ignore")
 
 
+unescape_all = unescape_all.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _unescape_once(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")

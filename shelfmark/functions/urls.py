@@ -96,15 +96,14 @@ def site_name(url: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown-site"))
 
 
+def _meaningful(path: Column) -> Column:
+    """A path less any leading front controllers."""
+    return F.regexp_replace(path, rf"(?i)^/*(?:(?:{any_of(FRONT_CONTROLLERS)})(?:/+|$))+", "/")
+
+
 def page_segments(path: Column) -> Column:
     """Non-empty path parts, less any leading front controllers."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    meaningful = F.filter(
-        F.transform(parts, lambda s, i: F.when(~F.lower(s).isin(FRONT_CONTROLLERS), i)),
-        lambda i: i.isNotNull(),
-    )
-    first = F.coalesce(F.try_element_at(meaningful, F.lit(1)), F.size(parts))
-    return F.slice(parts, first + 1, F.greatest(F.size(parts), F.lit(1)))
+    return F.filter(F.split(_meaningful(path), "/"), lambda s: s != "")
 
 
 def first_segment_key(url: Column) -> Column:
@@ -115,29 +114,20 @@ def first_segment_key(url: Column) -> Column:
 
 def is_archive_root(url: Column) -> Column:
     """The site root, or a catalogue index."""
-    return _is_root(page_segments(url_path(url)))
-
-
-def _is_root(segments: Column) -> Column:
-    only = F.lower(F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")))
-    return (F.size(segments) == 0) | ((F.size(segments) == 1) & only.isin(ARCHIVE_ROOTS))
+    return _meaningful(url_path(url)).rlike(f"(?i)^/*(?:{'|'.join(ARCHIVE_ROOTS)})?/*$")
 
 
 def is_scrapable_page(url: Column, host: Column | None = None) -> Column:
-    """True for a page address that may hold a product, on ``host`` when one is given."""
+    """True for a page address that may hold a product, on ``host`` when one is given.
+
+    Three patterns on the path, so that the test stays inside generated code: assets and pages
+    of another kind; then roots, catalogue indexes and single parts of up to three characters.
+    """
     url = F.coalesce(url, F.lit(""))
     path = F.lower(url_path(url))
-    segments = page_segments(path)
-    stub = (F.size(segments) == 1) & (
-        F.length(F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit(""))) <= 3
-    )
-    ok = (
-        url.rlike("^https?://")
-        & ~path.rlike(f"(?:{any_of(ASSET_SUFFIXES)})$")
-        & ~path.rlike(any_of(NON_PRODUCT_TOKENS))
-        & ~stub
-        & ~_is_root(segments)
-    )
+    unwanted = f"(?:{any_of(ASSET_SUFFIXES)})$|{any_of(NON_PRODUCT_TOKENS)}"
+    empty = f"^/*(?:[^/]{{1,3}}|{'|'.join(ARCHIVE_ROOTS)})?/*$"
+    ok = url.rlike("^https?://") & ~path.rlike(unwanted) & ~_meaningful(path).rlike(empty)
     return ok if host is None else ok & (F.coalesce(host, F.lit("")).isin("") | (host_of(url) == host))
 
 

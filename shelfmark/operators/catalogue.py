@@ -214,11 +214,12 @@ def lookup_product(df: DataFrame, refs: DataFrame, order: Column | str) -> DataF
 
 def run_progress(attempts: DataFrame, total: Column) -> DataFrame:
     """``(current, total, eta)`` of ``attempts(ts)``: one finished URL per row."""
+    seconds = F.col("ts").cast("timestamp").cast("double")
     seen = attempts.agg(
         F.count(F.lit(1)).alias("current"), total.alias("total"),
-        F.min("ts").alias("started"), F.max("ts").alias("now"),
+        F.min(seconds).alias("started"), F.max(seconds).alias("now"),
     )
-    elapsed = F.col("now").cast("double") - F.col("started").cast("double")
+    elapsed = F.col("now") - F.col("started")
     eta = F.when(
         F.col("current") > 0, F.round((F.col("total") - F.col("current")) * elapsed / F.col("current"), 2)
     ).otherwise(F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from shelfmark.functions.text import strip, unescape_html
+from shelfmark.functions.text import strip, unescape_all
 from shelfmark.functions.urls import (
     PRODUCT_HINTS, any_of, first_segment_key, has_product_hint, host_of, is_scrapable_page,
     looks_like_listing, resolve_url,
@@ -265,11 +265,11 @@ def anchor_hrefs(html: Column) -> Column:
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """``(page_url, pos, href)``: every anchor, resolved against its page, fragment and query cut."""
-    raw = pages.select(F.col("url").alias("page_url"), F.posexplode(anchor_hrefs(F.col("html"))).alias("pos", "raw"))
-    # Only references with an entity need the decoder; the others stay in the JVM.
-    bare = F.substring_index(unescape_html(F.col("raw")), "#", 1)
-    resolved = F.substring_index(resolve_url(F.col("bare"), F.col("page_url")), "?", 1)
-    return raw.withColumn("bare", bare).select("page_url", "pos", resolved.alias("href"))
+    hrefs = unescape_all(anchor_hrefs(F.col("html")))
+    listed = pages.select(F.col("url").alias("page_url"), hrefs.alias("hrefs"))
+    raw = listed.select("page_url", F.posexplode("hrefs").alias("pos", "raw"))
+    resolved = resolve_url(F.substring_index("raw", "#", 1), F.col("page_url"))
+    return raw.select("page_url", "pos", F.substring_index(resolved, "?", 1).alias("href"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -289,12 +289,15 @@ def urls_from_opencart(pages: DataFrame, selectors: dict = SELECTORS) -> DataFra
     )
     is_route = F.col("href").contains("product_id=") | F.col("href").contains("route=product/product")
     kept = anchors.where((F.coalesce(F.col("href"), F.lit("")) != "") & (F.col("listed") | is_route))
-    url = resolve_url(F.substring_index("href", "#", 1), F.col("page_url"))
-    plain = F.when(url.contains("product_id=") | url.contains("route="), url).otherwise(
-        F.substring_index(url, "?", 1)
+    resolved = kept.select(
+        "site", "page_url", resolve_url(F.substring_index("href", "#", 1), F.col("page_url")).alias("full")
+    )
+    # Listing links lose the search parameters they carry; route links are nothing without theirs.
+    plain = F.when(F.col("full").rlike("product_id=|route="), F.col("full")).otherwise(
+        F.substring_index("full", "?", 1)
     )
     return (
-        kept.select("site", "page_url", plain.alias("url"))
+        resolved.select("site", "page_url", plain.alias("url"))
         .where(is_scrapable_page(F.col("url"), host_of(F.col("page_url"))))
         .select("site", "url")
         .distinct()

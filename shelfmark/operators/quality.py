@@ -116,7 +116,7 @@ def retry_plan(attempts: DataFrame, order: list, retries: int = RETRIES, jitter:
         .select(
             "url", "attempts", F.col("last.outcome").alias("last_outcome"), "action", "delay",
             F.timestamp_micros(
-                F.unix_micros("last.ts") + (F.col("delay") * 1e6).cast("long")
+                F.unix_micros(F.col("last.ts").cast("timestamp")) + (F.col("delay") * 1e6).cast("long")
             ).alias("next_attempt_at"),
         )
     )

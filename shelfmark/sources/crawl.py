@@ -14,9 +14,9 @@ def read_page_archive(spark: SparkSession, path: str, urls: DataFrame) -> DataFr
     A corrupt or missing entry is a miss: such URLs give no row.
     """
     files = (
-        spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).text(path)
+        spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
         .select(
-            F.regexp_extract("_metadata.file_path", r"([0-9a-f]{40})\.html(?:\.gz)?$", 1).alias("_key"),
+            F.regexp_extract("_metadata.file_path", r"/(?:[^/]*=)?([0-9a-f]{40})\.html", 1).alias("_key"),
             F.col("value").alias("html"),
         )
     )
@@ -61,7 +61,7 @@ def read_scrape_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of names per file, as ``category``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
 
 

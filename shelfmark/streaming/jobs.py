@@ -99,8 +99,9 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
 
     def step(batch, batch_id):
         spark = batch.sparkSession
+        seconds = F.col("ts").cast("timestamp").cast("double")
         seen = batch.agg(
-            F.count(F.lit(1)).alias("current"), F.min("ts").alias("started"), F.max("ts").alias("now")
+            F.count(F.lit(1)).alias("current"), F.min(seconds).alias("started"), F.max(seconds).alias("now")
         )
         prior = _prior(spark, target, batch_id)
         if prior is not None:
@@ -108,7 +109,7 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
         state = seen.agg(
             F.sum("current").alias("current"), F.min("started").alias("started"), F.max("now").alias("now")
         )
-        elapsed = F.col("now").cast("double") - F.col("started").cast("double")
+        elapsed = F.col("now") - F.col("started")
         eta = F.round((F.lit(total) - F.col("current")) * elapsed / F.col("current"), 2)
         state = state.withColumn("total", F.lit(total).cast("long")).withColumn(
             "eta", F.when(F.col("current") > 0, eta).otherwise(0.0)
