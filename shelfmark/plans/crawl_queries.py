@@ -68,15 +68,24 @@ def _sites(spark, sf):
     return _parts(spark, sf).select("site", "base", "kind").distinct()
 
 
+INDEX_FILES = 50
+
+
+def _index_url(file):
+    return F.concat(F.col("base"), F.lit("/sitemap_index"), F.floor(file / INDEX_FILES).cast("string"), F.lit(".xml"))
+
+
 def index_sitemaps(spark, sf):
-    """An index per store: its leaf files and one that is missing."""
+    """Indexes of fifty leaf files each, every one with a child that is missing."""
     files = _parts(spark, sf).groupBy("site", "base", "sitemap_url").agg(F.first("file").alias("file"))
-    # One entry a file, at most as many as the driver's parts need; sorted by file number.
-    children = files.groupBy("site", "base").agg(F.array_sort(F.collect_list(F.struct("file", "sitemap_url"))).alias("c"))
+    # Fifty entries at most by construction, however many files a store has.
+    children = files.groupBy("site", "base", _index_url(F.col("file")).alias("index_url")).agg(
+        F.array_sort(F.collect_list(F.struct("file", "sitemap_url"))).alias("c")
+    )
     listed = F.transform("c", lambda c: F.concat(F.lit("<sitemap><loc>"), c["sitemap_url"], F.lit("</loc></sitemap>")))
-    missing = F.concat(F.lit("<sitemap><loc>"), "base", F.lit("/missing.xml</loc></sitemap>"))
+    missing = F.concat(F.lit("<sitemap><loc>"), "index_url", F.lit(".missing</loc></sitemap>"))
     return children.select(
-        "site", F.concat("base", F.lit("/sitemap_index.xml")).alias("sitemap_url"),
+        "site", F.col("index_url").alias("sitemap_url"),
         F.concat(F.lit("<SitemapIndex>"), F.array_join(listed, ""), missing, F.lit("</SitemapIndex>")).alias("xml"),
     )
 
@@ -94,7 +103,7 @@ def parse_sitemaps(spark, sf):
 
 @query("classify_sitemaps", f"""WITH {PARTS_SQL}
 SELECT DISTINCT sitemap_url, false AS is_index, kind = 0 AS is_product FROM urls
-UNION ALL SELECT DISTINCT concat(base, '/sitemap_index.xml'), true, false FROM urls""")
+UNION ALL SELECT DISTINCT concat(base, '/sitemap_index', file // 50, '.xml'), true, false FROM urls""")
 def classify_sitemaps(spark, sf):
     every = leaf_sitemaps(spark, sf).select("sitemap_url", "xml").unionByName(
         index_sitemaps(spark, sf).select("sitemap_url", "xml"))
@@ -102,14 +111,19 @@ def classify_sitemaps(spark, sf):
 
 
 @query("expand_sitemap_index", f"""WITH {PARTS_SQL}, files AS (
-  SELECT site, base, sitemap_url, file, false AS gone FROM urls GROUP BY ALL
-  UNION ALL SELECT site, base, concat(base, '/missing.xml'), max(file) + 1, true FROM urls GROUP BY site, base),
-placed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY file) AS visit FROM files)
-SELECT site, concat(base, '/sitemap_index.xml') AS sitemap_url, 0 AS visit, true AS found FROM urls GROUP BY ALL
-UNION ALL SELECT site, sitemap_url, visit, NOT gone FROM placed WHERE visit <= 60""")
+  SELECT site, sitemap_url, file // 50 AS k, file, false AS gone FROM urls GROUP BY ALL
+  UNION ALL SELECT site, concat(base, '/sitemap_index', file // 50, '.xml.missing'), file // 50, 1e9, true FROM urls GROUP BY ALL),
+indexes AS (SELECT DISTINCT site, base, file // 50 AS k FROM urls),
+counted AS (SELECT site, count(*) AS n FROM indexes GROUP BY site),
+placed AS (SELECT files.site, sitemap_url, gone, least(n, 61) + row_number() OVER (PARTITION BY files.site ORDER BY k, file) - 1 AS visit
+  FROM files JOIN counted USING (site) WHERE k <= 60)
+SELECT site, concat(base, '/sitemap_index', k, '.xml') AS sitemap_url, CAST(k AS INTEGER) AS visit, true AS found FROM indexes WHERE k <= 60
+UNION ALL SELECT site, sitemap_url, CAST(visit AS INTEGER), NOT gone FROM placed WHERE visit <= 60""")
 def expand_sitemap_index(spark, sf):
     documents = leaf_sitemaps(spark, sf).select("site", "sitemap_url", "xml").unionByName(index_sitemaps(spark, sf))
-    seeds = _sites(spark, sf).select("site", F.concat("base", F.lit("/sitemap_index.xml")).alias("sitemap_url"), F.lit(0).alias("pos"))
+    seeds = _parts(spark, sf).select(
+        "site", _index_url(F.col("file")).alias("sitemap_url"), F.floor(F.col("file") / INDEX_FILES).cast("int").alias("pos")
+    ).distinct()
     return D.expand_sitemap_index(documents, seeds)
 
 
@@ -289,14 +303,15 @@ def _platforms(spark, sf):
     )
 
 
-def _strategies(spark, sf):
-    return {
-        "sitemaps": D.urls_from_sitemaps(leaf_sitemaps(spark, sf)),
-        "shopify_api": D.urls_from_shopify(shopify_pages(spark, sf), PAGE_ITEMS).where("site not in ('nation-3', 'nation-7')"),
-        "woocommerce_api": D.urls_from_woo(post_pages(spark, sf, "permalink"), PAGE_ITEMS),
-        "opencart_routes": D.urls_from_opencart(_listing_pages(spark, sf)),
-        "listing_crawl": _crawled(spark, sf),
+def _strategies(spark, sf, *names):
+    build = {
+        "sitemaps": lambda: D.urls_from_sitemaps(leaf_sitemaps(spark, sf)),
+        "shopify_api": lambda: D.urls_from_shopify(shopify_pages(spark, sf), PAGE_ITEMS).where("site not in ('nation-3', 'nation-7')"),
+        "woocommerce_api": lambda: D.urls_from_woo(post_pages(spark, sf, "permalink"), PAGE_ITEMS),
+        "opencart_routes": lambda: D.urls_from_opencart(_listing_pages(spark, sf)),
+        "listing_crawl": lambda: _crawled(spark, sf),
     }
+    return {name: build[name]() for name in names or build}
 
 
 MERGED_SQL = API_SQL.format(cap=60) + SITEMAP_URLS_SQL[len(PARTS_SQL):] + CRAWL_SQL[len(PARTS_SQL):] + """, found AS (
@@ -317,8 +332,7 @@ def discover_products(spark, sf):
 SELECT site, url, min(s) AS strategy FROM (SELECT site, url, 'sitemaps' AS s FROM from_sitemaps
   UNION ALL SELECT site, url, 'woocommerce_api' FROM served) GROUP BY site, url""")
 def ordered_union(spark, sf):
-    strategies = _strategies(spark, sf)
-    kept = {k: strategies[k] for k in ("sitemaps", "woocommerce_api")}
+    kept = _strategies(spark, sf, "sitemaps", "woocommerce_api")
     return D.ordered_union(D.tag_strategies(kept)).select("site", "url", "strategy")
 
 
@@ -326,8 +340,7 @@ def ordered_union(spark, sf):
 SELECT site, strategy, count(*) AS n FROM (SELECT site, 'sitemaps' AS strategy FROM from_sitemaps
   UNION ALL SELECT site, 'woocommerce_api' FROM served) GROUP BY site, strategy""")
 def strategy_counts(spark, sf):
-    strategies = _strategies(spark, sf)
-    kept = {k: strategies[k] for k in ("sitemaps", "woocommerce_api")}
+    kept = _strategies(spark, sf, "sitemaps", "woocommerce_api")
     return D.strategy_counts(D.tag_strategies(kept))
 
 

@@ -347,17 +347,10 @@ def read_product_log(spark, sf):
 
 @query("scan_sites", READ_SQL)
 def scan_sites(spark, sf):
-    """One log per store folder; the store is read off the path."""
+    """One log per store folder, written in one job; the store is read off the path."""
     root = scratch_path(spark, "sites")
-    lines = _dirty_lines(spark, sf)
-    names = [r.site for r in table(spark, sf, "nation").select(
-        F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("site")).collect()]
-    # 25 stores at any scale, so a write per store; the rows themselves are never collected.
-    kept = lines.persist()
-    for name in names:
-        kept.where(F.col("site") == name).select("value").write.text(f"{root}/{name}/products.jsonl")
-    kept.where("site = 'nation-1'").select("value").write.text(f"{root}/.hidden/products.jsonl")
-    kept.unpersist()
+    lines = _dirty_lines(spark, sf).withColumn("log", F.lit(L.LOG_NAME))
+    lines.hint("rebalance", "site").write.partitionBy("site", "log").text(root)
     extra = {k: v for k, v in EXTRA.items() if k != "site"}
     return _read_back(L.scan_sites(spark, root, extra))
 
@@ -375,10 +368,9 @@ SELECT url, title, brand, price_value FROM latest""")
 def read_product_snapshot(spark, sf):
     """One JSON array per store, built from its records on Spark, and one broken file."""
     path = scratch_path(spark, "snapshot")
-    records = latest(spark, sf, EXPORT_FIELDS)
-    # Bounded arrays: a snapshot file holds the records of one key range, not a whole store.
-    chunk = F.pmod(F.xxhash64("url"), F.lit(max(64, records.rdd.getNumPartitions())))
-    arrays = records.groupBy(chunk.alias("chunk")).agg(
+    records = latest(spark, sf, [*EXPORT_FIELDS, "l_partkey"])
+    # A file is one array of the records of 500 neighbouring products, whatever the log's size.
+    arrays = records.groupBy(F.floor(F.col("l_partkey") / 500).alias("chunk")).agg(
         F.to_json(F.collect_list(F.struct(*EXPORT_FIELDS)), {"ignoreNullFields": "false"}).alias("value")
     )
     arrays.select("value", "chunk").write.partitionBy("chunk").text(path)

@@ -156,10 +156,10 @@ def extract_links(spark, sf):
 
 
 @query("link_frontier", f"""WITH {ANCHORS_SQL} SELECT DISTINCT {HOST_SQL.replace('url', 'page_url', 1)} AS site, href AS url
-FROM anchors WHERE {scrapable_sql('path')} AND href NOT IN (SELECT href FROM anchors WHERE page_id % 2 = 0)""")
+FROM anchors WHERE {scrapable_sql('path')} AND href NOT IN (SELECT href FROM anchors WHERE page_url LIKE 'https:%')""")
 def link_frontier(spark, sf):
-    """Targets of all pages that no page with an even number has shown yet."""
-    seen = pages(spark, sf).where("page_id % 2 = 0")
+    """Targets of all pages that no page fetched over https has shown yet."""
+    seen = pages(spark, sf).where("url LIKE 'https:%'")
     links = D.extract_links(pages(spark, sf)).withColumn("site", U.host_of(F.col("page_url")))
     visited = D.extract_links(seen).select(U.host_of(F.col("page_url")).alias("site"), F.col("href").alias("url"))
     return D.link_frontier(links, visited)
@@ -392,18 +392,20 @@ def extract_images(spark, sf):
     return found.select("p_partkey", F.array_join("images", "|").alias("images"))
 
 
-@query("array_caps", "SELECT p_partkey, 30 AS n FROM part WHERE p_partkey % 50 = 0")
+@query("array_caps", "SELECT p_partkey, least(p_size, 30) AS n FROM part")
 def array_caps(spark, sf):
     """Thirty images at most, whatever a page offers."""
-    many = F.transform(F.sequence(F.lit(1), F.lit(45)), lambda n: F.concat(F.lit("/i/"), n.cast("string"), F.lit(".jpg")))
+    many = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda n: F.concat(F.lit("/i/"), n.cast("string"), F.lit(".jpg")))
     capped = F.slice(I.dedupe_image_variants(many), 1, I.IMAGE_LIMIT)
-    return table(spark, sf, "part").where("p_partkey % 50 = 0").select("p_partkey", F.size(capped).alias("n"))
+    return table(spark, sf, "part").select("p_partkey", F.size(capped).alias("n"))
 
 
-@query("image_from_tag", f"SELECT p_partkey, pos, CASE pos WHEN 0 THEN '' WHEN 1 THEN concat({ROOT_URL}, '-300x300.jpg') ELSE concat({ROOT_URL}, '-z.jpg') END AS source "
-       "FROM part CROSS JOIN (VALUES (0), (1), (2)) t(pos) WHERE p_partkey % 6 = 3")
+@query("image_from_tag", f"""
+SELECT p_partkey, pos, CASE pos WHEN 0 THEN '' WHEN 1 THEN concat({ROOT_URL}, '-300x300.jpg') ELSE concat({ROOT_URL}, '-z.jpg') END AS source
+FROM part CROSS JOIN (VALUES (0), (1), (2)) t(pos) WHERE p_partkey % 6 = 3
+UNION ALL SELECT p_partkey, 0, concat('https://cdn.example/', p_partkey, '.png') FROM part WHERE p_partkey % 6 = 5""")
 def image_from_tag(spark, sf):
-    tags = part_pages(spark, sf).where("p_partkey % 6 = 3").select(
+    tags = part_pages(spark, sf).select(
         "p_partkey", I.image_tags(E.element_array(F.col("html")), F.col("url")).alias("tags")
     )
     return tags.select("p_partkey", F.posexplode("tags").alias("pos", "t")).select("p_partkey", "pos", "t.source")
@@ -460,15 +462,16 @@ def failures(spark, sf):
 
 
 @query("read_page_archive", """
-SELECT url, min(page_id) AS page_id, length(arg_min(html, page_id)) AS chars FROM pages GROUP BY url HAVING min(page_id) % 9 <> 0""")
+SELECT url, min(page_id) AS page_id, length(arg_min(html, page_id)) AS chars FROM pages GROUP BY url""")
 def read_page_archive(spark, sf):
-    """Pages written one file each under the hash of their address, some missing, then looked up."""
+    """Pages written one file each under the hash of their address; half of what is asked for is missing."""
     path = scratch_path(spark, "archive")
-    asked = pages(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    stored = pages(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
     name = F.concat(U.html_cache_key(F.col("url")), F.lit(".html"))
-    kept = asked.where("page_id % 9 <> 0").select(name.alias("name"), F.col("html").alias("value"))
-    kept.repartition("name").write.partitionBy("name").option("compression", "gzip").text(path)
-    found = SC.read_page_archive(spark, path, asked.select("url", "page_id"))
+    files = stored.select(name.alias("name"), F.col("html").alias("value"))
+    files.hint("rebalance").write.partitionBy("name").option("compression", "gzip").text(path)
+    asked = stored.select(F.explode(F.array("url", F.concat("url", F.lit("-gone")))).alias("url"), "page_id")
+    found = SC.read_page_archive(spark, path, asked)
     # The writer ends each file with a line break.
     return found.select("url", "page_id", (F.length("html") - 1).cast("long").alias("chars"))
 

@@ -95,11 +95,15 @@ def load_resume(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_sites(spark: SparkSession, root: str, extra: dict | None = None) -> DataFrame:
-    """Logs of every store under ``root`` with ``site`` and ``modified``; hidden folders are skipped."""
-    path = F.col("_metadata.file_path")
-    lines = spark.read.text(f"{root}/*/{LOG_NAME}").select(
+    """Logs of every store under ``root`` with ``site`` and ``modified``; hidden folders are skipped.
+
+    A store is a folder ``<site>/products.jsonl`` (a file or a folder of files), or the same with
+    Spark's partition names, ``site=<site>/log=products.jsonl``.
+    """
+    folder = rf"/(?:site=)?([^/]+)/(?:log=)?{LOG_NAME}(?:/[^/]*)?$"
+    lines = spark.read.text(f"{root}/*/*{LOG_NAME}").select(
         "value",
-        F.try_url_decode(F.regexp_extract(path, rf"/([^/]+)/{LOG_NAME}(?:/[^/]*)?$", 1)).alias("site"),
+        F.try_url_decode(F.regexp_extract("_metadata.file_path", folder, 1)).alias("site"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
     return parse_product_lines(lines.where(~F.col("site").startswith(".")), extra)
