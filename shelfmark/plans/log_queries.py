@@ -316,7 +316,8 @@ def append_product_log(spark, sf):
 def _dirty_lines(spark, sf):
     """The log as text: with blank, torn, list-valued and scalar lines in between."""
     log = product_log(spark, sf)
-    good = F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"})
+    log = log.select("site", "l_orderkey", F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"}).alias("line"))
+    good = F.col("line")
     noise = (
         F.when(F.col("l_orderkey") % 4 == 0, F.array(good, F.lit("")))
         .when(F.col("l_orderkey") % 4 == 1, F.array(good, F.substr(good, F.lit(1), F.length(good) - 5)))

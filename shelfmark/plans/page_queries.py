@@ -15,7 +15,7 @@ from shelfmark.operators import images as I
 from shelfmark.operators import jsonld as J
 from shelfmark.plans.registry import query
 from shelfmark.plans.tables import PARSED_SQL, part_pages, table
-from shelfmark.runtime import scratch_path
+from shelfmark.runtime import scratch_path, spread
 from shelfmark.sources import crawl as SC
 
 # What the driver's pages hold of entities, decoded.
@@ -25,7 +25,7 @@ PATH_SQL = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
 def _each(name, sql_value, column, source="pages", key="page_id"):

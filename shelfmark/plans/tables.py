@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import html_escape
+from shelfmark.runtime import spread
 
 # Unique per line item.
 ORDER = [
@@ -31,7 +32,7 @@ def _site(key: str) -> Column:
 
 def product_facts(spark, sf_dir) -> DataFrame:
     """One row per part with the fields of its record that do not change between scrapes."""
-    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    part, nation = spread(table(spark, sf_dir, "part")), table(spark, sf_dir, "nation")
     stores = nation.select(
         F.col("n_nationkey").cast("long").alias("_store"),
         F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("site"),
@@ -59,7 +60,7 @@ def product_facts(spark, sf_dir) -> DataFrame:
 
 def product_log(spark, sf_dir) -> DataFrame:
     """One record per line item: the product log, with the columns of ``ORDER``."""
-    lines = table(spark, sf_dir, "lineitem").select(*ORDER)
+    lines = spread(table(spark, sf_dir, "lineitem").select(*ORDER))
     facts = product_facts(spark, sf_dir)
     quantity = F.col("l_quantity").cast("long").cast("string")
     return lines.join(facts, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -197,7 +198,7 @@ def part_pages(spark, sf_dir) -> DataFrame:
         lit("<script>var a = '</p>';</script></body></html>"),
     )
     url = F.concat(lit("https://www."), site, lit(".example/item/"), number)
-    return table(spark, sf_dir, "part").select("p_partkey", site.alias("site"), url.alias("url"), html.alias("html"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", site.alias("site"), url.alias("url"), html.alias("html"))
 
 
 # What a reader should find on those pages, as SQL.

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -66,8 +66,14 @@ def with_global_index(df: DataFrame, order: list, name: str = "index") -> DataFr
     )
 
 
-def as_col(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few splits a partition per core; a scan that has enough is left alone.
+
+    For inputs of one small file in front of work that is heavy per row. Only for plain scans:
+    asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 _BUILT: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.functions.text import float_text, strip
+from shelfmark.functions.text import float_text
 from shelfmark.schema import ALL_FIELDS, FIELD_TYPES, LIST_FIELDS, PRODUCT_SCHEMA, normalize_records
 
 LOG_NAME, SNAPSHOT_NAME = "products.jsonl", "products.json"
@@ -19,43 +19,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _text_of(value: Column) -> Column:
+    """Text of a scalar as the log's writer would print it; strings are by far the usual case."""
     kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
     return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string"))
+        F.when(kind == "STRING", text)
+        .when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string"))
         .when(kind == "BOOLEAN", F.initcap(text))
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(F.try_variant_get(value, "$", "double")))
         .otherwise(text)
     )
 
 
-def _field(name: str) -> Column:
-    value = F.try_variant_get("_r", f"$.{name}", "variant")
-    if name in LIST_FIELDS:
-        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), _text_of)
-        alone = F.when(~F.is_variant_null(value), F.array(_text_of(value)))
-        out = F.coalesce(listed, alone)
-    elif name == "extracted_by":
-        out = F.try_variant_get(value, "$", "map<string,string>")
-    elif name in FIELD_TYPES:
-        out = F.try_variant_get(value, "$", FIELD_TYPES[name].simpleString())
-    else:
-        out = _text_of(value)
-    return out.alias(name)
-
-
 def parse_product_lines(lines: DataFrame, extra: dict | None = None) -> DataFrame:
     """Records of a ``value`` column of JSON lines; other columns are carried along.
 
     Blank lines, torn lines and lines that hold no object give no row. ``extra`` maps names of
-    further JSON fields to their types (such as the time and sequence number of a scrape).
+    further JSON fields to their types (such as the time and sequence number of a scrape). The
+    object is taken apart once, into a struct; only fields that may hold several kinds of value
+    stay Variant until their kind is known.
     """
     carried = [c for c in lines.columns if c != "value"]
-    is_object = strip(F.col("value")).startswith("{")
-    parsed = lines.where(is_object).select(*carried, F.try_parse_json("value").alias("_r"))
-    more = [F.try_variant_get("_r", f"$.{k}", t).alias(k) for k, t in (extra or {}).items()]
-    fields = [_field(name) for name in ALL_FIELDS]
-    return normalize_records(parsed.where("_r is not null").select(*fields, *more, *carried))
+    direct = {n: t for n, t in FIELD_TYPES.items() if n not in LIST_FIELDS}
+    wanted = {n: direct[n].simpleString() if n in direct else "variant" for n in ALL_FIELDS}
+    wanted.update(extra or {})
+    record = f"struct<{','.join(f'{n}:{t}' for n, t in wanted.items())}>"
+    parsed = lines.where(F.col("value").rlike(r"^[\s\x1c-\x1f\u00a0\ufeff]*\{")).select(
+        *carried, F.try_variant_get(F.try_parse_json("value"), "$", record).alias("_r")
+    )
+    texts = [n for n in ALL_FIELDS if n not in FIELD_TYPES]
+
+    def listed(name):
+        value = F.col(f"_r.{name}")
+        alone = F.when(~F.is_variant_null(value), F.transform(F.array(value), _text_of))
+        return F.coalesce(F.try_variant_get(value, "$", "array<string>"), alone).alias(name)
+
+    # One short expression over all text fields keeps the generated code small.
+    read = parsed.where("_r is not null").select(
+        F.transform(F.array(*[F.col(f"_r.{n}") for n in texts]), _text_of).alias("_t"),
+        *[listed(n) for n in LIST_FIELDS],
+        *[F.col(f"_r.{n}").alias(n) for n in [*direct, *(extra or {})]],
+        *carried,
+    )
+    fields = [F.get("_t", F.lit(i)).alias(n) for i, n in enumerate(texts)]
+    return normalize_records(read.select(*fields, *[c for c in read.columns if c != "_t"]))
 
 
 def read_product_log(spark: SparkSession, path: str, extra: dict | None = None) -> DataFrame:
