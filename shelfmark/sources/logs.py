@@ -51,7 +51,7 @@ def parse_product_lines(lines: DataFrame, extra: dict | None = None) -> DataFram
 
     def listed(name):
         value = F.col(f"_r.{name}")
-        alone = F.when(~F.is_variant_null(value), F.transform(F.array(value), _text_of))
+        alone = F.when(value.isNotNull() & ~F.is_variant_null(value), F.transform(F.array(value), _text_of))
         return F.coalesce(F.try_variant_get(value, "$", "array<string>"), alone).alias(name)
 
     # One short expression over all text fields keeps the generated code small.
@@ -71,18 +71,15 @@ def read_product_log(spark: SparkSession, path: str, extra: dict | None = None)
 
 
 def read_product_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot that is one JSON array; missing or unreadable ones are empty."""
+    """A snapshot that is one JSON array; missing or unreadable ones are empty.
+
+    A file is one document and so one row at first; its records are rows from then on and are
+    read like lines of a log.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], PRODUCT_SCHEMA)
-    corrupt = "_corrupt"
-    raw = (
-        spark.read.schema(PRODUCT_SCHEMA.add(corrupt, "string") if corrupt not in PRODUCT_SCHEMA.names else PRODUCT_SCHEMA)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", corrupt)
-        .json(path)
-    )
-    whole = raw.where(F.col(corrupt).isNull()) if corrupt in raw.columns else raw
-    return normalize_records(whole.select(*ALL_FIELDS))
+    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
+    return parse_product_lines(text.select(F.explode(F.from_json("value", "array<string>")).alias("value")))
 
 
 def load_products(spark: SparkSession, folder: str, extra: dict | None = None) -> DataFrame:
