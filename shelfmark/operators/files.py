@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.functions.paths import image_path, product_dir, safe_path_segment
 from shelfmark.functions.text import html_to_markdown, html_to_text
 from shelfmark.functions.urls import host_of, site_name, store_host, with_params
-from shelfmark.operators.catalogue import has_title
 
 # File kinds by extension.
 FILE_KINDS = {
@@ -94,74 +93,93 @@ def product_folder_index(files: DataFrame) -> DataFrame:
     )
 
 
+def _prefixes(text: Column) -> Column:
+    """Every non-empty prefix of a text."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substr(text, F.lit(1), n))
+
+
+def _similar_files(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files of a folder whose name is like the wanted one: ``(site, url, src, try, path)``.
+
+    Two stems are alike when the first characters of one are the beginning of the other. That is
+    two equi-joins on prefixes: the wanted stem's prefixes with whole stored stems, and the
+    wanted stem with the stored stems' prefixes. Stored files are reduced to one per key before
+    they are joined, so a folder full of similar names stays linear.
+    """
+    stem = F.substring(stem_of(F.col("_name")), 1, STEM_PREFIX)
+    wanted = asked.select(
+        "site", "url", "src", stem.alias("_stem"), F.posexplode(F.array("_computed", "_indexed")).alias("try", "dir")
+    ).where("dir is not null")
+    stored = listed.join(wanted.select("site", "dir").distinct(), ["site", "dir"], "left_semi").select(
+        "site", "dir", "path", F.substring(stem_of(F.col("name")), 1, STEM_PREFIX).alias("key")
+    )
+    whole = stored.groupBy("site", "dir", "key").agg(F.min("path").alias("path"))
+    begun = (
+        whole.select("site", "dir", F.explode(_prefixes(F.col("key"))).alias("key"), "path")
+        .groupBy("site", "dir", "key").agg(F.min("path").alias("path"))
+    )
+    keys = ["site", "dir", "key"]
+    shorter = wanted.withColumn("key", F.explode(_prefixes(F.col("_stem")))).join(whole, keys)
+    longer = wanted.withColumn("key", F.col("_stem")).join(begun, keys)
+    columns = ["site", "url", "src", "try", "path"]
+    return shorter.select(*columns).unionByName(longer.select(*columns))
+
+
 def resolve_images(wanted: DataFrame, files: DataFrame, index: DataFrame, root: Column) -> DataFrame:
     """Stored path of each product image, or an empty one, with how it was found.
 
-    ``wanted(site, url, title, categories, src)``; ``files(site, path)``. In order: the exact
-    computed path; a file of the product's folder with the same name; one whose stem equals the
-    wanted stem or starts with the other's first characters; the flat layout of older data;
-    any folder of the product's name. Every step is an equi-join (on path, or on folder with a
-    prefix test on its few files); rows found by one step do not enter the next.
+    ``wanted(site, url, title, categories, src)``; ``files(site, path)``. Two folders are tried,
+    the computed one and then the one ``index`` knows for the URL. In each: the exact computed
+    path, the same name, a similar name. What is left is looked for in the flat layout of older
+    data, then in any folder of the product's name. All of it is equi-joins on whole keys.
     """
     base_name = name_of(F.substring_index(F.coalesce("src", F.lit("")), "?", 1))
+    computed = product_dir(root, F.col("categories"), F.col("title"), F.col("url"))
+    indexed = index.select("site", "url", F.concat_ws("/", "folder", F.lit("images")).alias("_indexed"))
     asked = wanted.select(
-        *wanted.columns,
-        F.concat_ws("/", product_dir(root, F.col("categories"), F.col("title"), F.col("url")), F.lit("images"))
-        .alias("_computed"),
+        "site", "url", "src", F.concat_ws("/", computed, F.lit("images")).alias("_computed"),
         base_name.alias("_name"), safe_path_segment(F.col("title")).alias("_folder_name"),
-    ).join(index.select("site", "url", F.concat_ws("/", "folder", F.lit("images")).alias("_indexed")),
-           ["site", "url"], "left")
+    ).where("_name <> ''").join(indexed, ["site", "url"], "left")
     listed = files.select(
         "site", "path", parent_of(F.col("path")).alias("dir"), name_of(F.col("path")).alias("name")
     )
-    keys = wanted.columns
-    # Candidate paths in order of preference, one row each, so that one equi-join settles them.
-    # A computed image path is only tried in a folder that has images at all.
-    exact = F.array(
-        image_path(F.col("_computed"), F.col("src")), F.concat_ws("/", "_computed", "_name"),
-        image_path(F.col("_indexed"), F.col("src")), F.concat_ws("/", "_indexed", "_name"),
-    )
-    tried = asked.select(*keys, "_computed", "_indexed", "_name", "_folder_name",
-                         F.posexplode(exact).alias("_try", "path"))
-    best = (
-        tried.where(F.coalesce(F.col("path"), F.lit("")) != "")
+    row = ["site", "url", "src"]
+
+    # Ranks: exact path, same name, similar name; 0 to 2 in the first folder, 3 to 5 in the second.
+    tries = F.array(*[
+        F.struct(F.lit(rank).alias("rank"), path.alias("path"))
+        for rank, path in (
+            (0, image_path(F.col("_computed"), F.col("src"))),
+            (1, F.concat(F.col("_computed"), F.lit("/"), F.col("_name"))),
+            (3, image_path(F.col("_indexed"), F.col("src"))),
+            (4, F.concat(F.col("_indexed"), F.lit("/"), F.col("_name"))),
+        )
+    ])
+    exact = (
+        asked.select(*row, F.explode(tries).alias("t")).select(*row, "t.*")
+        .where(F.coalesce(F.col("path"), F.lit("")) != "")
         .join(listed.select("site", "path"), ["site", "path"])
-        .groupBy("site", "url", "src")
-        .agg(F.min_by("path", "_try").alias("path"))
-        .withColumn("how", F.lit("exact"))
+        .groupBy(*row).agg(F.min(F.struct("rank", "path")).alias("best"))
     )
-    left = asked.join(best.select("site", "url", "src"), ["site", "url", "src"], "left_anti").where("_name <> ''")
-    stem, other = stem_of(F.col("_name")), stem_of(F.col("name"))
-    alike = (
-        (stem == other)
-        | other.startswith(F.substring(stem, 1, STEM_PREFIX))
-        | stem.startswith(F.substring(other, 1, STEM_PREFIX))
+    settled = exact.where("best.rank <= 1").select(*row)
+    similar = _similar_files(asked.join(settled, row, "left_anti"), listed).select(
+        *row, F.struct((F.col("try") * 3 + 2).alias("rank"), "path").alias("best")
     )
-    near = (
-        left.select(*keys, "_name", F.posexplode(F.array("_computed", "_indexed")).alias("_try", "dir"))
-        .join(listed, ["site", "dir"])
-        .where(alike)
-        .groupBy("site", "url", "src")
-        .agg(F.min_by("path", F.struct("_try", "path")).alias("path"))
-        .withColumn("how", F.lit("near"))
-    )
-    still = left.join(near.select("site", "url", "src"), ["site", "url", "src"], "left_anti")
+    direct = exact.unionByName(similar).groupBy(*row).agg(F.min("best").alias("best"))
     parent_name, grand_name = name_of(F.col("dir")), name_of(parent_of(F.col("dir")))
-    flat = F.when(grand_name == "images", F.struct(F.lit(0).alias("layout"), parent_name.alias("_folder_name")))
-    nested = F.when(parent_name == "images", F.struct(F.lit(1).alias("layout"), grand_name.alias("_folder_name")))
-    older = listed.select(
-        "site", F.col("name").alias("_name"), "path",
-        F.explode(F.array_compact(F.array(flat, nested))).alias("_l"),
-    ).select("site", "_name", "path", "_l.*")
-    legacy = (
-        still.join(older, ["site", "_folder_name", "_name"])
-        .groupBy("site", "url", "src")
-        .agg(F.min_by("path", F.struct("layout", "path")).alias("path"))
-        .withColumn("how", F.lit("legacy"))
+    flat = F.when(grand_name == "images", F.struct(F.lit(6).alias("rank"), parent_name.alias("_folder_name")))
+    nested = F.when(parent_name == "images", F.struct(F.lit(7).alias("rank"), grand_name.alias("_folder_name")))
+    older = (
+        listed.select("site", F.col("name").alias("_name"), "path", F.explode(F.array_compact(F.array(flat, nested))).alias("l"))
+        .groupBy("site", F.col("l._folder_name").alias("_folder_name"), "_name")
+        .agg(F.min(F.struct("l.rank", "path")).alias("best"))
     )
-    found = best.unionByName(near).unionByName(legacy)
-    return wanted.select("site", "url", "src").join(found, ["site", "url", "src"], "left").select(
-        "site", "url", "src", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("how", F.lit("missing")).alias("how")
+    legacy = asked.join(direct.select(*row), row, "left_anti").join(older, ["site", "_folder_name", "_name"])
+    found = direct.unionByName(legacy.select(*row, "best"))
+    how = F.when(F.col("best.rank").isin(2, 5), "near").when(F.col("best.rank") >= 6, "legacy").otherwise("exact")
+    return wanted.select(*row).join(found, row, "left").select(
+        *row, F.coalesce("best.path", F.lit("")).alias("path"),
+        F.when(F.col("best").isNull(), "missing").otherwise(how).alias("how"),
     )
 
 
@@ -252,7 +270,3 @@ def validate_store_url(asked: DataFrame, summary: DataFrame, folders: DataFrame)
             F.coalesce("versions", F.lit(0)).alias("versions"),
         )
     )
-
-
-def titled(products: DataFrame) -> DataFrame:
-    return products.where(has_title())

@@ -224,3 +224,27 @@ def test_images_are_found_in_every_layout(spark):
     assert {r.url: (r.path, r.how) for r in got} == {
         "u0": ("r/C/One/images/a.jpg", "exact"), "u1": ("r/C/Two/images/b_ab12cd.jpg", "near"), "u2": ("old/f3/images/c.jpg", "exact"),
         "u3": ("img/images/Four/d.jpg", "legacy"), "u4": ("x/Five/images/e.jpg", "legacy"), "u5": ("", "missing")}
+
+
+def test_similar_names_match_brute_force(spark):
+    """One folder holds nearly all files, with names that begin alike."""
+    rng = random.Random(3)
+    long = "p" * 45
+
+    def stem():
+        return rng.choice(["a", "ab", "abc", long, long[:39] + "q", long + "z"]) + rng.choice(["", "x", "_1a2b3c", str(rng.randint(0, 5))])
+
+    stored = sorted({f"r/C/T/images/{stem()}.jpg" for _ in range(60)})
+    names = sorted({f"{stem()}.png" for _ in range(60)})
+    wanted = spark.createDataFrame([("s", f"u{i}", "T", ["C"], f"https://s.test/{n}") for i, n in enumerate(names)],
+                                   "site string, url string, title string, categories array<string>, src string")
+    files = spark.createDataFrame([("s", p) for p in stored], "site string, path string")
+    index = spark.createDataFrame([], "site string, url string, folder string")
+    got = {r.url: r.path for r in FI.resolve_images(wanted, files, index, F.lit("r")).collect()}
+
+    def alike(a, b):
+        return b.startswith(a[:40]) or a.startswith(b[:40])
+
+    for i, name in enumerate(names):
+        matches = [p for p in stored if alike(name[:-4], p.split("/")[-1][:-4])]
+        assert got[f"u{i}"] == (min(matches) if matches else ""), name
