@@ -32,7 +32,7 @@ def _site(key: str) -> Column:
 
 def product_facts(spark, sf_dir) -> DataFrame:
     """One row per part with the fields of its record that do not change between scrapes."""
-    part, nation = spread(table(spark, sf_dir, "part")), table(spark, sf_dir, "nation")
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
     stores = nation.select(
         F.col("n_nationkey").cast("long").alias("_store"),
         F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("site"),
@@ -60,8 +60,9 @@ def product_facts(spark, sf_dir) -> DataFrame:
 
 def product_log(spark, sf_dir) -> DataFrame:
     """One record per line item: the product log, with the columns of ``ORDER``."""
-    lines = spread(table(spark, sf_dir, "lineitem").select(*ORDER))
-    facts = product_facts(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(*ORDER)
+    # Both sides grow with the data and neither may be broadcast; a hot part is split by AQE.
+    facts = product_facts(spark, sf_dir).hint("merge")
     quantity = F.col("l_quantity").cast("long").cast("string")
     return lines.join(facts, F.col("l_partkey") == F.col("p_partkey")).select(
         "title", "brand", F.concat(F.lit("USD "), quantity).alias("price"), "url", "categories", "images",
