@@ -25,3 +25,19 @@ def op9(spark, sf_dir):
     from shelfmark.llm.simhash import simhash_near_dedup
 
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    import public_tokenizers
+    from shelfmark.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    import public_tokenizers
+    from shelfmark.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
