@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table
+from shelfmark.llm.common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,3 +66,21 @@ def op10(spark, sf_dir):
     from shelfmark.llm.decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    from shelfmark.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.where(fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    from shelfmark.llm.toxicity import fit, toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity(docs, fit(docs, labels.where(fold("doc_id", 5) != 0)))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
