@@ -84,3 +84,12 @@ def op4(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity(docs, fit(docs, labels.where(fold("doc_id", 5) != 0)))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op6_lm_scoring")
+def op6(spark, sf_dir):
+    from shelfmark.llm.ngrams import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    found = score_texts(docs, fit(docs.where(fold("doc_id", 7) != 2)))
+    return found.withColumn("held_out", fold("doc_id", 7) == 2)
