@@ -93,3 +93,10 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = score_texts(docs, fit(docs.where(fold("doc_id", 7) != 2)))
     return found.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark, sf_dir):
+    from shelfmark.llm.substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
