@@ -160,14 +160,15 @@ def _located(held, batch, row, mine, word, what):
     )
 
 
-def _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, item_column, locate=False):
-    kind = docs.schema[id_column].dataType
+def _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, item_column, locate=False, keep=None):
+    own = F.struct(*keep) if keep else F.col(id_column)
+    kind = docs.select(own.alias("doc_id")).schema["doc_id"].dataType
     if locate:
         schema = T.StructType([T.StructField("doc_id", kind)]).add("item_id", "string").add("word", "long").add("n_words", "long")
     else:
         spans = T.ArrayType(T.StructType().add("s", "long").add("e", "long"))
         schema = T.StructType().add("row", "long").add("doc_id", kind).add("n_words", "long").add("spans", spans).add("items", T.ArrayType(T.StringType()))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), F.col(text_column).alias("text"))
     found = []
     for block in _blocks(benchmark, item_column, text_column, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(Suffixes.of(block, window))
@@ -201,16 +202,17 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-    id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
+    id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", keep: list[str] | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
     A shard is a run of whole texts within a task; its suffix array is searched for every window of
     the benchmark, which travels in blocks of bounded bytes. Null and empty texts have no words, a
     null item is no item, and items of equal text or id count once each by id. Repeated rows give
-    repeated results, and a null id is kept. No shuffle unless the benchmark has several blocks.
+    repeated results, and a null id is kept. No shuffle unless the benchmark has several blocks. With ``keep`` the rows have
+    those columns of ``docs`` instead of the id.
     """
-    found, blocks = _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, item_column)
+    found, blocks = _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, item_column, keep=keep)
     if blocks > 1:
         found = found.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
@@ -224,6 +226,6 @@ def decontaminate(
     )
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        *([F.col("doc_id")[c].alias(c) for c in keep] if keep else ["doc_id"]), "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )

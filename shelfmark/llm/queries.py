@@ -100,3 +100,22 @@ def op5(spark, sf_dir):
     from shelfmark.llm.substrings import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM p GROUP BY a) USING (vec_id)
+JOIN (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY a) USING (vec_id)"""
+
+
+@query("op8_embedding_near_dedup", OP8_SQL)
+def op8(spark, sf_dir):
+    from shelfmark.llm.hamming import embedding_near_dedup
+
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))

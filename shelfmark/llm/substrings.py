@@ -336,36 +336,44 @@ def _removed(spans: bytes, size: int) -> list[tuple[int, int]]:
 
 
 def substring_dedup(
-    docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, crowded: int = CROWDED
+    docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False,
+    crowded: int = CROWDED, keep: list[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, or with the kept bytes as ``kept``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
 
     Removed is each byte covered by a string of ``length`` bytes that starts earlier too: in a row
     with a smaller id, in an earlier one of rows with that id, or earlier in the same text. Matches
-    never cross texts. Null and empty texts have 0 bytes; a null id counts as the largest.
+    never cross texts. Null and empty texts have 0 bytes; a null id counts as the largest. With
+    ``keep_text`` the text that is left follows as ``kept``, without characters that lost a byte;
+    with ``keep`` the rows have those columns of ``docs`` instead of the id.
     """
     spans = substring_spans(docs, length, id_column=id_column, text_column=text_column, crowded=crowded)
-    by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("_spans")).withColumnRenamed("row", "_row")
+    columns = [F.col(c) for c in keep] if keep else [F.col(id_column).alias("doc_id")]
+    head = docs.select(*columns).schema.fields
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
+        F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"),
+        F.struct(*columns).alias("_head"))
 
     def finish(batches):
         for batch in batches:
             out = [[] for _ in range(5)]
-            for text, held in zip(batch.column(1), batch.column(2)):
+            for text, held in zip(batch.column(0), batch.column(1)):
                 raw, cuts = text.as_py(), []
                 if held.is_valid:
                     cuts = _removed(b"".join(held.as_py()), len(raw))
                 ends = [0, *(p for c in cuts for p in c), len(raw)]
                 kept = b"".join([raw[s:e] for s, e in zip(ends[::2], ends[1::2])])
-                values = (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
+                left = "".join([raw[s:e].decode("utf-8", "ignore") for s, e in zip(ends[::2], ends[1::2])]) if keep_text else None
+                values = (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), left)
                 for column, value in zip(out, values):
                     column.append(value)
-            columns = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            new = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.column(2).flatten(), *new], names=[*(f.name for f in head), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType)])
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
+    schema = T.StructType(list(head))
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         schema = schema.add(name, kind)
-    out = rows.join(by_row, "row", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
+    out = rows.join(by_row, "_row", "left").select("_text", "_spans", "_head").mapInArrow(finish, schema)
     return out if keep_text else out.drop("kept")

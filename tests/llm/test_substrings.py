@@ -54,7 +54,7 @@ def test_crowded_hashes_deal_out_single_windows(spark):
 def test_empty_table_and_kept_bytes(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(1, "q" * 120 + "é"), (None, None)], "doc_id long, text string")
-    assert sorted(r.kept for r in substring_dedup(rows, keep_text=True).collect()) == [b"", "qé".encode()]
+    assert sorted(r.kept for r in substring_dedup(rows, keep_text=True).collect()) == ["", "qé"]
 
 
 def test_order_is_that_of_bytes():
