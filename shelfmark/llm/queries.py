@@ -119,3 +119,10 @@ def op8(spark, sf_dir):
     from shelfmark.llm.hamming import embedding_near_dedup
 
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    from shelfmark.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
