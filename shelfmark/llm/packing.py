@@ -76,13 +76,13 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset, n
 
 
-def lower_bound(length: np.ndarray, capacity: int) -> int:
+def lower_bound(length: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """No packing needs fewer bins: the best of two families of dual-feasible functions.
 
     The first drops pieces below a threshold and makes those above its complement whole; the second
     rounds k-fold lengths down to parts of k. Sums of such values over any one bin are at most 1.
     """
-    count = np.bincount(length, minlength=capacity + 1)
+    count = np.bincount(length, times, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     n, total = np.cumsum(count), np.cumsum(count * size)
     t = np.arange(0, capacity // 2 + 1)
@@ -100,18 +100,19 @@ def lower_bound(length: np.ndarray, capacity: int) -> int:
 def _pack(pool: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
     """Deal the pool anew to so many parts, pack each, and certify it.
 
-    A part is ``closed`` if its bins meet its bound; else only its full bins are.
+    Full bins are closed. A part whose bins meet its bound closes all others but the emptiest.
     """
 
     def pack(group):
         length = np.asarray(group["length"])
         own, offset, bins = best_fit_decreasing(length, capacity)
-        full = np.bincount(own, length, bins) == capacity
+        fill = np.bincount(own, length, bins)
+        shut = (fill == capacity) | ((bins <= lower_bound(length, capacity)) & (np.arange(bins) != fill.argmin()))
         part = group["part"][0].as_py()
         return pa.table({
             **{c: group[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "copy")},
             "sequence_id": pa.array((np.int64(number) << 58) | (np.int64(part) << 32) | own), "offset": pa.array(offset),
-            "closed": pa.array(full[own] | (bins <= lower_bound(length, capacity))),
+            "closed": pa.array(shut[own]),
         })
 
     mixed = F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(number)), F.lit(parts)).cast("int")
@@ -132,9 +133,10 @@ def best_fit_packing(
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     Pieces are dealt to parts of about ``part_pieces`` by a hash, and each part is packed best fit
-    decreasing. Dual-feasible bounds certify parts that need no bin less. From the others the bins
-    that are not full go back to one pool, are dealt anew to fewer parts and packed again, for at
-    most ``rounds`` rounds; a round that would not lower the number of bins is dropped. Null and
+    decreasing. Dual-feasible bounds certify parts that need no bin less; those give only their
+    emptiest bin to a common pool, the others all bins that are not full. The pool is dealt anew to
+    fewer parts and packed again, for at most ``rounds`` rounds, until the bins of all parts meet the
+    bound of all pieces; a round that would not lower the number of bins is dropped. Null and
     empty texts have one piece that holds the end id alone. Repeated rows are packed as often as
     they occur; an empty table gives no rows.
     """
@@ -142,21 +144,17 @@ def best_fit_packing(
         pieces(docs, vocabulary_path, capacity, 0, id_column, text_column).withColumn("copy", F.monotonically_increasing_id()), "pieces"
     )
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done, pool = None, cut
-    held = 0
+    lengths = np.array([(r.length, r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()], np.int64).reshape(-1, 2)
+    least = lower_bound(lengths[:, 0], capacity, lengths[:, 1])
+    done, pool, shut, held = None, cut, 0, None
     for number in range(rounds):
         parts = max(1, -(-pool.count() // part_pieces))
         packed = stored(_pack(pool, number, parts, capacity), "packed")
-        bins = packed.where("not closed").select("sequence_id").distinct().count()
-        if number:
-            all_bins = packed.select("sequence_id").distinct().count()
-            if all_bins >= held:
-                done = done.unionByName(pool.select(*names))
-                break
-        closed = packed.where("closed").select(*names)
-        done = closed if done is None else done.unionByName(closed)
-        pool, held = packed.where("not closed"), bins
-        if not bins or parts == 1 or number == rounds - 1:
-            done = done.unionByName(pool.select(*names))
+        closed, still = (packed.where(c).select("sequence_id").distinct().count() for c in ("closed", "not closed"))
+        if held is not None and closed + still >= held:
             break
-    return done
+        kept = packed.where("closed").select(*names)
+        done, pool, shut, held = kept if done is None else done.unionByName(kept), packed.where("not closed"), shut + closed, still
+        if shut + held <= least or not still or parts == 1:
+            break
+    return done.unionByName(pool.select(*names))
