@@ -18,6 +18,9 @@ GRAM = 32
 SHALLOW = 32
 # Distinct stretches of one smallest hash beyond which its windows are dealt out one by one.
 CROWDED = 2000
+# Bytes whose windows are hashed together, and windows that are sorted together, in a task.
+SCAN_BYTES = 1 << 20
+SORTED_WINDOWS = 500_000
 
 
 # --- suffix sorting -----------------------------------------------------------------------
@@ -202,7 +205,7 @@ def substring_spans(
             row, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, places = utf8(batch.column(2))
             found = []
-            for base, x, at in slices(data, places):
+            for base, x, at in slices(data, places, SCAN_BYTES):
                 text, start, n, h, content, twice = _stretches(x, at, length, gram)
                 own = text + base
                 found.append((h, content, doc[own], row[own], start - at[text], n.astype(np.int32), twice.astype(np.int8)))
@@ -266,7 +269,7 @@ def substring_spans(
         removed = []
         s = 0
         while s < len(turn):
-            e = int(np.searchsorted(size, (size[s - 1] if s else 0) + 2_000_000, "right"))
+            e = int(np.searchsorted(size, (size[s - 1] if s else 0) + SORTED_WINDOWS, "right"))
             e = max(e, s + 1)
             while e < len(turn) and group[turn[e]] == group[turn[e - 1]]:
                 e += 1
