@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import strip
-from shelfmark.runtime import TOP_K_ROWS, with_global_index
+from shelfmark.runtime import with_global_index
 from shelfmark.schema import UNKNOWN_BRAND
 
 
@@ -56,12 +56,10 @@ def search_products(df: DataFrame, search: str = "", category: str = "") -> Data
 
 
 def paginate(df: DataFrame, page: int, limit: int, order: list) -> DataFrame:
-    """One page of the catalogue. Early pages are a top-k; deep ones use the global index."""
+    """One page of the catalogue in order, by the global index."""
     start = (page - 1) * limit
-    if start + limit <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(start).limit(limit)
     ranked = with_global_index(df, order, "_index")
-    return ranked.where(F.col("_index").between(start, start + limit - 1)).drop("_index")
+    return ranked.where(F.col("_index").between(start, start + limit - 1)).orderBy("_index").drop("_index")
 
 
 def page_info(df: DataFrame, page: int, limit: int) -> DataFrame:
@@ -76,18 +74,14 @@ def limit_urls(df: DataFrame, n: int | None, order: list) -> DataFrame:
     """The first ``n`` rows; all of them for 0 or None."""
     if not n:
         return df
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(n)
-    return with_global_index(df, order, "_index").where(F.col("_index") < n).drop("_index")
+    return with_global_index(df, order, "_index").where(F.col("_index") < n).orderBy("_index").drop("_index")
 
 
 def log_tail(df: DataFrame, n: int, order: list) -> DataFrame:
     """The last ``n`` rows, oldest first."""
     newest = [F.col(c).desc() for c in order]
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*newest).limit(n).orderBy(*order)
     ranked = with_global_index(df, newest, "_index")
-    return ranked.where(F.col("_index") < n).drop("_index").orderBy(*order)
+    return ranked.where(F.col("_index") < n).orderBy(F.desc("_index")).drop("_index")
 
 
 def catalogue_stats(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -196,24 +196,24 @@ def urls_from_sitemaps(sitemaps: DataFrame) -> DataFrame:
 # ── Platform APIs ─────────────────────────────────────────────────────────
 
 
-def full_pages(api_pages: DataFrame, size: int, max_pages: int) -> DataFrame:
-    """Pages up to and with the first short one. ``n`` is the number of items of a page.
+def full_pages(api_pages: DataFrame, size: int, max_pages: int | None = None) -> DataFrame:
+    """Pages from 1 up to and with the first short one or the last before a gap.
 
-    At most ``max_pages`` rows of a site and kind enter a window.
+    ``n`` is the number of items of a page; ``max_pages`` is a limit that a caller may state. The
+    stop is one row a site from aggregations, so no site's pages are gathered.
     """
-    per_site = Window.partitionBy("site").orderBy("page")
-    seen = api_pages.where(F.col("page") <= max_pages).withColumn("_rank", F.row_number().over(per_site))
-    stopped = F.max((F.col("n") < size) | (F.col("_rank") != F.col("page"))).over(
-        per_site.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        seen.withColumn("_stopped", F.coalesce(stopped, F.lit(False)))
-        .where(~F.col("_stopped") & (F.col("_rank") == F.col("page")) & (F.col("n") > 0))
-        .drop("_rank", "_stopped")
+    seen = api_pages if max_pages is None else api_pages.where(F.col("page") <= max_pages)
+    places = seen.select("site", "page", "n")
+    ends = places.join(places.select("site", (F.col("page") - 1).alias("page")).distinct(), ["site", "page"], "left_anti")
+    gap = ends.groupBy("site").agg(F.min("page").alias("_gap"))
+    short = places.groupBy("site").agg(
+        F.min(F.when(F.col("n") < size, F.col("page"))).alias("_short"), F.min("page").alias("_first")
     )
+    stop = gap.join(short, "site").where("_first = 1").select("site", F.least("_gap", "_short").alias("_stop"))
+    return seen.join(stop, "site").where((F.col("page") <= F.col("_stop")) & (F.col("n") > 0)).drop("_stop")
 
 
-def _urls_from_api(api_pages: DataFrame, items: Column, field: str, size: int, max_pages: int) -> DataFrame:
+def _urls_from_api(api_pages: DataFrame, items: Column, field: str, size: int, max_pages: int | None) -> DataFrame:
     listed = api_pages.select("site", "base", "page", items.alias("items")).withColumn(
         "n", F.coalesce(F.size("items"), F.lit(0))
     )
@@ -223,7 +223,7 @@ def _urls_from_api(api_pages: DataFrame, items: Column, field: str, size: int, m
     ).where(F.coalesce(F.col("value"), F.lit("")) != "")
 
 
-def urls_from_shopify(api_pages: DataFrame, size: int = 250, max_pages: int = 60) -> DataFrame:
+def urls_from_shopify(api_pages: DataFrame, size: int = 250, max_pages: int | None = None) -> DataFrame:
     """``<base>/products/<handle>`` of ``api_pages(site, base, page, body)``."""
     body = F.when(strip(F.col("body")).startswith("{"), F.col("body"))
     items = F.from_json(body, "products array<struct<handle:string>>")["products"]
@@ -236,12 +236,12 @@ def _listed(field: str) -> Column:
     return F.from_json(body, f"array<struct<{field}:string>>")
 
 
-def urls_from_woo(api_pages: DataFrame, size: int = 100, max_pages: int = 100) -> DataFrame:
+def urls_from_woo(api_pages: DataFrame, size: int = 100, max_pages: int | None = None) -> DataFrame:
     found = _urls_from_api(api_pages, _listed("permalink"), "permalink", size, max_pages)
     return found.select("site", F.col("value").alias("url"), "pos")
 
 
-def urls_from_wp_rest(api_pages: DataFrame, woo: DataFrame, size: int = 100, max_pages: int = 100) -> DataFrame:
+def urls_from_wp_rest(api_pages: DataFrame, woo: DataFrame, size: int = 100, max_pages: int | None = None) -> DataFrame:
     """Post links, for the sites where the store API gave none."""
     found = _urls_from_api(api_pages, _listed("link"), "link", size, max_pages)
     return found.join(woo.select("site").distinct(), "site", "left_anti").select(
@@ -463,7 +463,6 @@ def wordpress_facts(html: Column) -> Column:
     version = F.nullif(F.regexp_extract(html, r"(?i)content=[\"']WordPress\s+([\d.]+)", 1), F.lit(""))
     themes, plugins = slugs("themes"), slugs("plugins")
     facts = F.struct(
-        version.alias("version"), F.slice(themes, 1, 5).alias("themes"),
-        F.slice(plugins, 1, 25).alias("plugins"), F.size(plugins).alias("plugin_count"),
+        version.alias("version"), themes.alias("themes"), plugins.alias("plugins"), F.size(plugins).alias("plugin_count"),
     )
     return F.when((F.size(themes) > 0) | (F.size(plugins) > 0) | version.isNotNull(), facts)

@@ -193,7 +193,7 @@ API_SQL = PARTS_SQL + """, listed AS (SELECT *, file + 1 AS page FROM urls
   WHERE NOT ((p_partkey % 25) % 5 = 0 AND file = 2 AND (p_partkey // 25) % 2 = 0)),
 sizes AS (SELECT site, page, count(*) AS n FROM listed GROUP BY ALL),
 stops AS (SELECT site, min(page) AS stop FROM sizes WHERE n < 20 GROUP BY site),
-served AS (SELECT listed.* FROM listed LEFT JOIN stops USING (site) WHERE page <= coalesce(stop, 1000000) AND page <= {cap})"""
+served AS (SELECT listed.* FROM listed LEFT JOIN stops USING (site) WHERE page <= coalesce(stop, 1000000))"""
 
 
 def _api_pages(spark, sf, item, wrap):
@@ -214,27 +214,27 @@ def post_pages(spark, sf, field):
     return _api_pages(spark, sf, F.struct(F.col("url").alias(field)), F.to_json)
 
 
-@query("urls_from_shopify", f"WITH {API_SQL.format(cap=60)} SELECT site, concat(base, '/products/h-', p_partkey) AS url FROM served")
+@query("urls_from_shopify", f"WITH {API_SQL} SELECT site, concat(base, '/products/h-', p_partkey) AS url FROM served")
 def urls_from_shopify(spark, sf):
     return D.urls_from_shopify(shopify_pages(spark, sf), PAGE_ITEMS).select("site", "url")
 
 
-@query("urls_from_woo", f"WITH {API_SQL.format(cap=100)} SELECT site, url FROM served")
+@query("urls_from_woo", f"WITH {API_SQL} SELECT site, url FROM served")
 def urls_from_woo(spark, sf):
     return D.urls_from_woo(post_pages(spark, sf, "permalink"), PAGE_ITEMS).select("site", "url")
 
 
-@query("urls_from_wp_rest", f"WITH {API_SQL.format(cap=100)} SELECT site, url FROM served WHERE kind <> 0")
+@query("urls_from_wp_rest", f"WITH {API_SQL} SELECT site, url FROM served WHERE kind <> 0")
 def urls_from_wp_rest(spark, sf):
     woo = D.urls_from_woo(post_pages(spark, sf, "permalink"), PAGE_ITEMS)
     woo = woo.join(_sites(spark, sf).where("kind = 0"), "site", "left_semi")
     return D.urls_from_wp_rest(post_pages(spark, sf, "link"), woo, PAGE_ITEMS).select("site", "url")
 
 
-@query("paging_stop_rule", f"WITH {API_SQL.format(cap=60)} SELECT DISTINCT site, page FROM served")
+@query("paging_stop_rule", f"WITH {API_SQL} SELECT DISTINCT site, page FROM served")
 def paging_stop_rule(spark, sf):
     sized = shopify_pages(spark, sf).withColumn("n", F.size(F.from_json("body", "products array<struct<handle:string>>")["products"]))
-    return D.full_pages(sized, PAGE_ITEMS, 60).select("site", "page")
+    return D.full_pages(sized, PAGE_ITEMS).select("site", "page")
 
 
 def _listing_pages(spark, sf):
@@ -314,7 +314,7 @@ def _strategies(spark, sf, *names):
     return {name: build[name]() for name in names or build}
 
 
-MERGED_SQL = API_SQL.format(cap=60) + SITEMAP_URLS_SQL[len(PARTS_SQL):] + CRAWL_SQL[len(PARTS_SQL):] + """, found AS (
+MERGED_SQL = API_SQL + SITEMAP_URLS_SQL[len(PARTS_SQL):] + CRAWL_SQL[len(PARTS_SQL):] + """, found AS (
   SELECT site, url, 0 AS rank, 'sitemaps' AS strategy FROM from_sitemaps
   UNION ALL SELECT site, concat(base, '/products/h-', p_partkey), 1, 'shopify_api' FROM served WHERE kind <> 0 AND site NOT IN ('nation-3', 'nation-7')
   UNION ALL SELECT site, url, 2, 'woocommerce_api' FROM served WHERE kind = 0
@@ -328,7 +328,7 @@ def discover_products(spark, sf):
     return D.discover_products(_platforms(spark, sf), _strategies(spark, sf)).select("site", "url", "strategy")
 
 
-@query("ordered_union", f"""WITH {API_SQL.format(cap=100) + SITEMAP_URLS_SQL[len(PARTS_SQL):]}
+@query("ordered_union", f"""WITH {API_SQL + SITEMAP_URLS_SQL[len(PARTS_SQL):]}
 SELECT site, url, min(s) AS strategy FROM (SELECT site, url, 'sitemaps' AS s FROM from_sitemaps
   UNION ALL SELECT site, url, 'woocommerce_api' FROM served) GROUP BY site, url""")
 def ordered_union(spark, sf):
@@ -336,7 +336,7 @@ def ordered_union(spark, sf):
     return D.ordered_union(D.tag_strategies(kept)).select("site", "url", "strategy")
 
 
-@query("strategy_counts", f"""WITH {API_SQL.format(cap=100) + SITEMAP_URLS_SQL[len(PARTS_SQL):]}
+@query("strategy_counts", f"""WITH {API_SQL + SITEMAP_URLS_SQL[len(PARTS_SQL):]}
 SELECT site, strategy, count(*) AS n FROM (SELECT site, 'sitemaps' AS strategy FROM from_sitemaps
   UNION ALL SELECT site, 'woocommerce_api' FROM served) GROUP BY site, strategy""")
 def strategy_counts(spark, sf):

@@ -488,8 +488,7 @@ def read_url_queue(spark, sf):
 def read_categories(spark, sf):
     path = scratch_path(spark, "categories")
     table(spark, sf, "part").select(F.to_json(F.array("p_type", "p_brand")).alias("value")).distinct().write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path)
-    return lines.select(F.explode(F.from_json("value", "array<string>")).alias("category")).distinct()
+    return SC.read_categories(spark, path).distinct()
 
 
 @query("read_failures", "SELECT url, concat('HTTP ', 400 + page_id % 100) AS reason FROM pages")
@@ -499,4 +498,4 @@ def read_failures(spark, sf):
         F.to_json(F.array(F.struct("url", F.concat(F.lit("HTTP "), (F.col("page_id") % 100 + 400).cast("string")).alias("reason")))).alias("value")
     )
     listed.write.text(path)
-    return spark.read.schema("url string, reason string").json(path).where("url is not null")
+    return SC.read_failures(spark, path)

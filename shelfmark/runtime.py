@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# Below this many rows a page is fetched by a top-k, which needs no shuffle of the catalogue.
-TOP_K_ROWS = 10_000
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a temporary one only on a local master."""

@@ -60,11 +60,11 @@ def read_scrape_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of names per file, as ``category``."""
-    text = spark.read.text(path, wholetext=True)
+    """JSON arrays of names, one a line, as ``category``; files are split among tasks."""
+    text = spark.read.text(path)
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of ``{url, reason}`` objects per file."""
-    return spark.read.schema("url string, reason string").option("multiLine", True).json(path)
+    """JSON arrays of ``{url, reason}`` objects, one a line, or one object a line."""
+    return spark.read.schema("url string, reason string").json(path)
