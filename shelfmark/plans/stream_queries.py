@@ -78,8 +78,7 @@ SELECT count(*) AS total_products,
 def stream_stats(spark, sf):
     target, stats = scratch_path(spark, "latest"), scratch_path(spark, "stats")
     S.stream_stats(_stream(spark, sf), target, stats, scratch_path(spark, "checkpoint"), ORDER)
-    every = spark.read.parquet(stats).drop("batch")
-    return every.orderBy(F.col("total_products").desc(), F.col("total_images").desc()).limit(1)
+    return spark.read.parquet(stats).orderBy(F.desc("version")).limit(1).drop("version")
 
 
 @query("stream_progress", """SELECT count(*) AS current, 2 * count(*) AS total,

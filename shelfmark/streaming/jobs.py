@@ -7,12 +7,14 @@ a host or URL with most of the rows is no special case. Redoing a batch writes t
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.operators.catalogue import catalogue_stats, latest_per_url
 from shelfmark.operators.exports import publish, read_published
 from shelfmark.operators.quality import EXHAUSTED_AFTER, PROBE_LIMIT
-from shelfmark.sources.logs import parse_product_lines
+from shelfmark.sources.logs import parse_product_lines, path_exists
 
 
 def stream_product_log(spark: SparkSession, path: str, extra: dict | None = None, max_files: int | None = None) -> DataFrame:
@@ -24,27 +26,23 @@ def stream_product_log(spark: SparkSession, path: str, extra: dict | None = None
     return parse_product_lines(reader.load(path), extra)
 
 
-def _version(batch_id: int) -> str:
-    return f"{batch_id:012d}"
-
-
-def _prior(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    """State before this batch, also when the batch is being redone."""
-    if batch_id == 0:
-        return None
-    return read_published_before(spark, table, batch_id)
+def _state(spark: SparkSession, table: str, checkpoint: str, batch_id: int) -> tuple[DataFrame | None, str]:
+    """State before this batch, and the version that the batch publishes.
 
-
-def read_published_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    from shelfmark.sources.logs import path_exists
-
-    if not path_exists(spark, f"{table}/manifest"):
-        return None
-    versions = spark.read.schema("version string").json(f"{table}/manifest").where(
-        F.col("version") < _version(batch_id)
-    )
-    newest = versions.agg(F.max("version")).first()[0]
-    return None if newest is None else spark.read.parquet(f"{table}/version={newest}")
+    A version is named by its place in the table's sequence and by the query and batch that wrote
+    it. What another query or an earlier batch wrote is prior state; what this batch wrote before
+    is not, so a batch that is redone gives the same version, and a query that starts from a new
+    checkpoint adds to the table. A table has one writer at a time.
+    """
+    query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    own = f"-{query}-{batch_id:012d}"
+    newest = None
+    if path_exists(spark, f"{table}/manifest"):
+        versions = spark.read.schema("version string").json(f"{table}/manifest")
+        newest = versions.where(~F.col("version").endswith(own)).agg(F.max("version")).first()[0]
+    if newest is None:
+        return None, f"{0:012d}{own}"
+    return spark.read.parquet(f"{table}/version={newest}"), f"{int(newest.split('-')[0]) + 1:012d}{own}"
 
 
 def run_batches(stream: DataFrame, checkpoint: str, step, available_now: bool = True, interval: str = "1 second"):
@@ -64,7 +62,7 @@ def upsert_latest(stream: DataFrame, table: str, checkpoint: str, order: list, o
         spark = batch.sparkSession
         columns = [c for c in batch.columns]
         newest = latest_per_url(batch, order).withColumn("first", F.col("position.first")).drop("position")
-        prior = _prior(spark, table, batch_id)
+        prior, version = _state(spark, table, checkpoint, batch_id)
         if prior is not None:
             newest = prior.unionByName(newest)
         payload = [c for c in columns if c != "url"]
@@ -76,9 +74,9 @@ def upsert_latest(stream: DataFrame, table: str, checkpoint: str, order: list, o
             )
             .select("url", *[F.col(f"_r.{c}").alias(c) for c in payload], "first")
         )
-        publish(merged, table, _version(batch_id))
+        publish(merged, table, version)
         if on_batch:
-            on_batch(read_published(spark, table), batch_id)
+            on_batch(read_published(spark, table), version)
 
     return run_batches(stream, checkpoint, step, **options)
 
@@ -86,9 +84,8 @@ def upsert_latest(stream: DataFrame, table: str, checkpoint: str, order: list, o
 def stream_stats(stream: DataFrame, table: str, stats: str, checkpoint: str, order: list, **options):
     """The same, with the catalogue's statistics written after every batch."""
 
-    def on_batch(products, batch_id):
-        counted = catalogue_stats(products).withColumn("batch", F.lit(batch_id))
-        counted.write.mode("overwrite").parquet(f"{stats}/batch={_version(batch_id)}")
+    def on_batch(products, version):
+        catalogue_stats(products).write.mode("overwrite").parquet(f"{stats}/version={version}")
 
     return upsert_latest(stream, table, checkpoint, order, on_batch, **options)
 
@@ -103,7 +100,7 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
         seen = batch.agg(
             F.count(F.lit(1)).alias("current"), F.min(seconds).alias("started"), F.max(seconds).alias("now")
         )
-        prior = _prior(spark, target, batch_id)
+        prior, version = _state(spark, target, checkpoint, batch_id)
         if prior is not None:
             seen = prior.select("current", "started", "now").unionByName(seen)
         state = seen.agg(
@@ -114,7 +111,7 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
         state = state.withColumn("total", F.lit(total).cast("long")).withColumn(
             "eta", F.when(F.col("current") > 0, eta).otherwise(0.0)
         )
-        publish(state, target, _version(batch_id))
+        publish(state, target, version)
 
     return run_batches(stream, checkpoint, step, available_now, interval)
 
@@ -143,7 +140,7 @@ def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: li
         now = wins.join(since, "host", "left").select(
             "host", F.col("won").isNotNull().alias("reset"), F.coalesce("n", F.lit(0)).alias("blocked"), "profile"
         )
-        prior = _prior(spark, table, batch_id)
+        prior, version = _state(spark, table, checkpoint, batch_id)
         if prior is not None:
             before = prior.select("host", F.col("blocked").alias("_b"), F.col("profile").alias("_p"))
             joined = now.join(before, "host", "full")
@@ -153,7 +150,7 @@ def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: li
                 F.coalesce("profile", "_p").alias("profile"),
             )
         state = now.select("host", "blocked", (F.col("blocked") >= EXHAUSTED_AFTER).alias("exhausted"), "profile")
-        publish(state, table, _version(batch_id))
+        publish(state, table, version)
 
     return run_batches(stream, checkpoint, step, **options)
 
@@ -180,7 +177,7 @@ def stream_price_context(stream: DataFrame, table: str, checkpoint: str, order:
             F.bool_or("plain").alias("plain"),
             F.count_if(F.col("param").isNull() & ~F.col("plain")).alias("misses"),
         )
-        prior = _prior(spark, table, batch_id)
+        prior, version = _state(spark, table, checkpoint, batch_id)
         if prior is not None:
             now = prior.select(*now.columns).unionByName(now)
         state = now.groupBy("host").agg(
@@ -192,6 +189,6 @@ def stream_price_context(stream: DataFrame, table: str, checkpoint: str, order:
             .when(F.col("plain") | (F.col("misses") >= limit), "settled")
             .otherwise("probing"),
         )
-        publish(state, table, _version(batch_id))
+        publish(state, table, version)
 
     return run_batches(stream, checkpoint, step, **options)
