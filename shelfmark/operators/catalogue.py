@@ -161,19 +161,19 @@ def newest_sites(sites: DataFrame) -> DataFrame:
     return sites.orderBy(F.col("modified").desc(), "site")
 
 
-def distinct_values(df: DataFrame, field: str) -> DataFrame:
-    """Distinct values of a scalar or list field as ``value``."""
+def distinct_values(df: DataFrame, field: str, by: tuple = ()) -> DataFrame:
+    """Distinct values of a scalar or list field as ``value``, within the columns ``by``."""
     is_list = dict(df.dtypes)[field].startswith("array")
     value = F.explode(field) if is_list else F.col(field)
-    return df.select(value.alias("value")).where("value is not null").distinct()
+    return df.select(*by, value.alias("value")).where("value is not null").distinct()
 
 
-def distinct_list(df: DataFrame, field: str, drop_unknown: bool = True, drop_blank: bool = True) -> DataFrame:
-    """Trimmed distinct values of a field as ``value``, unordered."""
-    values = distinct_values(df, field).where(F.col("value") != "")
+def distinct_list(df: DataFrame, field: str, drop_unknown: bool = True, drop_blank: bool = True, by: tuple = ()) -> DataFrame:
+    """Trimmed distinct values of a field as ``value``, unordered, within the columns ``by``."""
+    values = distinct_values(df, field, by).where(F.col("value") != "")
     if drop_unknown:
         values = values.where(F.col("value") != UNKNOWN_BRAND)
-    trimmed = values.select(strip(F.col("value")).alias("value"))
+    trimmed = values.select(*by, strip(F.col("value")).alias("value"))
     if drop_blank:
         trimmed = trimmed.where(F.col("value") != "")
     return trimmed.distinct()

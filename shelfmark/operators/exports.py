@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.functions.text import clean_html, raw_description, strip_control
+from shelfmark.functions.text import clean_html, raw_description, strip, strip_control
 from shelfmark.operators.catalogue import distinct_list, distinct_values, has_title
 from shelfmark.runtime import cut_lineage
 from shelfmark.schema import EXPORT_FIELDS, export_rows
@@ -85,14 +85,9 @@ def export_distinct_list(df: DataFrame, path: str, field: str, header: str, part
     if partition is None:
         list_rows(df, field, header).write.option("header", True).option("escape", '"').csv(path)
         return
-    is_list = dict(df.dtypes)[field].startswith("array")
-    value = F.explode(field) if is_list else F.col(field)
-    values = (
-        df.select(partition, value.alias(header))
-        .where(~F.coalesce(F.trim(header), F.lit("")).isin("", "Unknown"))
-        .distinct()
-    )
-    values.sortWithinPartitions(partition, header).write.partitionBy(partition).option("header", True).csv(path)
+    values = distinct_list(df, field, by=(partition,)).withColumnRenamed("value", header)
+    ordered = values.repartitionByRange(partition, header).sortWithinPartitions(partition, header)
+    ordered.write.partitionBy(partition).option("header", True).option("escape", '"').csv(path)
 
 
 def export_bundle(df: DataFrame, root: str, sites: list | None = None, formats: list = FORMATS,
@@ -123,7 +118,7 @@ def export_bundle(df: DataFrame, root: str, sites: list | None = None, formats:
             else:
                 raise ValueError(f"unknown format {fmt}")
         except Exception as problem:  # one bad format must not cost the others
-            errors[fmt] = f"{type(problem).__name__}: {problem}"[:500]
+            errors[fmt] = f"{type(problem).__name__}: {problem}"
     none = F.array().cast("array<string>")
     plain = F.struct(
         F.lit(1).alias("all"), has_title().cast("int").alias("titled"),
@@ -131,11 +126,12 @@ def export_bundle(df: DataFrame, root: str, sites: list | None = None, formats:
     )
 
     def values(kind, column):
-        kept = F.filter(column, lambda v: ~F.coalesce(F.trim(v), F.lit("")).isin("", "Unknown"))
+        # the rule of the written lists: tested, then trimmed, then distinct
+        kept = F.filter(column, lambda v: ~F.coalesce(v, F.lit("")).isin("", "Unknown") & (strip(v) != ""))
         return F.transform(
             kept,
             lambda v: F.struct(
-                F.lit(0).alias("all"), F.lit(0).alias("titled"), F.lit(kind).alias("kind"), v.alias("value")
+                F.lit(0).alias("all"), F.lit(0).alias("titled"), F.lit(kind).alias("kind"), strip(v).alias("value")
             ),
         )
 
@@ -151,6 +147,9 @@ def export_bundle(df: DataFrame, root: str, sites: list | None = None, formats:
             F.count_if(F.col("kind") == "brands").alias("brands"),
         )
     )
+    if sites is not None:  # a requested store without records has its rows too
+        asked = spark.createDataFrame([(s,) for s in dict.fromkeys(sites)], "site string")
+        counts = asked.join(counts, "site", "left").fillna(0)
     rows_of = {"json": "all", "categories": "categories", "brands": "brands"}
     steps = F.array(*[
         F.struct(

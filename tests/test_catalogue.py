@@ -248,3 +248,10 @@ def test_similar_names_match_brute_force(spark):
     for i, name in enumerate(names):
         matches = [p for p in stored if alike(name[:-4], p.split("/")[-1][:-4])]
         assert got[f"u{i}"] == (min(matches) if matches else ""), name
+
+
+def test_lists_per_site_follow_the_plain_rule(spark, tmp_path):
+    rows = [("s", b) for b in (" Acme ", "Acme", "Acme\t", " Unknown ", "Unknown", "", " ")] + [("t", "Zed")]
+    X.export_distinct_list(spark.createDataFrame(rows, "site string, brand string"), str(tmp_path / "b"), "brand", "Brand Name", "site")
+    read = spark.read.option("header", True).csv(str(tmp_path / "b"))
+    assert sorted((r.site, r["Brand Name"]) for r in read.collect()) == [("s", "Acme"), ("s", "Unknown"), ("t", "Zed")]
