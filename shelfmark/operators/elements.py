@@ -7,6 +7,7 @@ product out of a page moves no data between tasks.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -51,65 +52,104 @@ def rule_ids(field: str, selectors: dict = SELECTORS) -> tuple:
 
 
 class _Vocabulary:
-    """The tokens the rules look at, the fields a token may lead to, and the rules themselves."""
+    """Rules as steps over tokens, and which steps and fields a token may lead to."""
 
     def __init__(self, selectors, keep_path):
-        self.keep_path, self.rules = keep_path, {}
-        for number, (field, _, _, pattern) in enumerate(selector_rows(selectors)):
-            self.rules.setdefault(field, []).append((number, re.compile(pattern.replace(r"\z", r"\Z"))))
-        self.tokens, self.inside, self.fields, self.inside_fields = set(), set(), {}, {}
+        self.keep_path = keep_path
+        self.steps, self.rules = [], []
+        self.by_token, self.by_inside, self.fields, self.inside_fields = {}, {}, {}, {}
         for field, listed in selectors.items():
             for steps in map(selector_parts, listed):
-                for part in (p for step in steps for p in step):
-                    (self.inside if part[1] else self.tokens).add(part if part[1] else part[0])
-                # The last part of the last step is the one an element is recognised by.
+                number = len(self.rules)
+                self.rules.append((field, len(steps) - 1))
+                for place, parts in enumerate(steps):
+                    self.steps.append((number, place, parts))
+                    # A step is tried where an element has its last part.
+                    anchor, inside = parts[-1]
+                    target = self.by_inside if inside else self.by_token
+                    target.setdefault((anchor, inside) if inside else anchor, []).append(len(self.steps) - 1)
                 key = steps[-1][-1]
                 place = self.inside_fields if key[1] else self.fields
                 place.setdefault(key if key[1] else key[0], set()).add(field)
+        parts = {p for _, _, step in self.steps for p in step}
+        self.tokens = {token for token, inside in parts if not inside}
+        self.inside = {p for p in parts if p[1]}
+        self.attributes = {t[1:].partition("=")[0] for t, _ in parts if t.startswith("@")}
+        self.looked_at = {"id", "class", *self.attributes}
+        self.markup = {n for n, (field, _) in enumerate(self.rules) if field in MARKUP_FIELDS}
+
+    def tokens_of(self, tag, attrs):
+        """The element's tokens that some rule looks at, its tag first."""
+        seen = [tag]
+        if attrs.get("id"):
+            seen.append("#" + " ".join(attrs["id"].split()))
+        seen += ["." + name for name in (attrs.get("class") or "").split()]
+        for name, value in attrs.items():
+            if name in self.attributes:
+                seen += ["@" + name, f"@{name}=" + " ".join((value or "").split())]
+        return [tag] + [t for t in seen[1:] if t in self.tokens or any(self.holds(t, p) for p in self.inside)]
+
+    @staticmethod
+    def holds(token, part):
+        start, inside = part
+        return token.startswith(start) and inside in token[len(start):]
+
+    def matched_steps(self, tokens):
+        """(rule, place) of every step that an element with these tokens satisfies."""
+        tried = [n for t in tokens for n in self.by_token.get(t, ())]
+        tried += [n for part, listed in self.by_inside.items() if any(self.holds(t, part) for t in tokens) for n in listed]
+        for n in tried:
+            rule, place, parts = self.steps[n]
+            if all(any(self.holds(t, p) for t in tokens) if p[1] else p[0] in tokens for p in parts):
+                yield rule, place
+
+    def fields_of(self, tokens):
+        found = set().union(*(self.fields.get(t, ()) for t in tokens))
+        return found.union(*(f for part, f in self.inside_fields.items() if any(self.holds(t, part) for t in tokens)))
 
 
 class _PageReader(HTMLParser):
-    """Event handler that keeps a stack of open elements and writes out the wanted ones."""
+    """Event handler that keeps a stack of open elements and writes out the wanted ones.
+
+    An open element holds, per rule, how many leading steps it and its ancestors satisfy, so that
+    an element is matched from its own tokens and its parent alone, however deep it lies. Without
+    ``keep_path``, elements that only repeat a rule's match are left out: a rule's first element
+    counts, and all images, anchors, headings, meta tags and items are kept anyway.
+    """
 
     def __init__(self, words, page):
         super().__init__(convert_charrefs=True)
         self.words, self.page = words, page
         self.stack, self.found, self.texts, self.count, self.silent = [], [], [], 0, 0
+        self.open, self.met, self.known = Counter(), set(), {}
         self.lines = [0] + [m.end() for m in re.finditer("\n", page)]
 
     def here(self):
         line, column = self.getpos()
         return self.lines[line - 1] + column
 
-    def describe(self, tag, attrs):
-        seen = [tag]
-        if attrs.get("id"):
-            seen.append("#" + " ".join(attrs["id"].split()))
-        seen += ["." + name for name in (attrs.get("class") or "").split()]
-        for name, value in attrs.items():
-            seen += ["@" + name, f"@{name}=" + " ".join((value or "").split())]
-        words, kept, fields = self.words, [], set()
-        for token in seen:
-            used = token in words.tokens or token == tag
-            fields |= words.fields.get(token, set())
-            for start, inside in words.inside:
-                if token.startswith(start) and inside in token[len(start):]:
-                    used, fields = True, fields | words.inside_fields.get((start, inside), set())
-            if used:
-                kept.append(token)
-        return "\n\t" + "\t".join(kept) + "\t", fields
+    def described(self, tag, attrs):
+        key = (tag, *[(k, v) for k, v in attrs.items() if k in self.words.looked_at])
+        if key not in self.known:
+            tokens = self.words.tokens_of(tag, attrs)
+            self.known[key] = tokens, sorted(self.words.matched_steps(tokens))
+        return self.known[key]
 
     def handle_starttag(self, tag, attrs, empty=False):
         while self.stack and tag in CLOSED_BY.get(self.stack[-1]["tag"], ()):
             self.close_top(self.here())
         attrs = dict(reversed(attrs))
-        line, fields = self.describe(tag, attrs)
-        path = (self.stack[-1]["path"] if self.stack else "") + line
-        hits = [n for f in fields for n, rule in self.words.rules[f] if rule.search(path)]
-        entry = {"tag": tag, "path": path, "fields": fields, "hits": hits, "attrs": attrs, "pos": self.count,
-                 "text": len(self.texts), "start": self.here()}
+        tokens, steps = self.described(tag, attrs)
+        above = self.stack[-1]["done"] if self.stack else {}
+        hits = [rule for rule, place in steps if place == self.words.rules[rule][1] and above.get(rule, 0) == place]
+        further = {rule: place + 1 for rule, place in steps if place < self.words.rules[rule][1] and above.get(rule, 0) == place}
+        entry = {"tag": tag, "tokens": tokens, "hits": hits, "new": [h for h in hits if h not in self.met],
+                 "done": {**above, **further} if further else above,
+                 "attrs": attrs, "pos": self.count, "text": len(self.texts), "start": self.here()}
+        self.met.update(hits)
         self.count += 1
         self.stack.append(entry)
+        self.open[tag] += 1
         if tag in SILENT:
             self.silent += 1
         if tag in VOID or empty:
@@ -119,7 +159,7 @@ class _PageReader(HTMLParser):
         self.handle_starttag(tag, attrs, empty=tag in VOID)
 
     def handle_endtag(self, tag):
-        if any(entry["tag"] == tag for entry in self.stack):
+        if self.open[tag]:
             begin = self.here()
             while self.stack[-1]["tag"] != tag:
                 self.close_top(begin)
@@ -130,20 +170,25 @@ class _PageReader(HTMLParser):
         if not self.silent and data.strip():
             self.texts.append(data.strip())
 
+    def path_of(self, entry):
+        return "".join("\n\t" + "\t".join(e["tokens"]) + "\t" for e in [*self.stack, entry])
+
     def close_top(self, end):
         entry = self.stack.pop()
-        self.silent -= entry["tag"] in SILENT
-        attrs, fields = entry["attrs"], entry["fields"]
-        wanted = entry["hits"] or (fields and self.words.keep_path)
-        if not (wanted or entry["tag"] in KEPT_TAGS or "itemprop" in attrs):
+        tag, attrs, words = entry["tag"], entry["attrs"], self.words
+        self.open[tag] -= 1
+        self.silent -= tag in SILENT
+        fields = words.fields_of(entry["tokens"]) if words.keep_path else {words.rules[h][0] for h in entry["hits"]}
+        if not (entry["new"] or (fields and words.keep_path) or tag in KEPT_TAGS or "itemprop" in attrs):
             return
+        markup = fields & MARKUP_FIELDS if words.keep_path else words.markup.intersection(entry["new"])
         self.found.append({
-            "pos": entry["pos"], "stop": self.count, "tag": entry["tag"],
-            "path": entry["path"] if self.words.keep_path else None,
+            "pos": entry["pos"], "stop": self.count, "tag": tag,
+            "path": self.path_of(entry) if words.keep_path else None,
             "fields": sorted(fields), "hits": entry["hits"],
             "attrs": {k: v or "" for k, v in attrs.items() if k in KEPT_ATTRIBUTES},
             "texts": self.texts[entry["text"]:],
-            "html": self.page[entry["start"]:end] if fields & MARKUP_FIELDS else None,
+            "html": self.page[entry["start"]:end] if markup else None,
         })
 
 
