@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import strip, unescape_all
 from shelfmark.functions.urls import (
@@ -11,7 +11,7 @@ from shelfmark.functions.urls import (
 )
 from shelfmark.operators.elements import element_array, rule_ids
 from shelfmark.operators.rules import PLATFORM_RULES, SELECTORS
-from shelfmark.runtime import cut_lineage
+from shelfmark.runtime import cut_lineage, with_global_index
 
 # Sitemap names that hold products, or taxonomies.
 PRODUCT_SITEMAP_HINTS = ["product", "produkt"]
@@ -24,8 +24,6 @@ SITEMAP_FALLBACK_PATHS = [
     "/sitemap_index.xml", "/sitemap.xml", "/wp-sitemap.xml", "/product-sitemap.xml",
     "/sitemap.xml.gz", "/sitemap_products_1.xml", "/pub/sitemap.xml", "/sitemap/sitemap.xml",
 ]
-SITEMAP_LIMIT = 61
-CRAWL_LIMIT = 150
 # Where a listing crawl starts.
 CRAWL_SEEDS = [
     "/", "/shop/", "/store/", "/products/", "/catalogue/", "/catalog/", "/categories",
@@ -37,18 +35,39 @@ MIN_PAGES, MIN_KNOWN, MIN_DOMINANT, DOMINANT_SHARE = 5, 5, 20, 0.66
 # ── Sitemaps and robots ───────────────────────────────────────────────────
 
 
+_COMMENT = r"(?s)<!--.*?-->"
+_REFERENCE = r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|lt|gt|quot|apos|amp);|[^&]+|&"
+
+
+def xml_text(text: Column) -> Column:
+    """Character references of XML decoded, each once; those to no character stay as they are."""
+
+    def decoded(part):
+        digits = F.regexp_extract(part, "^&#(x?[0-9a-fA-F]+);$", 1)
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        named = F.lower(part)
+        plain = F.when(named == "&lt;", "<").when(named == "&gt;", ">").when(named == "&quot;", '"').when(
+            named == "&apos;", "'").when(named == "&amp;", "&").otherwise(part)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(plain)
+
+    parts = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(parts, decoded), ""))
+
+
 def sitemap_locations(xml: Column) -> Column:
-    """Trimmed, non-empty ``<loc>`` values of one document, in document order."""
-    bare = F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<!--.*?-->", "")
+    """Trimmed, non-empty values of the unprefixed ``<loc>`` tags of one document, in document order.
+
+    Prefixed tags are extensions (``<image:loc>`` is a picture) and no page addresses.
+    """
+    bare = F.regexp_replace(F.coalesce(xml, F.lit("")), _COMMENT, "")
     raw = F.regexp_extract_all(bare, F.lit(r"(?is)<loc(?:\s[^>]*)?>\s*(.*?)\s*</loc\s*>"), F.lit(1))
 
-    def decoded(loc):
-        text = F.regexp_replace(loc, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return strip(text)
+    def value(loc):
+        quoted = F.regexp_extract(loc, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+        return strip(F.when(loc.startswith("<![CDATA["), quoted).otherwise(xml_text(loc)))
 
-    return F.filter(F.transform(raw, decoded), lambda u: u != "")
+    return F.filter(F.transform(raw, value), lambda u: u != "")
 
 
 def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
@@ -58,7 +77,10 @@ def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
 
 
 def is_sitemap_index(xml: Column) -> Column:
-    return F.lower(F.substring(F.coalesce(xml, F.lit("")), 1, 2000)).contains("<sitemapindex")
+    """True where the root element is a sitemap index, whatever comments stand before it."""
+    bare = F.regexp_replace(F.coalesce(xml, F.lit("")), _COMMENT, "")
+    root = F.regexp_extract(bare, r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    return F.lower(root) == "sitemapindex"
 
 
 def is_product_sitemap(url: Column) -> Column:
@@ -87,8 +109,11 @@ def parse_robots(robots: DataFrame) -> DataFrame:
 
 
 def sitemap_candidates(sites: DataFrame, robots: DataFrame) -> DataFrame:
-    """Per site: sitemaps named by robots.txt, then the usual places, without repeats."""
-    bodies = robots.groupBy("site").agg(F.first("body", ignorenulls=True).alias("body"))
+    """Per site: sitemaps named by robots.txt, then the usual places, without repeats.
+
+    Of several bodies of a site the first in text order counts.
+    """
+    bodies = robots.groupBy("site").agg(F.min(F.nullif(F.col("body"), F.lit(""))).alias("body"))
     usual = F.transform(
         F.array(*[F.lit(p) for p in SITEMAP_FALLBACK_PATHS]), lambda p: F.concat(F.col("base"), p)
     )
@@ -96,18 +121,31 @@ def sitemap_candidates(sites: DataFrame, robots: DataFrame) -> DataFrame:
     return sites.join(bodies, "site", "left").select("site", F.posexplode(listed).alias("pos", "sitemap_url"))
 
 
-def expand_sitemap_index(sitemaps: DataFrame, seeds: DataFrame, limit: int = SITEMAP_LIMIT) -> DataFrame:
-    """Sitemaps reached from ``seeds(site, sitemap_url, pos)``, breadth first, ``limit`` a site.
+def ranked_in_site(rows: DataFrame, order: list) -> DataFrame:
+    """Add ``_rank``, 1-based within the site in ``order``. No site's rows meet in one task."""
+    placed = with_global_index(rows, ["site", *order], "_index")
+    starts = placed.groupBy("site").agg(F.min("_index").alias("_start"))
+    return placed.join(starts, "site").withColumn("_rank", (F.col("_index") - F.col("_start") + 1).cast("int")).drop("_index", "_start")
+
+
+def _within(ranked: DataFrame, limit: int | None) -> DataFrame:
+    """What a site has left of ``limit`` after the ``_used`` rows before."""
+    return ranked if limit is None else ranked.where(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit)
 
-    Level by level: a level's rows are ordered as their parents queued them, cut at what the
-    site has left (a top-k with map-side trimming), and looked up with an equi-join. Each level
-    is checkpointed. Returns ``(site, sitemap_url, visit, found)``; ``found`` tells whether the
-    document is in the table.
+
+def expand_sitemap_index(sitemaps: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sitemaps reached from ``seeds(site, sitemap_url, pos)``, breadth first.
+
+    Level by level: a level's rows are ordered as their parents queued them and looked up with an
+    equi-join. The documents are parsed once and stored; each level is checkpointed. ``limit`` is
+    a number of visits a site that a caller may state. Returns ``(site, sitemap_url, visit,
+    found)``; ``found`` tells whether the document is in the table.
     """
-    documents = sitemaps.select(
-        "site", "sitemap_url", is_sitemap_index(F.col("xml")).alias("is_index"),
-        sitemap_locations(F.col("xml")).alias("locs"),
-    )
+    locations = sitemap_locations(F.col("xml"))
+    documents = cut_lineage(sitemaps.select(
+        "site", "sitemap_url", (F.size(locations) > 0).alias("filled"),
+        F.when(is_sitemap_index(F.col("xml")), locations).alias("children"),
+    ))
     level = seeds.groupBy("site", "sitemap_url").agg(F.min(F.struct("pos", F.lit(0).alias("i"))).alias("place"))
     visited = None
     while True:
@@ -116,16 +154,12 @@ def expand_sitemap_index(sitemaps: DataFrame, seeds: DataFrame, limit: int = SIT
         else:
             used = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
             fresh = level.join(visited, ["site", "sitemap_url"], "left_anti").join(used, "site", "left")
-        ranked = fresh.withColumn(
-            "_rank", F.row_number().over(Window.partitionBy("site").orderBy("place", "sitemap_url"))
-        ).where(F.col("_rank") <= limit)
-        taken = ranked.where(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit)
+        taken = _within(ranked_in_site(fresh, ["place", "sitemap_url"]), limit)
         looked_up = cut_lineage(
             taken.join(documents, ["site", "sitemap_url"], "left").select(
                 "site", "sitemap_url",
                 (F.coalesce("_used", F.lit(0)) + F.col("_rank") - 1).cast("int").alias("visit"),
-                F.coalesce(F.size("locs") > 0, F.lit(False)).alias("found"),
-                F.when(F.col("is_index"), F.col("locs")).alias("children"),
+                F.coalesce("filled", F.lit(False)).alias("found"), "children",
             )
         )
         rows = looked_up.drop("children")
@@ -310,16 +344,16 @@ def link_frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
     return targets.join(visited.select("site", "url"), ["site", "url"], "left_anti")
 
 
-def crawl_link_graph(links: DataFrame, seeds: DataFrame, limit: int = CRAWL_LIMIT) -> DataFrame:
-    """Product URLs reached by walking stored links from the seeds, ``limit`` pages a site.
+def crawl_link_graph(links: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """Product URLs reached by walking stored links from the seeds; ``limit`` pages a site, if stated.
 
     ``links(site, page_url, pos, href)`` holds scrapable same-host links, ``seeds(site, url,
     pos)``. A round visits one level of every site at once, listings before other pages, in
-    queue order within each; targets with a product hint are harvested and not visited. Sites
+    queue order within each; the links are stored once; targets with a product hint are harvested and not visited. Sites
     without any are inferred by URL shape. Rounds are checkpointed and end when no site has
-    pages or budget left.
+    pages left to visit.
     """
-    edges = links.select("site", F.col("page_url").alias("url"), "pos", "href")
+    edges = cut_lineage(links.select("site", F.col("page_url").alias("url"), "pos", "href"))
     with_pages = edges.select("site", "url").distinct()
     frontier = seeds.groupBy("site", "url").agg(F.min(F.struct(F.lit(0).alias("from"), "pos")).alias("place"))
     visited, depth = None, 0
@@ -329,13 +363,8 @@ def crawl_link_graph(links: DataFrame, seeds: DataFrame, limit: int = CRAWL_LIMI
             frontier = frontier.join(visited, ["site", "url"], "left_anti").join(used, "site", "left")
         else:
             frontier = frontier.withColumn("_used", F.lit(0))
-        order = Window.partitionBy("site").orderBy(F.col("_listing").desc(), "place", "url")
-        ranked = (
-            frontier.withColumn("_listing", looks_like_listing(F.col("url")))
-            .withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= limit)
-            .where(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit)
-        )
+        listing_first = frontier.withColumn("_listing", looks_like_listing(F.col("url")))
+        ranked = _within(ranked_in_site(listing_first, [F.col("_listing").desc(), "place", "url"]), limit)
         now = cut_lineage(ranked.select("site", "url", F.lit(depth).alias("depth"), F.col("_rank").alias("rank")))
         if now.isEmpty():
             break

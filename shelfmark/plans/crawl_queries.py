@@ -115,10 +115,10 @@ def classify_sitemaps(spark, sf):
   UNION ALL SELECT site, concat(base, '/sitemap_index', file // 50, '.xml.missing'), file // 50, 1e9, true FROM urls GROUP BY ALL),
 indexes AS (SELECT DISTINCT site, base, file // 50 AS k FROM urls),
 counted AS (SELECT site, count(*) AS n FROM indexes GROUP BY site),
-placed AS (SELECT files.site, sitemap_url, gone, least(n, 61) + row_number() OVER (PARTITION BY files.site ORDER BY k, file) - 1 AS visit
-  FROM files JOIN counted USING (site) WHERE k <= 60)
-SELECT site, concat(base, '/sitemap_index', k, '.xml') AS sitemap_url, CAST(k AS INTEGER) AS visit, true AS found FROM indexes WHERE k <= 60
-UNION ALL SELECT site, sitemap_url, CAST(visit AS INTEGER), NOT gone FROM placed WHERE visit <= 60""")
+placed AS (SELECT files.site, sitemap_url, gone, n + row_number() OVER (PARTITION BY files.site ORDER BY k, file) - 1 AS visit
+  FROM files JOIN counted USING (site))
+SELECT site, concat(base, '/sitemap_index', k, '.xml') AS sitemap_url, CAST(k AS INTEGER) AS visit, true AS found FROM indexes
+UNION ALL SELECT site, sitemap_url, CAST(visit AS INTEGER), NOT gone FROM placed""")
 def expand_sitemap_index(spark, sf):
     documents = leaf_sitemaps(spark, sf).select("site", "sitemap_url", "xml").unionByName(index_sitemaps(spark, sf))
     seeds = _parts(spark, sf).select(
