@@ -206,9 +206,10 @@ def urls_from_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """Product URLs of ``sitemaps(site, host, visit, sitemap_url, xml)``.
 
     Per site: the pages of product sitemaps; without any, pages with a product hint; without
-    those, the dominant URL shape. Which of them applies is two flags a site.
+    those, the dominant URL shape. Which of them applies is two flags a site. The documents are
+    parsed once and their page URLs stored.
     """
-    pages = (
+    pages = cut_lineage(
         parse_sitemaps(classify_sitemaps(sitemaps).where(~F.col("is_index")))
         .where(is_scrapable_page(F.col("loc"), F.col("host")))
         .select(

@@ -18,7 +18,7 @@ from shelfmark.operators.elements import (
     ERROR_TAG, css_hit, element_array, matched, meta_value, microdata_values, of_tag, rule_numbers,
     selector_name, words,
 )
-from shelfmark.operators.images import IMAGE_LIMIT, dedupe_image_variants, extract_images
+from shelfmark.operators.images import dedupe_image_variants, extract_images
 from shelfmark.operators.rules import BREADCRUMB_FILLER, CATEGORY_NOISE, SELECTORS
 from shelfmark.runtime import built_once
 from shelfmark.schema import UNKNOWN_BRAND
@@ -330,7 +330,7 @@ def extract_sku(facts: DataFrame) -> DataFrame:
         F.nullif(F.col("ld_sku"), F.lit("")), F.nullif(F.col("ld_mpn"), F.lit("")),
         F.nullif(F.col("micro")["sku"], F.lit("")), _text(F.col("css_sku")),
     ]
-    return facts.withColumn("sku", F.substring(clean_text(F.coalesce(*options)), 1, 80))
+    return facts.withColumn("sku", clean_text(F.coalesce(*options)))
 
 
 def extract_descriptions(facts: DataFrame) -> DataFrame:
@@ -352,20 +352,21 @@ def extract_descriptions(facts: DataFrame) -> DataFrame:
     )
 
 
-def extract_image_fields(facts: DataFrame) -> DataFrame:
+def extract_image_fields(facts: DataFrame, selectors: dict = SELECTORS) -> DataFrame:
+    """All images of a page; ``selectors`` are those the facts were read with."""
     read = facts.withColumn(
         "_images",
         built_once(
-            "images",
+            ("images", repr(selectors)),
             lambda: extract_images(
-                F.col("el"), F.col("metas"), F.col("ld_images"), F.col("micro")["image"], F.col("url")
+                F.col("el"), F.col("metas"), F.col("ld_images"), F.col("micro")["image"], F.col("url"), selectors
             ),
         ),
     )
     none = F.array().cast("array<string>")
     return read.select(
         "*",
-        F.slice(dedupe_image_variants(F.coalesce(F.col("_images.images"), none)), 1, IMAGE_LIMIT).alias("images"),
+        dedupe_image_variants(F.coalesce(F.col("_images.images"), none)).alias("images"),
         F.col("_images.source").alias("by_images"),
     ).drop("_images")
 
@@ -390,9 +391,10 @@ def parse_products(pages: DataFrame, selectors: dict = SELECTORS) -> DataFrame:
     facts = page_facts(pages, selectors)
     for step in (
         extract_title, extract_price, extract_availability, extract_categories, extract_brand,
-        extract_sku, extract_descriptions, extract_image_fields,
+        extract_sku, extract_descriptions,
     ):
         facts = step(facts)
+    facts = extract_image_fields(facts, selectors)
     broken = first_of(of_tag(F.col("el"), ERROR_TAG))
 
     def unless_broken(name, blank):

@@ -12,8 +12,6 @@ from shelfmark.operators.elements import (
 )
 from shelfmark.operators.rules import IMAGE_ATTRIBUTES, SELECTORS
 
-IMAGE_LIMIT = 30
-SCAN_LIMIT = 12
 _SIZE_SUFFIX = r"(?i)-(\d+)x(\d+)(?=\.[a-z0-9]{2,5}$)"
 
 
@@ -111,7 +109,7 @@ def collect_gallery(structured: Column, tags: Column, selectors: dict = SELECTOR
 
 
 def scanned_images(elements: Column, tags: Column, selectors: dict = SELECTORS) -> Column:
-    """Sources of the first images of the main region, or of the page when it has none."""
+    """Sources of the images of the main region, or of the page when it has none."""
     first, last = rule_ids("region", selectors)
     regions = F.filter(elements, lambda e: F.exists(e["hits"], lambda h: h.between(first, last)))
     within = let(
@@ -120,7 +118,7 @@ def scanned_images(elements: Column, tags: Column, selectors: dict = SELECTORS)
             tags, lambda t: r.isNull() | ((t["pos"] > r["pos"]) & (t["pos"] < r["stop"]))
         ),
     )
-    return _sources(F.slice(within, 1, SCAN_LIMIT))
+    return _sources(within)
 
 
 def extract_images(

@@ -19,10 +19,6 @@ BREADCRUMB_TYPE = "breadcrumblist"
 SCORED_KEYS = ["name", "offers", "image", "description", "sku", "brand"]
 NESTED_KEYS = ["about", "item", "mainEntityOfPage", "mainEntity"]
 NAME_KEYS = ["name", "url", "@id", "value", "contentUrl"]
-# Most nodes visited per block.
-VISIT_LIMIT = 200
-# Levels of nesting followed below a block; ``nesting_beyond`` tells of deeper ones.
-DEFAULT_DEPTH = 6
 
 _SCRIPT = (
     r"(?is)<script[^>]*type\s*=\s*[\"']?[^\"'>]*ld\+json[^\"'>]*[\"']?[^>]*>(.*?)</script>"
@@ -95,38 +91,41 @@ def _children(value: Column) -> Column:
     return F.coalesce(F.reverse(_items(value)), let(_fields(value), of_object), _none())
 
 
-def _visits(value: Column, depth: int) -> Column:
-    if depth == 0:
-        return F.array(value)
-    return F.concat(
-        F.array(value), F.flatten(F.transform(_children(value), lambda c: _visits(c, depth - 1)))
-    )
+def _visits(value: Column, nesting: Column) -> Column:
+    """A value and all it leads to, parents first; ``nesting`` is a bound of its levels.
 
+    Level by level: an item carries its place among the items above, and the places give the order.
+    """
+    start = F.array(F.struct(F.array(F.lit(0)).alias("place"), value.alias("v")))
 
-def jsonld_nodes(payloads: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """Every object of every block, ``array<variant>``, in visiting order."""
+    def below(edge):
+        return F.flatten(F.transform(edge, lambda e: F.transform(
+            _children(e["v"]), lambda c, i: F.struct(F.concat(e["place"], F.array(i)).alias("place"), c.alias("v"))
+        )))
 
-    def of_block(payload):
-        root = F.filter(F.array(parse_lenient(payload)), lambda v: v.isNotNull())
-        visits = F.flatten(F.transform(root, lambda v: _visits(v, depth)))
-        return F.filter(F.slice(visits, 1, VISIT_LIMIT), is_object)
+    def step(state, _):
+        grown = let(below(state["edge"]), lambda b: F.struct(F.concat(state["seen"], b).alias("seen"), b.alias("edge")))
+        return F.when(F.size(state["edge"]) == 0, state).otherwise(grown)
 
-    return F.flatten(F.transform(payloads, of_block))
+    def ordered(seen):
+        places = F.array_sort(F.transform(seen, lambda s, i: F.struct(s["place"].alias("place"), i.alias("i"))))
+        return F.transform(places, lambda p: F.get(seen, p["i"])["v"])
 
+    levels = F.sequence(F.lit(0), nesting)
+    walked = F.aggregate(levels, F.struct(start.alias("seen"), start.alias("edge")), step, lambda state: state["seen"])
+    return let(walked, ordered)
 
-def nesting_beyond(payloads: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """How many nodes of the last followed level lead further down."""
 
-    def edge(value, level):
-        if level == 0:
-            return F.filter(F.array(value), lambda v: F.size(_children(v)) > 0)
-        return F.flatten(F.transform(_children(value), lambda c: edge(c, level - 1)))
+def jsonld_nodes(payloads: Column) -> Column:
+    """Every object of every block at any depth, ``array<variant>``, in visiting order."""
 
     def of_block(payload):
         root = F.filter(F.array(parse_lenient(payload)), lambda v: v.isNotNull())
-        return F.flatten(F.transform(root, lambda v: edge(v, depth)))
+        # No value has more levels than its text has opening brackets.
+        nesting = F.length(payload) - F.length(F.translate(payload, "{[", ""))
+        return F.filter(F.flatten(F.transform(root, lambda v: _visits(v, nesting))), is_object)
 
-    return F.size(F.flatten(F.transform(payloads, of_block)))
+    return F.flatten(F.transform(payloads, of_block))
 
 
 def type_names(node: Column) -> Column:

@@ -10,7 +10,6 @@ from shelfmark.operators.discovery import (
     wordpress_facts,
 )
 
-REPORTED_SITEMAPS = 10
 # Labels of the API probes by endpoint.
 API_NAMES = {
     "woo": "WooCommerce Store API", "wp": "WordPress REST API",
@@ -39,13 +38,13 @@ def site_report(homepages: DataFrame, robots: DataFrame, sitemaps: DataFrame, pr
         (F.coalesce("html", F.lit("")) != "").alias("reachable"),
         detect_platform(F.col("html")).alias("platform"), wordpress_facts(F.col("html")).alias("wordpress"),
     )
-    bodies = robots.groupBy("site").agg(F.first("body", ignorenulls=True).alias("robots"))
+    bodies = robots.groupBy("site").agg(F.min(F.nullif(F.col("body"), F.lit(""))).alias("robots"))
     asked = (
         home.join(bodies, "site", "left")
         .withColumn("robots_txt", F.col("reachable") & (F.coalesce("robots", F.lit("")) != ""))
         .withColumn(
             "sitemaps",
-            F.when(F.col("robots_txt"), F.slice(robots_sitemaps(F.col("robots")), 1, REPORTED_SITEMAPS)).otherwise(none),
+            F.when(F.col("robots_txt"), robots_sitemaps(F.col("robots"))).otherwise(none),
         )
         .withColumn(
             "index_url",
