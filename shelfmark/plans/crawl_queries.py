@@ -470,6 +470,16 @@ def retry_plan(spark, sf):
     return plan.select("url", "attempts", "last_outcome", "action", "delay")
 
 
+@query("image_retry_plan", JUDGED + """, s AS (
+  SELECT url, count(*) AS n, arg_max(outcome, struct_pack(ts := ts, e := event_id)) AS last_outcome FROM judged GROUP BY url),
+a AS (SELECT *, CASE last_outcome WHEN 'ok' THEN 'done' WHEN 'permanent' THEN 'drop' WHEN 'fingerprint' THEN 'blocked'
+  ELSE CASE WHEN n >= 4 THEN 'give_up' ELSE 'retry' END END AS action FROM s)
+SELECT url, n AS attempts, last_outcome, action, CASE WHEN action = 'retry' THEN CAST(n * 2 AS DOUBLE) END AS delay FROM a""")
+def image_retry_plan(spark, sf):
+    """The attempts as if they were for images: one try and three more, linear waits."""
+    return Q.image_retry_plan(judged(spark, sf), ATTEMPT_ORDER)
+
+
 BLOCKS_SQL = JUDGED + """, w AS (
   SELECT host, max(CASE WHEN outcome = 'ok' THEN event_id END) AS won,
     arg_max(profile, event_id) FILTER (outcome = 'ok') AS profile FROM judged GROUP BY host)

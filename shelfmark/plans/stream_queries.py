@@ -31,22 +31,22 @@ def _stream(spark, sf):
     return stream.select(*RECORD, "site", *ORDER)
 
 
-def _arriving(spark, df, name):
-    """A table written as files and read back as a stream, a few files per batch."""
-    path = scratch_path(spark, name)
-    for part in range(BATCHES):
-        df.where(F.col("event_id") % BATCHES == part).coalesce(2).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def _follow(spark, df, parts, job):
+    """A table grows by the rows of each of ``parts``; the stream runs on after each, as one batch."""
+    path, checkpoint = scratch_path(spark, "arriving"), scratch_path(spark, "checkpoint")
+    for part in parts:
+        df.where(part).write.mode("append").parquet(path)
+        job(spark.readStream.schema(df.schema).parquet(path), checkpoint)
+
 
+def _mixed(event):
+    return [event % BATCHES == part for part in range(BATCHES)]
 
-def _in_time_order(spark, df, name, cuts=(0.34, 0.67)):
-    """The same, but each batch holds a later stretch of time than the one before."""
-    path = scratch_path(spark, name)
+
+def _in_time_order(df, event, cuts=(0.34, 0.67)):
+    """Each part holds a later stretch of time than the one before."""
     low, high = df.approxQuantile("event_id", list(cuts), 0.01)
-    event = F.col("event_id")
-    for part in (event <= low, (event > low) & (event <= high), event > high):
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return [event <= low, (event > low) & (event <= high), event > high]
 
 
 @query("stream_product_log", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey")
@@ -85,8 +85,8 @@ def stream_stats(spark, sf):
   round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) AS eta FROM events""")
 def stream_progress(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts")
-    target = scratch_path(spark, "progress")
-    S.stream_progress(_arriving(spark, events, "attempts"), target, scratch_path(spark, "checkpoint"), 2 * events.count())
+    target, total = scratch_path(spark, "progress"), 2 * events.count()
+    _follow(spark, events, _mixed(F.col("event_id")), lambda stream, checkpoint: S.stream_progress(stream, target, checkpoint, total))
     return read_published(spark, target).select("current", "total", F.round("eta", 0).alias("eta"))
 
 
@@ -94,19 +94,17 @@ def stream_progress(spark, sf):
 def stream_host_blocks(spark, sf):
     found = judged(spark, sf).select("event_id", "ts", "host", "outcome", "profile")
     target = scratch_path(spark, "blocks")
-    S.stream_host_blocks(_in_time_order(spark, found, "attempts"), target, scratch_path(spark, "checkpoint"), ATTEMPT_ORDER)
-    return read_published(spark, target).withColumn("profile", F.coalesce("profile", F.lit("")))
+    parts = _in_time_order(found, F.col("event_id"))
+    _follow(spark, found, parts, lambda stream, checkpoint: S.stream_host_blocks(stream, target, checkpoint, ATTEMPT_ORDER))
+    return read_published(spark, target).select("host", "blocked", "exhausted", F.coalesce("profile", F.lit("")).alias("profile"))
 
 
 @query("stream_price_context", CONTEXT_SQL)
 def stream_price_context(spark, sf):
-    """A product's observations come together: batches are cut by product number."""
+    """A product's observations come in several batches: they are cut by event number."""
     seen = observations(spark, sf).drop("ts")
-    path = scratch_path(spark, "observations")
-    for part in range(BATCHES):
-        seen.where(F.col("event_id") % 50 % BATCHES == part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
     target = scratch_path(spark, "context")
-    S.stream_price_context(stream, target, scratch_path(spark, "checkpoint"), ["event_id"])
+    parts = _mixed(F.floor(F.col("event_id") / 50))
+    _follow(spark, seen, parts, lambda stream, checkpoint: S.stream_price_context(stream, target, checkpoint, ["event_id"]))
     known = read_published(spark, target)
     return known.select("host", F.coalesce("preferred_param", F.lit("")).alias("preferred_param"), "misses", "state")

@@ -119,8 +119,9 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
 def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: list, **options):
     """Blocked failures per host since its last success, from ``stream(host, outcome, profile, ...)``.
 
-    A batch gives per host its last success and the blocked attempts after it; a batch without a
-    success adds to the counter, one with a success replaces it.
+    The state keeps each host's last success, so an attempt that arrives late and lies before it
+    does not count. A success newer than that sets the counter to the batch's attempts after it;
+    attempts of earlier batches then no longer count, also where they lie after a late success.
     """
 
     def step(batch, batch_id):
@@ -131,25 +132,25 @@ def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: li
             F.max(F.when(ok, place)).alias("won"),
             F.max_by(F.when(ok, F.col("profile")), F.when(ok, place)).alias("profile"),
         )
+        prior, version = _state(spark, table, checkpoint, batch_id)
+        before = wins.where(F.lit(False)).withColumn("blocked", F.lit(0).cast("long")) if prior is None else prior
+        before = before.select("host", F.col("won").alias("_won"), F.col("blocked").alias("_blocked"), F.col("profile").alias("_profile"))
+        newer = F.coalesce(F.col("won") > F.col("_won"), F.col("won").isNotNull())
+        hosts = wins.join(before, "host", "full").select(
+            "host", F.when(newer, F.col("won")).otherwise(F.col("_won")).alias("won"),
+            F.when(newer, F.lit(0)).otherwise(F.coalesce("_blocked", F.lit(0))).alias("_kept"),
+            F.when(newer, F.col("profile")).otherwise(F.col("_profile")).alias("profile"),
+        )
         since = (
             batch.where(blocked).select("host", place.alias("at"))
-            .join(wins.select("host", "won"), "host")
+            .join(hosts.select("host", "won"), "host")
             .where(F.col("won").isNull() | (F.col("at") > F.col("won")))
             .groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         )
-        now = wins.join(since, "host", "left").select(
-            "host", F.col("won").isNotNull().alias("reset"), F.coalesce("n", F.lit(0)).alias("blocked"), "profile"
+        count = F.col("_kept") + F.coalesce("n", F.lit(0))
+        state = hosts.join(since, "host", "left").select(
+            "host", count.alias("blocked"), (count >= EXHAUSTED_AFTER).alias("exhausted"), "profile", "won"
         )
-        prior, version = _state(spark, table, checkpoint, batch_id)
-        if prior is not None:
-            before = prior.select("host", F.col("blocked").alias("_b"), F.col("profile").alias("_p"))
-            joined = now.join(before, "host", "full")
-            kept = F.when(F.coalesce("reset", F.lit(False)), F.lit(0)).otherwise(F.coalesce("_b", F.lit(0)))
-            now = joined.select(
-                "host", (kept + F.coalesce("blocked", F.lit(0))).alias("blocked"),
-                F.coalesce("profile", "_p").alias("profile"),
-            )
-        state = now.select("host", "blocked", (F.col("blocked") >= EXHAUSTED_AFTER).alias("exhausted"), "profile")
         publish(state, table, version)
 
     return run_batches(stream, checkpoint, step, **options)
@@ -159,8 +160,8 @@ def stream_price_context(stream: DataFrame, table: str, checkpoint: str, order:
                          limit: int = PROBE_LIMIT, **options):
     """First winning parameter and misses per host, from ``stream(host, url, param, priced, ...)``.
 
-    All rows of one product come in one batch. A miss is a product no parameter priced; misses
-    count until the host is known. The first winner is kept.
+    A miss is a product no parameter priced so far. What is known of each product is kept in
+    ``<table>/products``, so its observations may come in several batches and in any order.
     """
 
     def step(batch, batch_id):
@@ -172,17 +173,17 @@ def stream_price_context(stream: DataFrame, table: str, checkpoint: str, order:
             F.min(F.when(won, place)).alias("at"),
             F.bool_or(F.col("priced") & F.col("param").isNull()).alias("plain"),
         )
-        now = product.groupBy("host").agg(
+        products = f"{table}/products"
+        prior, version = _state(spark, products, checkpoint, batch_id)
+        if prior is not None:
+            product = prior.unionByName(product).groupBy("host", "url").agg(
+                F.min_by("param", "at").alias("param"), F.min("at").alias("at"), F.bool_or("plain").alias("plain")
+            )
+        publish(product, products, version)
+        state = read_published(spark, products).groupBy("host").agg(
             F.min("at").alias("won_at"), F.min_by("param", "at").alias("preferred_param"),
             F.bool_or("plain").alias("plain"),
             F.count_if(F.col("param").isNull() & ~F.col("plain")).alias("misses"),
-        )
-        prior, version = _state(spark, table, checkpoint, batch_id)
-        if prior is not None:
-            now = prior.select(*now.columns).unionByName(now)
-        state = now.groupBy("host").agg(
-            F.min("won_at").alias("won_at"), F.min_by("preferred_param", "won_at").alias("preferred_param"),
-            F.bool_or("plain").alias("plain"), F.sum("misses").alias("misses"),
         ).withColumn(
             "state",
             F.when(F.col("preferred_param").isNotNull(), "known")

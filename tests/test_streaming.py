@@ -28,3 +28,33 @@ def test_a_redone_batch_writes_the_same_version(spark, tmp_path):
     prior, following = S._state(spark, table, str(checkpoint), 1)
     assert prior.count() == 2 and following > version
     assert read_published(spark, table).agg(F.count("*")).first()[0] == 2
+
+
+def run_in_batches(spark, tmp_path, batches, schema, job, order):
+    """Run ``job`` over one batch after another, each with a checkpoint of its own."""
+    table = str(tmp_path / "table")
+    for run, rows in enumerate(batches):
+        source = str(tmp_path / f"in{run}")
+        spark.createDataFrame(rows, schema).write.parquet(source)
+        job(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / f"checkpoint{run}"), order)
+    return {r.host: r for r in read_published(spark, table).collect()}
+
+
+def test_a_late_attempt_before_the_last_success_does_not_count(spark, tmp_path):
+    schema = "host string, outcome string, profile string, seq long"
+    batches = [
+        [("a", "fingerprint", "p", 1), ("a", "ok", "q", 5), ("a", "fingerprint", "p", 6), ("b", "fingerprint", "p", 7)],
+        [("a", "fingerprint", "p", 3), ("a", "ok", "old", 2), ("a", "fingerprint", "p", 8), ("b", "ok", "r", 9)],
+    ]
+    found = run_in_batches(spark, tmp_path, batches, schema, S.stream_host_blocks, ["seq"])
+    assert {h: (r.blocked, r.exhausted, r.profile) for h, r in found.items()} == {"a": (2, False, "q"), "b": (0, False, "r")}
+
+
+def test_a_product_split_over_batches_is_one_product(spark, tmp_path):
+    schema = "host string, url string, param string, priced boolean, seq long"
+    batches = [
+        [("a", "1", "x", False, 1), ("b", "1", "x", False, 2), ("b", "2", "x", True, 9)],
+        [("a", "1", "y", False, 3), ("b", "1", "y", True, 4)],
+    ]
+    found = run_in_batches(spark, tmp_path, batches, schema, S.stream_price_context, ["seq"])
+    assert {h: (r.preferred_param, r.misses, r.state) for h, r in found.items()} == {"a": (None, 1, "probing"), "b": ("y", 0, "known")}
