@@ -73,7 +73,6 @@ class PrefixCounts:
         self.vocabulary = held = vocabulary(path)
         self.encoder = held.encoder()
         self.pattern, self.blank = regex.compile(PATTERN), regex.compile(r"\s*")
-        self.follows: dict[int, bool] = {}
         self.pretokens: dict[str, int] = {}
         self.units: dict[str, int] = {}
         # the pairs asked for so far, sorted, for many look-ups at once
@@ -93,16 +92,13 @@ class PrefixCounts:
         self.token_at = np.array(tokens)
 
     def _follows(self, pair: int) -> bool:
-        known = self.follows.get(pair)
-        if known is None:
-            if len(self.follows) >= REMEMBERED:
-                self.follows, self.asked, self.said = {}, self.asked[:0], self.said[:0]
-            two = [self.vocabulary.tokens[i] for i in (pair >> 32, pair & 0xFFFFFFFF)]
-            merged = self.encoder._encode_single_piece(two[0] + two[1])  # byte-pair merges without the pattern
-            known = self.follows[pair] = merged == [self.vocabulary.ids[t] for t in two if t]
-        return known
+        two = [self.vocabulary.tokens[i] for i in (pair >> 32, pair & 0xFFFFFFFF)]
+        merged = self.encoder._encode_single_piece(two[0] + two[1])  # byte-pair merges without the pattern
+        return merged == [self.vocabulary.ids[t] for t in two if t]
 
     def _follow_many(self, pairs: np.ndarray) -> np.ndarray:
+        if len(self.asked) >= REMEMBERED:  # before the look-up, so that all pairs of this call are known after it
+            self.asked, self.said = self.asked[:0], self.said[:0]
         place = np.searchsorted(self.asked, pairs)
         place[place == len(self.asked)] = 0
         new = np.unique(pairs[self.asked[place] != pairs]) if len(self.asked) else np.unique(pairs)
@@ -110,9 +106,7 @@ class PrefixCounts:
             said = np.fromiter(map(self._follows, new.tolist()), bool, len(new))
             keys = np.concatenate((self.asked, new))
             order = np.argsort(keys, kind="stable")
-            keys, said = keys[order], np.concatenate((self.said, said))[order]
-            once = np.append(True, keys[1:] != keys[:-1])
-            self.asked, self.said = keys[once], said[once]
+            self.asked, self.said = keys[order], np.concatenate((self.said, said))[order]
             place = np.searchsorted(self.asked, pairs)
         return self.said[place]
 

@@ -36,6 +36,19 @@ def test_counts_of_every_prefix_agree_with_the_library(library):
         assert len(ids_of(library, counter.truncate(t, 4))) <= 4
 
 
+@pytest.mark.parametrize("remembered", [1, 7, 60])
+def test_counts_stay_exact_when_the_memory_is_full(library, monkeypatch, remembered):
+    from shelfmark.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    counter = bpe.PrefixCounts(PATH)
+    texts = drawn(120, 8) + ODD
+    for part in (texts[:40], texts[40:80], texts[80:], texts):
+        assert counter.counts(part) == [len(ids_of(library, t)) for t in part]
+    for t in drawn(20, 9):
+        assert counter.prefixes(t).tolist() == [len(ids_of(library, t[:i])) for i in range(len(t) + 1)]
+
+
 def test_ids_agree_with_the_library(library):
     texts = drawn(300, 2) + ODD
     for t, ids in zip(texts, token_ids(PATH).batch(texts)):
