@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.common import stored
@@ -18,6 +21,8 @@ TABLE_BITS = 16
 ITERATIONS = 50
 # Vectors of one bucket that are compared in one task; larger buckets are compared block by block.
 BLOCK = 2000
+# Values of the samples and models of several lengths that the driver holds at once.
+FIT_VALUES = 8 << 20
 
 
 def learn_codes(vectors: np.ndarray, tables: int = TABLES, table_bits: int = TABLE_BITS, iterations: int = ITERATIONS, seed: int = 1):
@@ -89,6 +94,35 @@ def _compare(members: pa.Table, threshold: float, cross: bool):
     return pa.table({"node": node[some], "links": links[some], "root": node[root[some]]})
 
 
+def _groups(lengths, sample_vectors: int, bits: int):
+    """Lengths whose samples and models together stay within ``FIT_VALUES``; a larger one is alone."""
+    group, held = [], 0
+    for r in lengths:
+        values = (min(r.c, sample_vectors) + bits) * r.d
+        if group and held + values > FIT_VALUES:
+            yield group
+            group, held = [], 0
+        group.append(r)
+        held += values
+    if group:
+        yield group
+
+
+def _encoder(models: dict, tables: int, table_bits: int):
+    def encode(batches):
+        for batch in batches:
+            for d, (mean, directions) in models.items():
+                part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), d))
+                if not len(part):
+                    continue
+                bit = (_units(part.column(1)) - mean) @ directions >= 0
+                code = bit.reshape(len(part), tables, table_bits) @ (1 << np.arange(table_bits))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(4)), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], names=["label", "vec", "node", "n", "codes"])
+
+    return encode
+
+
 def embedding_near_dedup(
     vectors: DataFrame, threshold: float = THRESHOLD, sample_vectors: int = SAMPLE_VECTORS, tables: int = TABLES, table_bits: int = TABLE_BITS,
     block: int = BLOCK, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
@@ -97,10 +131,12 @@ def embedding_near_dedup(
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label or id, link with nothing and are components of their own (a null id has none and is kept).
-    Vectors of other lengths than the commonest one are compared only if equal. Equal vectors of a
-    label are one class with a count: its rows are linked with each other.
+    Only vectors of one length are compared. Equal vectors of a label are one class with a count: its
+    rows are linked with each other.
 
-    Codes are fitted on a bounded sample and made for every class. A pair is compared, by the
+    Codes are fitted for each length on a bounded sample and made for every class; the classes of a
+    length that has at most ``block`` of them all have the same code, so all their pairs are compared.
+    A pair is compared, by the
     vectors themselves in double precision, if some table's bits are the same in both codes, and it
     counts in the first such table. Buckets over ``block`` classes are split into blocks, and each
     pair of blocks is a task of its own, so no task holds a whole bucket.
@@ -111,30 +147,30 @@ def embedding_near_dedup(
     rows = rows.withColumn("vec", F.when(usable, F.transform("vec", lambda v: v.cast("double") + 0.0)))
     classes = stored(
         rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    top = classes.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "d").first()
-    if top is None:
+    lengths = classes.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy("d").collect()
+    kind = classes.schema["label"].dataType
+    schema = T.StructType([T.StructField("label", kind)]).add("vec", T.ArrayType(T.DoubleType())).add("node", "long").add("n", "long").add("codes", T.ArrayType(T.LongType()))
+    coded, few = [], [r.d for r in lengths if r.c <= block]
+    if few:
+        one = classes.where(F.size("vec").isin(few)).select("label", "vec", "node", "n", F.array(F.lit(0).cast("long")).alias("codes"))
+        coded.append(stored(one, "codes"))
+    for group in _groups([r for r in lengths if r.c > block], sample_vectors, tables * table_bits):
+        size = F.size("vec")
+        alike = classes.where(size.isin([r.d for r in group]))
+        taken = F.lit(0)
+        for r in group:
+            taken = F.when(size == r.d, int(min(1.0, sample_vectors / r.c) * (1 << 30))).otherwise(taken)
+        sample = alike.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= taken).select("vec").toArrow()["vec"].combine_chunks()
+        d = pc.list_value_length(sample)
+        models = {r.d: learn_codes(_units(sample.filter(pc.equal(d, r.d))), tables, table_bits) for r in group}
+        coded.append(stored(alike.select("label", "vec", "node", "n").mapInArrow(_encoder(models, tables, table_bits), schema), "codes"))
+    if not coded:
         found = spark.createDataFrame([], "node long, links long, root long")
     else:
-        share = min(1.0, sample_vectors / top.c)
-        alike = classes.where(F.size("vec") == top.d)
-        sample = alike.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= share * (1 << 30)).select("vec").toArrow()
-        mean, directions = learn_codes(_units(sample["vec"].combine_chunks()), tables, table_bits)
-
-        def encode(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                bit = (_units(batch.column(1)) - mean) @ directions >= 0
-                code = bit.reshape(len(batch), tables, table_bits) @ (1 << np.arange(table_bits))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in range(4)), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], names=["label", "vec", "node", "n", "codes"])
-
-        kind = classes.schema["label"].dataType
-        schema = T.StructType([T.StructField("label", kind)]).add("vec", T.ArrayType(T.DoubleType())).add("node", "long").add("n", "long").add("codes", T.ArrayType(T.LongType()))
-        coded = stored(alike.select("label", "vec", "node", "n").mapInArrow(encode, schema), "codes")
-        in_table = coded.select("*", F.posexplode("codes").alias("table", "code"))
-        sizes = in_table.groupBy("label", "table", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        dealt = in_table.join(sizes, ["label", "table", "code"])
+        in_table = functools.reduce(DataFrame.unionAll, coded).select("*", F.size("vec").alias("d"), F.posexplode("codes").alias("table", "code"))
+        bucket = ["label", "d", "table", "code"]
+        sizes = in_table.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        dealt = in_table.join(sizes, bucket)
         blocks = F.ceil(F.col("size") / block).cast("int")
         # a class meets every block of its bucket once: its own among themselves, and each other pair
         mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -143,8 +179,8 @@ def embedding_near_dedup(
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
         )
-        found = dealt.groupBy("label", "table", "code", "i", "j").applyInArrow(
-            lambda key, group: _compare(group, threshold, key[3] != key[4]), "node long, links long, root long")
+        found = dealt.groupBy(*bucket, "i", "j").applyInArrow(
+            lambda key, group: _compare(group, threshold, key[4] != key[5]), "node long, links long, root long")
         found = stored(found, "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -111,6 +111,24 @@ def test_links_of_embeddings(spark, block):
     assert embedding_near_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block, fit_values", [(2000, 8 << 20), (7, 8 << 20), (7, 1)])
+def test_links_of_embeddings_of_several_lengths(spark, monkeypatch, block, fit_values):
+    from shelfmark.llm import hamming
+
+    monkeypatch.setattr(hamming, "FIT_VALUES", fit_values)
+    rng, rows = np.random.default_rng(7), []
+    for d, groups in [(32, 20), (24, 8), (48, 6), (16, 1), (1, 1)]:
+        for _ in range(groups):
+            base = rng.normal(size=d)
+            for _ in range(2):
+                rows.append((len(rows), (base + rng.normal(size=d) * 0.01).tolist(), 1))
+    rows.append((len(rows), [1.0] * 5, 1))
+    found = {r.vec_id: r for r in embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()}
+    links, root = plain_links(rows)
+    assert len(found) == len(rows) and sum(links.values()) >= 70
+    assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {i: (links[i], root[i]) for i in root}
+
+
 SF = "/root/testdata/sf0.001"
 
 
