@@ -126,3 +126,40 @@ def op2(spark, sf_dir):
     from shelfmark.llm.licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+# Leaves, and what a row would read; the levels of each tree, of languages and then of their roots;
+# from every row up, siblings put together and the changed leaf folded. CRC-32 is told bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE fields AS (SELECT *, CAST(doc_id AS VARCHAR) AS i, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+hashed AS (SELECT doc_id, lang, i, coalesce(octet_length(encode(i)) || ':' || i, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(low)) || ':' || low, '-') AS lowered FROM fields),
+leaves AS (SELECT doc_id, lang, sha256(head || body) AS leaf, CASE WHEN xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(i, '')],
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 3 = 0
+    THEN sha256(head || lowered) ELSE sha256(head || body) END AS now FROM hashed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+low AS (SELECT lang, 0 AS level, pos, n, leaf AS digest FROM placed
+    UNION ALL SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+sub AS (SELECT lang, level, digest, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, pos, n, digest FROM sub
+    UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 8, n),
+low_runs AS (SELECT lang, level, pos // 8 AS run, n, list(digest ORDER BY pos) AS ds FROM low WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+high_runs AS (SELECT level, pos // 8 AS run, n, list(digest ORDER BY pos) AS ds FROM high WHERE n > 1 GROUP BY level, pos // 8, n),
+up AS (SELECT doc_id, lang, leaf, pos AS id, pos, 0 AS level, n, '' AS proof, now AS h FROM placed
+    UNION ALL SELECT doc_id, u.lang, leaf, id, u.pos // 8, u.level + 1, (u.n + 7) // 8, proof || array_to_string(ds[: u.pos % 8], '') || array_to_string(ds[u.pos % 8 + 2 :], ''),
+        sha256(array_to_string(ds[: u.pos % 8], '') || h || array_to_string(ds[u.pos % 8 + 2 :], ''))
+    FROM up u JOIN low_runs r ON u.lang IS NOT DISTINCT FROM r.lang AND u.level = r.level AND u.pos // 8 = r.run AND u.n > 1),
+over_all AS (SELECT doc_id, leaf, s.digest AS subroot, s.pos, 0 AS level, s.n, proof, h FROM up u JOIN sub s ON u.lang IS NOT DISTINCT FROM s.lang AND u.n = 1
+    UNION ALL SELECT doc_id, leaf, subroot, u.pos // 8, u.level + 1, (u.n + 7) // 8, proof || array_to_string(ds[: u.pos % 8], '') || array_to_string(ds[u.pos % 8 + 2 :], ''),
+        sha256(array_to_string(ds[: u.pos % 8], '') || h || array_to_string(ds[u.pos % 8 + 2 :], ''))
+    FROM over_all u JOIN high_runs r ON u.level = r.level AND u.pos // 8 = r.run AND u.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM over_all, (SELECT digest AS root FROM high WHERE n = 1) WHERE n = 1"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark, sf_dir):
+    from shelfmark.llm.merkle import merkle_manifest
+
+    return merkle_manifest(table(spark, sf_dir, "documents"))
