@@ -163,3 +163,10 @@ def op11(spark, sf_dir):
     from shelfmark.llm.merkle import merkle_manifest
 
     return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    from shelfmark.llm.whitening import embedding_whitening
+
+    return embedding_whitening(table(spark, sf_dir, "embeddings"))
