@@ -170,3 +170,14 @@ def op13(spark, sf_dir):
     from shelfmark.llm.whitening import embedding_whitening
 
     return embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_url_filter")
+def op12(spark, sf_dir):
+    from shelfmark.llm.url_filter import Rule, url_filter
+
+    rules = [
+        Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+        Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
+    ]
+    return url_filter(table(spark, sf_dir, "pages"), rules)
