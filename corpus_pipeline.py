@@ -39,7 +39,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings that stand earlier too; characters cut in part go whole."""
-    cut = substring_dedup(docs, keep_text=True, keep=COLUMNS)
+    cut = substring_dedup(docs, keep_text=True, keep=["doc_id", "lang", "source"])
     text = F.col("kept")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 

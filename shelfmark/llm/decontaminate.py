@@ -38,7 +38,7 @@ class Suffixes:
         doc, _, _, h = words(data, at, ALNUM)
         vocabulary, number = np.unique(h, return_inverse=True)
         number = (number + 1).astype(">u4")
-        keys, width, item = [], [], []
+        keys, width, item, place = [], [], [], []
         first = np.searchsorted(doc, np.arange(len(rows) + 1))
         for i in range(len(rows)):
             own = number[first[i] : first[i + 1]]
@@ -47,14 +47,15 @@ class Suffixes:
                 keys.append(own[k : k + w].tobytes())
                 width.append(w)
                 item.append(i)
+                place.append(k)
         kind = f"S{4 * window}"
         distinct, where = np.unique(np.array(keys, kind), return_inverse=True)
         wide = np.zeros(len(distinct), np.int64)
         wide[where] = width
         lead = np.array([np.frombuffer(k.ljust(8, b"\0")[:8], ">u4") for k in distinct.tolist()], np.uint64).reshape(-1, 2)
         return cls(
-            vocabulary, distinct, wide, np.unique(np.stack([where, np.array(item, np.int64)], 1), axis=0) if keys else np.zeros((0, 2), np.int64),
-            [str(r[0]) for r in rows], np.unique(lead[wide > 1, 0] << np.uint64(32) | lead[wide > 1, 1]), np.unique(lead[wide == 1, 0]),
+            vocabulary, distinct, wide, np.unique(np.stack([where, np.array(item, np.int64), np.array(place, np.int64)], 1), axis=0) if keys else np.zeros((0, 3), np.int64),
+            [r[0] for r in rows], np.unique(lead[wide > 1, 0] << np.uint64(32) | lead[wide > 1, 1]), np.unique(lead[wide == 1, 0]),
         )
 
     def search(self, doc: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +156,8 @@ def _located(held, batch, row, mine, word, what):
     names = pa.array(held.names, pa.string()).take(pa.array(held.items[of, 1]))
     ids = batch.column(1).take(pa.array(np.repeat(mine + row, count)))
     return pa.RecordBatch.from_arrays(
-        [ids, names, pa.array(np.repeat(word, count)), pa.array(np.repeat(held.width[what], count))],
-        names=["doc_id", "item_id", "word", "n_words"],
+        [ids, names, pa.array(np.repeat(word, count)), pa.array(np.repeat(held.width[what], count)), pa.array(held.items[of, 2])],
+        names=["doc_id", "item_id", "word", "n_words", "item_word"],
     )
 
 
@@ -164,7 +165,7 @@ def _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, i
     own = F.struct(*keep) if keep else F.col(id_column)
     kind = docs.select(own.alias("doc_id")).schema["doc_id"].dataType
     if locate:
-        schema = T.StructType([T.StructField("doc_id", kind)]).add("item_id", "string").add("word", "long").add("n_words", "long")
+        schema = T.StructType([T.StructField("doc_id", kind)]).add("item_id", "string").add("word", "long").add("n_words", "long").add("item_word", "long")
     else:
         spans = T.ArrayType(T.StructType().add("s", "long").add("e", "long"))
         schema = T.StructType().add("row", "long").add("doc_id", kind).add("n_words", "long").add("spans", spans).add("items", T.ArrayType(T.StringType()))
@@ -183,18 +184,21 @@ def window_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
 ) -> DataFrame:
-    """(doc_id, item_id, word, n_words): where windows of items occur; touching rows are longer verbatim matches."""
+    """(doc_id, item_id, word, n_words, item_word): where windows of items occur, and where in the item they stand."""
     return _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, item_column, True)[0]
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, word, n_words): the longest run of a document covered by an item's windows, first on ties."""
+    """(doc_id, item_id, word, n_words): the longest run of words that a document and an item have alike, first on ties.
+
+    Windows are parts of one run where they overlap or touch and stand as far apart in the item.
+    """
     from pyspark.sql import Window
 
-    by = Window.partitionBy("doc_id", "item_id").orderBy("word")
+    by = Window.partitionBy("doc_id", "item_id", F.col("word") - F.col("item_word")).orderBy("word")
     ends = F.max(F.col("word") + F.col("n_words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = window_matches(docs, benchmark, **options).withColumn("new", (F.col("word") > F.coalesce(ends, F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "item_id", "run").agg(
+    runs = runs.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "item_id", (F.col("word") - F.col("item_word")).alias("apart"), "run").agg(
         F.min("word").alias("word"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"))
     best = F.max_by(F.struct("word", "n_words"), F.struct("n_words", -F.col("word")))
     return runs.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.word", "x.n_words")
@@ -207,8 +211,8 @@ def decontaminate(
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
     A shard is a run of whole texts within a task; its suffix array is searched for every window of
-    the benchmark, which travels in blocks of bounded bytes. Null and empty texts have no words, a
-    null item is no item, and items of equal text or id count once each by id. Repeated rows give
+    the benchmark, which travels in blocks of bounded bytes. Null and empty texts have no words, items
+    without a text are none, windows of an item without an id hit without being listed, and items of equal text or id count once each by id. Repeated rows give
     repeated results, and a null id is kept. No shuffle unless the benchmark has several blocks. With ``keep`` the rows have
     those columns of ``docs`` instead of the id.
     """
@@ -224,7 +228,7 @@ def decontaminate(
             (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")),
         lambda a: a["n"],
     )
-    items = F.array_sort(F.array_distinct("items"))
+    items = F.array_sort(F.array_distinct(F.array_compact("items")))
     return found.select(
         *([F.col("doc_id")[c].alias(c) for c in keep] if keep else ["doc_id"]), "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),

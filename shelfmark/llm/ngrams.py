@@ -65,6 +65,10 @@ def _blobs(n: int) -> str:
     return "bucket int, " + ", ".join(f"c{i} binary" for i in range(n))
 
 
+# Word numbers and counts of pairs are stored in 32 bits; a corpus beyond that is refused, not wrapped.
+_MOST = (1 << 32) - 1
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays lie, and the model's few constants."""
@@ -185,6 +189,8 @@ def fit(docs: DataFrame, text_column: str = "text", buckets: int | None = None)
         save_array(os.path.join(path, f"word-{k}.npy"), np.zeros(0, np.uint64))
         save_array(os.path.join(path, f"count-{k}.npy"), np.zeros(0, np.int64))
     distinct, total = sum(r.n for r in sizes), sum(r.c for r in sizes)
+    if distinct >= _MOST:
+        raise OverflowError(f"{distinct} different words do not fit numbers of 32 bits")
 
     def numbered(held: _Words, x, at):
         """Pairs of numbers; the start of a text is numbered after all words."""
@@ -215,11 +221,15 @@ def fit(docs: DataFrame, text_column: str = "text", buckets: int | None = None)
         k = key[0].as_py()
         a, b, c = _joined(rows, (np.uint32, np.uint32, np.uint32))
         (pair,), (c,) = _summed([a.astype(np.int64) << 32 | b], [c.astype(np.int64)])
+        if c.max(initial=0) >= _MOST:
+            raise OverflowError("a pair of words occurs too often for counts of 32 bits")
         save_array(os.path.join(path, f"pair-{k}.npy"), pair)
         save_array(os.path.join(path, f"pairs-{k}.npy"), c.astype(np.uint32))
         a, b = pair >> 32, pair & 0xFFFFFFFF
         kind = _classes(c)
         (context,), sums = _summed([a], [c, *((kind == i).astype(np.int64) for i in range(3))])
+        if sums[0].max(initial=0) >= _MOST:
+            raise OverflowError("a word is followed too often for counts of 32 bits")
         follower, kinds = np.unique(b, return_counts=True)
         base = np.concatenate((context, follower))
         own = np.minimum(np.searchsorted(word_base, base, "right") - 1, buckets - 1)

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.common import partitions, prefix_hash, range_hash, slices, stored, utf8
@@ -21,6 +22,8 @@ CROWDED = 2000
 # Bytes whose windows are hashed together, and windows that are sorted together, in a task.
 SCAN_BYTES = 1 << 20
 SORTED_WINDOWS = 500_000
+# Bytes of text for each bucket that windows are dealt to, at most.
+BUCKET_BYTES = 16 << 20
 
 
 # --- suffix sorting -----------------------------------------------------------------------
@@ -79,25 +82,37 @@ class _BlindTrie:
                 yield node[1]
 
 
+def _eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number; beyond the text is 0."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        place = at + k
+        if len(at) and place.max() >= len(text):
+            byte = np.where(place < len(text), text[np.minimum(place, len(text) - 1)], 0)
+        else:
+            byte = text[place]
+        out |= byte.astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
 def deep_shallow_sort(text: np.ndarray, start: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW):
     """Order of suffixes within groups by their first ``length`` bytes, and whether each equals the one before.
 
     Multikey quicksort, eight bytes a step and only over what is still tied, to the shallow depth;
     each set of suffixes alike that far is then ordered by a blind trie. Suffixes are that long.
+    Arrays are as long as the suffixes are many, whatever the text holds beside them.
     """
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    words = padded[: len(text)] << np.uint64(56)
-    for k in range(1, 8):
-        words |= padded[k : len(text) + k] << np.uint64(56 - 8 * k)
-    order = np.lexsort((words[start], group))
-    tied = np.append(False, (words[start[order[1:]]] == words[start[order[:-1]]]) & (group[order[1:]] == group[order[:-1]]))
+    word = _eight(text, start)
+    order = np.lexsort((word, group))
+    word = word[order]
+    tied = np.append(False, (word[1:] == word[:-1]) & (group[order[1:]] == group[order[:-1]]))
     depth = 8
     while depth < min(shallow, length - 7):
         spot = np.flatnonzero(tied | np.append(tied[1:], False))  # places of sets of two or more
         if not len(spot):
             break
         own = np.cumsum(~tied[spot])
-        word = words[start[order[spot]] + depth]
+        word = _eight(text, start[order[spot]] + depth)
         inner = np.lexsort((word, own))
         order[spot] = order[spot][inner]
         word = word[inner]
@@ -107,12 +122,12 @@ def deep_shallow_sort(text: np.ndarray, start: np.ndarray, group: np.ndarray, le
     if not len(spot):
         return order, tied
     head = np.append(np.flatnonzero(~tied[spot]), len(spot))
-    members, raw = order[spot].tolist(), text.tobytes()
+    members, raw = order[spot].tolist(), memoryview(text)
     places, out, same = start[order[spot]].tolist(), [], np.ones(len(spot), bool)
     for s, e in zip(head.tolist(), head[1:].tolist()):
         trie = _BlindTrie()
         for i in range(s, e):
-            trie.insert(raw[places[i] + depth : places[i] + length], members[i])
+            trie.insert(bytes(raw[places[i] + depth : places[i] + length]), members[i])
         for leaf in trie.leaves():
             same[len(out)] = False
             out += leaf
@@ -124,8 +139,8 @@ def deep_shallow_sort(text: np.ndarray, start: np.ndarray, group: np.ndarray, le
 
 
 def _stretches(x: np.ndarray, at: np.ndarray, length: int, gram: int):
-    """Runs of windows with one smallest gram hash: (text, start, windows, hash, content hash, whether it may hold a string twice)."""
-    empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, bool)]
+    """Runs of windows with one smallest gram hash: (text, start, windows, hash, both halves of the content's hash, whether it may hold a string twice)."""
+    empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, bool)]
     n = len(x) - length + 1
     if n < 1:
         return empty
@@ -148,7 +163,10 @@ def _stretches(x: np.ndarray, at: np.ndarray, length: int, gram: int):
     end = np.minimum(np.append(start[1:], n), at[text[start] + 1] - length + 1)
     first = np.concatenate(([0], np.cumsum(h[:n] == low)))
     twice = first[end - 1] > first[start]
-    return text[start], start, end - start, low[start], range_hash(sums, start, end + length - 1), twice
+    raw = memoryview(np.ascontiguousarray(x))
+    content = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(start.tolist(), (end + length - 1).tolist())])
+    left, right = np.frombuffer(content, np.uint64).reshape(-1, 2).T
+    return text[start], start, end - start, low[start], left, right, twice
 
 
 def _rows(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -169,23 +187,37 @@ def _columns(rows: pa.Table, kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(rows[f"c{i}"].to_pylist()), kind) for i, kind in enumerate(kinds)]
 
 
-def _first_of_equal(hash_, content, doc, row, start):
+def _first_of_equal(hash_, left, right, doc, row, start):
     """Sort by content and place; whether each is the first of its content."""
-    order = np.lexsort((start, row, doc, content, hash_))
-    h, c = hash_[order], content[order]
-    return order, np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(order)]
+    order = np.lexsort((start, row, doc, right, left, hash_))
+    h, a, b = hash_[order], left[order], right[order]
+    return order, np.append(True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
 
 
-_KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int32, np.int8)
+# Hash, both halves of the content's hash, doc, row, start, windows, mark.
+_KINDS = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int32, np.int8)
 _DEAD = 2  # a stretch whose content also stands earlier
 
 
-def substring_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """(row, spans): by text the byte ranges covered by strings of ``length`` bytes that also start earlier.
+def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: list | None = None) -> DataFrame:
+    """(row, doc, text, head), stored: rows numbered as they are scanned. Later steps read the
+    numbers, so it does not matter how a scan would be split by then."""
+    columns = [F.col(c) for c in keep] if keep else [F.col(id_column).alias("doc_id")]
+    return stored(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc"),
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.struct(*columns).alias("head")), "numbered")
+
 
-    ``row`` is the place of a row in the scan; spans are pairs of 32-bit numbers as bytes, unmerged.
+def _bucket_count(rows: DataFrame) -> int:
+    """As many buckets as shuffles have partitions, and more where they would hold too many bytes."""
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(rows.sparkSession), 1, -(-held // BUCKET_BYTES))
+
+
+def substring_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """(row, spans): by text of ``numbered`` rows the byte ranges covered by strings of ``length`` bytes that also start earlier.
+
+    Spans are pairs of 32-bit numbers as bytes, unmerged.
 
     Equal windows have equal smallest gram hashes, so windows are dealt by these: first only hashes
     of stretches of windows that share one. Tasks keep the first of equal stretches and mark the
@@ -193,12 +225,8 @@ def substring_spans(
     may hold a string twice), their bytes are fetched and all their windows suffix-sorted; crowded
     hashes deal out single windows instead, by the windows' own hash.
     """
-    spark = docs.sparkSession
-    buckets = max(partitions(spark), 1)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col(id_column).cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc"), F.col(text_column).alias("text"),
-    )
+    rows = rows.select("row", "doc", "text")
+    buckets = _bucket_count(rows)
 
     def scan(batches):
         for batch in batches:
@@ -206,22 +234,22 @@ def substring_spans(
             data, places = utf8(batch.column(2))
             found = []
             for base, x, at in slices(data, places, SCAN_BYTES):
-                text, start, n, h, content, twice = _stretches(x, at, length, gram)
+                text, start, n, h, left, right, twice = _stretches(x, at, length, gram)
                 own = text + base
-                found.append((h, content, doc[own], row[own], start - at[text], n.astype(np.int32), twice.astype(np.int8)))
+                found.append((h, left, right, doc[own], row[own], start - at[text], n.astype(np.int32), twice.astype(np.int8)))
             if found:
                 held = [np.concatenate(c) for c in zip(*found)]
-                order, first = _first_of_equal(held[0], held[1], held[2], held[3], held[4])
+                order, first = _first_of_equal(*held[:6])
                 held = [c[order] for c in held]
-                held[6] = np.where(first, held[6], _DEAD).astype(np.int8)
+                held[7] = np.where(first, held[7], _DEAD).astype(np.int8)
                 yield _rows((held[0] % np.uint64(buckets)).astype(np.int64), held)
 
     def decide(key, rows):
-        h, content, doc, row, start, n, mark = _columns(rows, _KINDS)
+        h, left, right, doc, row, start, n, mark = _columns(rows, _KINDS)
         dead = mark == _DEAD
         spans = [(row[dead], start[dead], n[dead])]
-        h, content, doc, row, start, n, mark = (c[~dead] for c in (h, content, doc, row, start, n, mark))
-        order, first = _first_of_equal(h, content, doc, row, start)
+        h, left, right, doc, row, start, n, mark = (c[~dead] for c in (h, left, right, doc, row, start, n, mark))
+        order, first = _first_of_equal(h, left, right, doc, row, start)
         h, row, start, n, mark = (c[order] for c in (h, row, start, n, mark))
         spans.append((row[~first], start[~first], n[~first]))
         h, row, start, n, mark = (c[first] for c in (h, row, start, n, mark))
@@ -259,7 +287,7 @@ def substring_spans(
 
     def sort(key, rows):
         h, sub, doc, row, start, n = _columns(rows, (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32))
-        text = np.frombuffer(b"".join(rows["c6"].to_pylist()), np.uint8)
+        text = np.concatenate([np.zeros(0, np.uint8), *(utf8(chunk)[0] for chunk in rows["c6"].chunks)])
         base = np.cumsum(n + length - 1, dtype=np.int64) - (n + length - 1)
         _, group = np.unique(np.stack((h, sub.astype(np.uint64)), 1), axis=0, return_inverse=True)
         group = group.ravel()
@@ -350,13 +378,11 @@ def substring_dedup(
     ``keep_text`` the text that is left follows as ``kept``, without characters that lost a byte;
     with ``keep`` the rows have those columns of ``docs`` instead of the id.
     """
-    spans = substring_spans(docs, length, id_column=id_column, text_column=text_column, crowded=crowded)
+    placed = numbered(docs, id_column, text_column, keep)
+    spans = substring_spans(placed, length, crowded=crowded)
     by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("_spans")).withColumnRenamed("row", "_row")
-    columns = [F.col(c) for c in keep] if keep else [F.col(id_column).alias("doc_id")]
-    head = docs.select(*columns).schema.fields
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"),
-        F.struct(*columns).alias("_head"))
+    head = placed.schema["head"].dataType.fields
+    rows = placed.select(F.col("row").alias("_row"), F.col("text").cast("binary").alias("_text"), F.col("head").alias("_head"))
 
     def finish(batches):
         for batch in batches:

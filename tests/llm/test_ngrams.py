@@ -67,3 +67,28 @@ def test_nothing_learned_and_empty_table(spark):
     rows = score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()
     assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in rows] == [(3, 0, 0.0, 0.0)]
     assert score_texts(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_words_of_one_polynomial_hash(spark):
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    model = fit(spark.createDataFrame([(f"{one} x",)], "text string"), buckets=2)
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id int, text string")
+    assert {r.doc_id: r.n_known for r in score_texts(docs, model).collect()} == {1: 2, 2: 1}
+
+
+def test_word_hashes_differ_by_length_and_byte():
+    import numpy as np
+
+    from shelfmark.llm.common import word_hash
+
+    rng = random.Random(3)
+    strings = {bytes(rng.choices(b"\x01ab\xff", k=n)) for n in [0, 1, 2, 7, 8, 9, 15, 16, 17, 255, 256, 257, 3000] for _ in range(60)}
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    at = np.cumsum([0] + [len(s) for s in strings])
+    h = word_hash(data, at[:-1], at[1:])
+    assert len(set(h.tolist())) == len(strings)
+    again = [int(word_hash(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0]) for s in strings]
+    assert again == h.tolist()

@@ -57,12 +57,34 @@ def test_windows_of_items(spark, block):
     assert not any(r.contaminated for r in decontaminate(frame, tests.limit(0)).collect())
 
 
+def test_words_of_one_polynomial_hash(spark):
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = [(1, one), (2, other), (3, f"{one} {other}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate(frame, spark.createDataFrame([("i", one), (None, other)], "item_id string, text string")).collect()
+    empty, listed = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"i").hexdigest()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1, 1, listed, True), (2, 1, 1, 0, empty, True), (3, 2, 2, 1, listed, True)]
+    lone = decontaminate(frame, spark.createDataFrame([("i", one)], "item_id string, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in lone} == {1: 1, 2: 0, 3: 1}
+
+
+def test_matches_that_only_touch_stay_apart(spark):
+    w = [f"w{i}" for i in range(60)]
+    text = " ".join(w[30:40] + w[10:20] + ["x"] + w[40:52])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = longest_matches(docs, spark.createDataFrame([("i", " ".join(w))], "item_id string, text string")).collect()
+    assert (row.word, row.n_words) == (21, 12)
+
+
 def test_longest_match_and_its_place(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "x y " + text[:100] + " z"), (2, "nothing")], "doc_id long, text string")
     (row,) = longest_matches(docs, spark.createDataFrame([("i", text)], "item_id string, text string")).collect()
     whole = len(plain_words(text[:100])) - (text[100] not in " ")
-    assert (row.doc_id, row.item_id, row.word) == (1, "i", 2) and row.n_words >= whole
+    assert (row.doc_id, row.item_id, row.word, row.n_words) == (1, "i", 2, whole)
 
 
 def plain_links(rows):

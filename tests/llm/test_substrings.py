@@ -51,6 +51,58 @@ def test_crowded_hashes_deal_out_single_windows(spark):
     check(spark, texts(), crowded=2)
 
 
+def folded(n, zero, one):
+    """Two different strings of 2^n parts that polynomials modulo 2^64 do not tell apart."""
+    bits = [0]
+    for _ in range(n):
+        bits += [1 - b for b in bits]
+    return "".join(one if b else zero for b in bits), "".join(zero if b else one for b in bits)
+
+
+def test_texts_of_one_polynomial_hash(spark):
+    rng = random.Random(2)
+    zero, one = ("".join(rng.choices("abc d", k=120)) for _ in range(2))
+    check(spark, [(i, t) for i, t in enumerate(folded(10, zero, one))])
+    check(spark, [(i, t + "tail" * 30) for i, t in enumerate(folded(11, "a", "b"))])
+
+
+def test_split_of_scans_does_not_matter(spark):
+    """Numbers of rows are stored once; how the files would be split later changes nothing."""
+    from shelfmark.llm import substrings as S
+    from shelfmark.llm.common import stored
+
+    rows = texts()
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "split")
+    kept, S.substring_spans = S.substring_spans, None
+
+    def spans(*args, **options):
+        out = kept(*args, **options)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        return out
+
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", 8)
+        S.substring_spans = spans
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.substring_dedup(docs).collect()}
+    finally:
+        S.substring_spans = kept
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found == plain(rows)
+
+
+def test_sorting_takes_memory_by_windows_not_by_text():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 20_000_000).astype(np.uint8)
+    start = rng.integers(0, len(text) - 200, 1000)
+    tracemalloc.start()
+    order, same = deep_shallow_sort(text, start, np.zeros(1000, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000 and [text[i : i + 100].tobytes() for i in start[order]] == sorted(text[i : i + 100].tobytes() for i in start)
+
+
 def test_empty_table_and_kept_bytes(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(1, "q" * 120 + "é"), (None, None)], "doc_id long, text string")
