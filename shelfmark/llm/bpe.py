@@ -259,6 +259,9 @@ class Ids:
             width[i] = len(token)
         self.width, self.units = width, {}
 
+    def forget(self) -> None:
+        self.units = {}
+
     def _plain(self, text: str) -> bytes:
         found = self.encoder.encode(text, allowed_special="all")
         return struct.pack(f"<{len(found)}I", *found)

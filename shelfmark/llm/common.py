@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import urllib.parse
 
@@ -61,6 +62,39 @@ def fold(id_column: str, divisor: int):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % divisor
 
 
+# --- memory of workers --------------------------------------------------------------------
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, by steps that do not need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(run):
+    """A function for ``mapInArrow`` that gives memory back after its last batch."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def freeing_group(run):
+    """A function for ``applyInArrow`` that gives memory back after each group."""
+
+    def wrapped(key, rows):
+        out = run(key, rows)
+        give_back()
+        return out
+
+    return wrapped
+
+
 # --- texts as bytes -----------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import ALNUM, slices, utf8, words
+from shelfmark.llm.common import ALNUM, freeing, slices, utf8, words
 
 WINDOW = 10
 
@@ -173,7 +173,7 @@ def _over_blocks(docs, benchmark, window, block_bytes, id_column, text_column, i
     found = []
     for block in _blocks(benchmark, item_column, text_column, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(Suffixes.of(block, window))
-        found.append(rows.mapInArrow(_scan(docs, held, window, locate), schema))
+        found.append(rows.mapInArrow(freeing(_scan(docs, held, window, locate)), schema))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

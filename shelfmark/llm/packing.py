@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.bpe import token_ids
-from shelfmark.llm.common import SLICE_BYTES, slices, stored, utf8
+from shelfmark.llm.common import SLICE_BYTES, freeing, freeing_group, slices, stored, utf8
 
 CAPACITY = 2048
 
@@ -45,12 +45,13 @@ def pieces(
                     [batch.column(0).take(pa.array(out[0])), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        coder.forget()
 
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
     ])
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -115,10 +116,11 @@ def _pack(pool: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
             "closed": pa.array(shut[own]),
         })
 
+    grouped = freeing_group(lambda key, group: pack(group))
     mixed = F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(number)), F.lit(parts)).cast("int")
     kept = T.StructType([f for f in pool.schema if f.name not in ("sequence_id", "offset", "closed")])
     out = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("closed", T.BooleanType())])
-    return pool.select(*kept.names, mixed.alias("part")).groupBy("part").applyInArrow(pack, out)
+    return pool.select(*kept.names, mixed.alias("part")).groupBy("part").applyInArrow(grouped, out)
 
 
 def best_fit_packing(

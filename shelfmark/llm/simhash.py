@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import stored
+from shelfmark.llm.common import freeing, freeing_group, stored
 from shelfmark.llm.components import components
 
 RADIUS = 4
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     kind = docs.schema[id_column].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -152,7 +152,7 @@ def ball_links(fps: DataFrame, radius: int = RADIUS, cell_variants: int = CELL_V
         assert (np.bitwise_count(fp[who] ^ fp[holder]) <= radius).all()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return ready.groupBy("depth", "cell").applyInArrow(link, "a long, b long")
+    return ready.groupBy("depth", "cell").applyInArrow(freeing_group(link), "a long, b long")
 
 
 def simhash_near_dedup(

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import partitions, prefix_hash, range_hash, slices, stored, utf8
+from shelfmark.llm.common import freeing, freeing_group, partitions, prefix_hash, range_hash, slices, stored, utf8
 
 LENGTH = 100
 
@@ -22,6 +22,8 @@ CROWDED = 2000
 # Bytes whose windows are hashed together, and windows that are sorted together, in a task.
 SCAN_BYTES = 1 << 20
 SORTED_WINDOWS = 500_000
+# Stretches that a task holds before it sends them on.
+SENT_STRETCHES = 200_000
 # Bytes of text for each bucket that windows are dealt to, at most.
 BUCKET_BYTES = 16 << 20
 
@@ -171,12 +173,14 @@ def _stretches(x: np.ndarray, at: np.ndarray, length: int, gram: int):
 
 def _rows(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
-    cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[order][cut[:-1]].astype(np.int64)),
-         *(pa.array([c[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary()) for c in (c[order] for c in columns))],
-        names=["k", *(f"c{i}" for i in range(len(columns)))],
-    )
+    bucket = bucket[order]
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+    arrays = [pa.array(bucket[cut[:-1]].astype(np.int64))]
+    for c in columns:  # one buffer a column, cut where buckets end
+        c = np.ascontiguousarray(c[order])
+        width = c.nbytes // max(1, len(c))
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(c)]))
+    return pa.RecordBatch.from_arrays(arrays, names=["k", *(f"c{i}" for i in range(len(columns)))])
 
 
 def _blobs(n: int) -> str:
@@ -199,6 +203,35 @@ _KINDS = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int3
 _DEAD = 2  # a stretch whose content also stands earlier
 
 
+def _scanned(batches, length: int, gram: int, buckets: int):
+    """Stretches of all texts by bucket, with the later ones of equal stretches marked; a run of
+    texts with so many stretches is sent on before the next is read."""
+    for batch in batches:
+        row, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, places = utf8(batch.column(2))
+        found, count = [], 0
+        for base, x, at in slices(data, places, SCAN_BYTES):
+            text, start, n, h, left, right, twice = _stretches(x, at, length, gram)
+            own = text + base
+            found.append((h, left, right, doc[own], row[own], start - at[text], n.astype(np.int32), twice.astype(np.int8)))
+            count += len(h)
+            if count >= SENT_STRETCHES:
+                yield _marked(found, buckets)
+                found, count = [], 0
+        if found:
+            yield _marked(found, buckets)
+
+
+def _marked(found: list, buckets: int) -> pa.RecordBatch:
+    held = [np.concatenate(c) for c in zip(*found)]
+    found.clear()
+    order, first = _first_of_equal(*held[:6])
+    for i, c in enumerate(held):
+        held[i] = c[order]
+    held[7] = np.where(first, held[7], _DEAD).astype(np.int8)
+    return _rows((held[0] % np.uint64(buckets)).astype(np.int64), held)
+
+
 def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: list | None = None) -> DataFrame:
     """(row, doc, text, head), stored: rows numbered as they are scanned. Later steps read the
     numbers, so it does not matter how a scan would be split by then."""
@@ -229,20 +262,7 @@ def substring_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     buckets = _bucket_count(rows)
 
     def scan(batches):
-        for batch in batches:
-            row, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            data, places = utf8(batch.column(2))
-            found = []
-            for base, x, at in slices(data, places, SCAN_BYTES):
-                text, start, n, h, left, right, twice = _stretches(x, at, length, gram)
-                own = text + base
-                found.append((h, left, right, doc[own], row[own], start - at[text], n.astype(np.int32), twice.astype(np.int8)))
-            if found:
-                held = [np.concatenate(c) for c in zip(*found)]
-                order, first = _first_of_equal(*held[:6])
-                held = [c[order] for c in held]
-                held[7] = np.where(first, held[7], _DEAD).astype(np.int8)
-                yield _rows((held[0] % np.uint64(buckets)).astype(np.int64), held)
+        return _scanned(batches, length, gram, buckets)
 
     def decide(key, rows):
         h, left, right, doc, row, start, n, mark = _columns(rows, _KINDS)
@@ -266,7 +286,7 @@ def substring_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
         return pa.concat_tables(out)
 
     decided = stored(
-        rows.mapInArrow(scan, _blobs(len(_KINDS))).groupBy("k").applyInArrow(decide, _blobs(4) + ", spans binary"), "stretches")
+        rows.mapInArrow(freeing(scan), _blobs(len(_KINDS))).groupBy("k").applyInArrow(freeing_group(decide), _blobs(4) + ", spans binary"), "stretches")
     wanted = decided.where("spans is null").groupBy("k").agg(*(F.collect_list(f"c{i}").alias(f"c{i}") for i in range(4)))
 
     def cut_all(batches):
@@ -324,7 +344,7 @@ def substring_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
         return pa.table({"row": out.column(0), "spans": out.column(1)})
 
     fetched = rows.join(wanted, rows["row"] == wanted["k"]).select("row", "doc", F.col("text").cast("binary").alias("text"), "c0", "c1", "c2", "c3")
-    sorted_ = stored(fetched.mapInArrow(cut_all, _blobs(7)).groupBy("k").applyInArrow(sort, "row long, spans binary"), "sorted")
+    sorted_ = stored(fetched.mapInArrow(freeing(cut_all), _blobs(7)).groupBy("k").applyInArrow(freeing_group(sort), "row long, spans binary"), "sorted")
     return decided.where("spans is not null").select(F.col("k").alias("row"), "spans").unionByName(sorted_)
 
 
@@ -404,5 +424,5 @@ def substring_dedup(
     schema = T.StructType(list(head))
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         schema = schema.add(name, kind)
-    out = rows.join(by_row, "_row", "left").select("_text", "_spans", "_head").mapInArrow(finish, schema)
+    out = rows.join(by_row, "_row", "left").select("_text", "_spans", "_head").mapInArrow(freeing(finish), schema)
     return out if keep_text else out.drop("kept")
