@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.operators.exports import append_product_log, read_published
+from shelfmark.streaming.buckets import read_buckets
 from shelfmark.plans.crawl_queries import BLOCKS_SQL, CONTEXT_SQL, judged, observations
 from shelfmark.plans.log_queries import LATEST
 from shelfmark.plans.registry import query
@@ -22,12 +23,14 @@ def _appended(spark, sf):
     path = scratch_path(spark, "stream-log")
     log = product_log(spark, sf).select(*RECORD, *ORDER, "site")
     for part in range(BATCHES):
-        append_product_log(log.where(F.col("l_orderkey") % BATCHES == part).coalesce(8), path)
+        append_product_log(log.where(F.col("l_orderkey") % BATCHES == part), path)
     return path
 
 
 def _stream(spark, sf):
-    stream = S.stream_product_log(spark, _appended(spark, sf), EXTRA, max_files=8)
+    path = _appended(spark, sf)
+    files = spark.read.text(path).inputFiles()
+    stream = S.stream_product_log(spark, path, EXTRA, max_files=-(-len(files) // BATCHES))
     return stream.select(*RECORD, "site", *ORDER)
 
 
@@ -43,12 +46,6 @@ def _mixed(event):
     return [event % BATCHES == part for part in range(BATCHES)]
 
 
-def _in_time_order(df, event, cuts=(0.34, 0.67)):
-    """Each part holds a later stretch of time than the one before."""
-    low, high = df.approxQuantile("event_id", list(cuts), 0.01)
-    return [event <= low, (event > low) & (event <= high), event > high]
-
-
 @query("stream_product_log", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey")
 def stream_product_log(spark, sf):
     """Every record of every append is seen once."""
@@ -65,7 +62,7 @@ def stream_product_log(spark, sf):
 def upsert_latest(spark, sf):
     target = scratch_path(spark, "latest")
     S.upsert_latest(_stream(spark, sf), target, scratch_path(spark, "checkpoint"), ORDER)
-    return read_published(spark, target).select(
+    return read_buckets(spark, target).select(
         "url", "title", F.col("l_orderkey").alias("last_order"), F.col("first.l_orderkey").alias("first_order")
     )
 
@@ -78,7 +75,7 @@ SELECT count(*) AS total_products,
 def stream_stats(spark, sf):
     target, stats = scratch_path(spark, "latest"), scratch_path(spark, "stats")
     S.stream_stats(_stream(spark, sf), target, stats, scratch_path(spark, "checkpoint"), ORDER)
-    return spark.read.parquet(stats).orderBy(F.desc("version")).limit(1).drop("version")
+    return read_published(spark, stats)
 
 
 @query("stream_progress", """SELECT count(*) AS current, 2 * count(*) AS total,
@@ -94,9 +91,9 @@ def stream_progress(spark, sf):
 def stream_host_blocks(spark, sf):
     found = judged(spark, sf).select("event_id", "ts", "host", "outcome", "profile")
     target = scratch_path(spark, "blocks")
-    parts = _in_time_order(found, F.col("event_id"))
+    parts = _mixed(F.col("event_id"))
     _follow(spark, found, parts, lambda stream, checkpoint: S.stream_host_blocks(stream, target, checkpoint, ATTEMPT_ORDER))
-    return read_published(spark, target).select("host", "blocked", "exhausted", F.coalesce("profile", F.lit("")).alias("profile"))
+    return read_buckets(spark, target).select("host", "blocked", "exhausted", F.coalesce("profile", F.lit("")).alias("profile"))
 
 
 @query("stream_price_context", CONTEXT_SQL)

@@ -1,20 +1,21 @@
 """Structured Streaming over product logs, attempts and price observations.
 
-State that grows with the data lives in versioned tables merged once per micro-batch: a batch is
-first reduced with map-side combine, then merged by key. No key is handled by one Python call, so
-a host or URL with most of the rows is no special case. Redoing a batch writes the same version.
+State that grows with the data lives in tables of buckets by key (``buckets``): a micro-batch is
+first reduced with map-side combine, then merged into the buckets it touches. No key is handled by
+one Python call, so a host or URL with most of the rows is no special case. Redoing a batch writes
+the same version.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.operators.catalogue import catalogue_stats, latest_per_url
+from shelfmark.operators.catalogue import has_title, latest_per_url
 from shelfmark.operators.exports import publish, read_published
 from shelfmark.operators.quality import EXHAUSTED_AFTER, PROBE_LIMIT
+from shelfmark.schema import UNKNOWN_BRAND
 from shelfmark.sources.logs import parse_product_lines, path_exists
+from shelfmark.streaming.buckets import merge_buckets, query_id
 
 
 def stream_product_log(spark: SparkSession, path: str, extra: dict | None = None, max_files: int | None = None) -> DataFrame:
@@ -34,8 +35,7 @@ def _state(spark: SparkSession, table: str, checkpoint: str, batch_id: int) -> t
     is not, so a batch that is redone gives the same version, and a query that starts from a new
     checkpoint adds to the table. A table has one writer at a time.
     """
-    query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-    own = f"-{query}-{batch_id:012d}"
+    own = f"-{query_id(spark, checkpoint)}-{batch_id:012d}"
     newest = None
     if path_exists(spark, f"{table}/manifest"):
         versions = spark.read.schema("version string").json(f"{table}/manifest")
@@ -55,39 +55,93 @@ def run_batches(stream: DataFrame, checkpoint: str, step, available_now: bool =
     return writer.trigger(processingTime=interval).start()
 
 
-def upsert_latest(stream: DataFrame, table: str, checkpoint: str, order: list, on_batch=None, **options):
-    """Keep the latest record per URL in ``table``, one published version per batch."""
+def upsert_latest(stream: DataFrame, table: str, checkpoint: str, order: list, on_batch=None, buckets: int | None = None, **options):
+    """Keep the latest record per URL in ``table``, in buckets by URL, of which a batch rewrites those it touches.
+
+    Records without a URL are all kept. ``first`` is where a URL was first seen. ``on_batch(change,
+    urls, batch_id)`` sees the touched buckets before and after, and the batch's keys.
+    """
 
     def step(batch, batch_id):
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns]
         newest = latest_per_url(batch, order).withColumn("first", F.col("position.first")).drop("position")
-        prior, version = _state(spark, table, checkpoint, batch_id)
-        if prior is not None:
-            newest = prior.unionByName(newest)
-        payload = [c for c in columns if c != "url"]
+        payload = [c for c in batch.columns if c != "url"]
         own = F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.struct(*order))
-        merged = (
-            newest.groupBy("url", own.alias("_own"))
-            .agg(
-                F.max_by(F.struct(*payload), F.struct(*order)).alias("_r"), F.min("first").alias("first")
+
+        def merge(before, arrived):
+            rows = arrived if before is None else before.unionByName(arrived)
+            return (
+                rows.groupBy("url", own.alias("_own"))
+                .agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_r"), F.min("first").alias("first"))
+                .select("url", *[F.col(f"_r.{c}").alias(c) for c in payload], "first")
             )
-            .select("url", *[F.col(f"_r.{c}").alias(c) for c in payload], "first")
-        )
-        publish(merged, table, version)
+
+        change = merge_buckets(newest, table, checkpoint, batch_id, ["url"], merge, buckets)
         if on_batch:
-            on_batch(read_published(spark, table), version)
+            on_batch(change, newest.select("url", own.alias("_own")), batch_id)
 
     return run_batches(stream, checkpoint, step, **options)
 
 
-def stream_stats(stream: DataFrame, table: str, stats: str, checkpoint: str, order: list, **options):
-    """The same, with the catalogue's statistics written after every batch."""
+def _references(products: DataFrame, sign: int) -> DataFrame:
+    """(kind, value, n): what records add to the statistics, or take from them."""
+    none = F.array().cast("array<string>")
+    titled = has_title()
+    brand = F.filter(F.array("brand"), lambda b: ~F.coalesce(b, F.lit("")).isin("", UNKNOWN_BRAND))
+
+    def rows(kind, values):
+        kept = F.when(titled, F.coalesce(values, none)).otherwise(none)
+        return F.transform(kept, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sign).cast("long").alias("n")))
+
+    images = F.when(titled, F.coalesce(F.size("images"), F.lit(0))).otherwise(0) * sign
+    whole = F.array(
+        F.struct(F.lit("products").alias("kind"), F.lit("").alias("value"), F.lit(sign).cast("long").alias("n")),
+        F.struct(F.lit("images").alias("kind"), F.lit("").alias("value"), images.cast("long").alias("n")),
+    )
+    facts = F.concat(rows("category", F.col("categories")), rows("brand", brand), whole)
+    return products.select(F.explode(facts).alias("f")).select("f.*")
+
+
+def stream_stats(stream: DataFrame, table: str, stats: str, checkpoint: str, order: list, buckets: int | None = None, **options):
+    """The same, with the catalogue's statistics kept up after every batch.
+
+    Each value has a count of the records that hold it. A batch adds what its URLs hold now and
+    takes what they held before; values whose count leaves or reaches 0 change the number of
+    distinct ones. Neither the catalogue nor the counts are read but for the touched buckets.
+    ``stats`` has a version a batch, ``<stats>/references`` the counts.
+    """
+    references = f"{stats}/references"
+
+    def on_batch(change, urls, batch_id):
+        spark = change.after.sparkSession
+        own = F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.struct(*order))
+        keys = urls.select(F.col("url").alias("_url"), F.col("_own").alias("_place")).distinct()
+
+        def asked(rows):
+            same = F.col("url").eqNullSafe(F.col("_url")) & own.eqNullSafe(F.col("_place"))
+            return rows.join(keys, same, "left_semi")
+
+        moved = _references(asked(change.before), -1).unionByName(_references(asked(change.after), 1))
+        moved = moved.groupBy("kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+        def merge(before, arrived):
+            rows = arrived if before is None else before.unionByName(arrived)
+            return rows.groupBy("kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+        found = merge_buckets(moved, references, checkpoint, batch_id, ["kind", "value"], merge, buckets)
+        touched = found.before.withColumn("sign", F.lit(-1)).unionByName(found.after.withColumn("sign", F.lit(1)))
+
+        def gained(kind, amount):
+            return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("sign") * amount)), F.lit(0)).cast("long")
 
-    def on_batch(products, version):
-        catalogue_stats(products).write.mode("overwrite").parquet(f"{stats}/version={version}")
+        gains = touched.agg(
+            gained("products", F.col("n")).alias("total_products"), gained("category", F.lit(1)).alias("total_categories"),
+            gained("brand", F.lit(1)).alias("total_brands"), gained("images", F.col("n")).alias("total_images"),
+        )
+        prior, version = _state(spark, stats, checkpoint, batch_id)
+        rows = gains if prior is None else prior.unionByName(gains)
+        publish(rows.agg(*[F.sum(c).alias(c) for c in gains.columns]), stats, version)
 
-    return upsert_latest(stream, table, checkpoint, order, on_batch, **options)
+    return upsert_latest(stream, table, checkpoint, order, on_batch, buckets, **options)
 
 
 def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int, interval: str = "1 second",
@@ -116,42 +170,39 @@ def stream_progress(stream: DataFrame, target: str, checkpoint: str, total: int,
     return run_batches(stream, checkpoint, step, available_now, interval)
 
 
-def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: list, **options):
+def stream_host_blocks(stream: DataFrame, table: str, checkpoint: str, order: list, buckets: int | None = None, **options):
     """Blocked failures per host since its last success, from ``stream(host, outcome, profile, ...)``.
 
-    The state keeps each host's last success, so an attempt that arrives late and lies before it
-    does not count. A success newer than that sets the counter to the batch's attempts after it;
-    attempts of earlier batches then no longer count, also where they lie after a late success.
+    ``<table>/attempts`` keeps each blocked attempt after a host's last success, one row each, so
+    attempts and successes may arrive in any order: a late success clears what lies before it and
+    no more. ``table`` has a row a host. A batch reads and rewrites the buckets of its hosts.
     """
+    attempts = f"{table}/attempts"
 
     def step(batch, batch_id):
-        spark = batch.sparkSession
         place = F.struct(*order)
-        ok, blocked = F.col("outcome") == "ok", F.col("outcome") == "fingerprint"
-        wins = batch.groupBy("host").agg(
-            F.max(F.when(ok, place)).alias("won"),
-            F.max_by(F.when(ok, F.col("profile")), F.when(ok, place)).alias("profile"),
-        )
-        prior, version = _state(spark, table, checkpoint, batch_id)
-        before = wins.where(F.lit(False)).withColumn("blocked", F.lit(0).cast("long")) if prior is None else prior
-        before = before.select("host", F.col("won").alias("_won"), F.col("blocked").alias("_blocked"), F.col("profile").alias("_profile"))
-        newer = F.coalesce(F.col("won") > F.col("_won"), F.col("won").isNotNull())
-        hosts = wins.join(before, "host", "full").select(
-            "host", F.when(newer, F.col("won")).otherwise(F.col("_won")).alias("won"),
-            F.when(newer, F.lit(0)).otherwise(F.coalesce("_blocked", F.lit(0))).alias("_kept"),
-            F.when(newer, F.col("profile")).otherwise(F.col("_profile")).alias("profile"),
-        )
-        since = (
-            batch.where(blocked).select("host", place.alias("at"))
-            .join(hosts.select("host", "won"), "host")
-            .where(F.col("won").isNull() | (F.col("at") > F.col("won")))
-            .groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-        )
-        count = F.col("_kept") + F.coalesce("n", F.lit(0))
-        state = hosts.join(since, "host", "left").select(
-            "host", count.alias("blocked"), (count >= EXHAUSTED_AFTER).alias("exhausted"), "profile", "won"
-        )
-        publish(state, table, version)
+        ok = F.col("outcome") == "ok"
+        rows = batch.select(
+            "host", F.when(F.col("outcome") == "fingerprint", place).alias("at"), F.when(ok, place).alias("won"),
+            F.when(ok, F.col("profile")).alias("profile"), ok.alias("ok"))
+        wins = rows.groupBy("host").agg(F.max("won").alias("won"), F.max_by("profile", "won").alias("profile"))
+        arrived = wins.select("host", F.lit(None).cast(rows.schema["at"].dataType).alias("at"), "won", "profile").unionByName(
+            rows.where("at is not null").select("host", "at", F.lit(None).cast(rows.schema["won"].dataType).alias("won"), F.lit(None).cast("string").alias("profile")))
+
+        def merge(before, arrived):
+            rows = arrived if before is None else before.unionByName(arrived)
+            hosts = rows.where("at is null").groupBy("host").agg(F.max("won").alias("won"), F.max_by("profile", "won").alias("profile"))
+            last = hosts.select(F.col("host").alias("_host"), F.col("won").alias("_won"))
+            since = rows.where("at is not null").join(last, F.col("host").eqNullSafe(F.col("_host")), "left")
+            since = since.where(F.col("_won").isNull() | (F.col("at") > F.col("_won"))).select("host", "at", "won", "profile")
+            return hosts.select("host", F.lit(None).cast(rows.schema["at"].dataType).alias("at"), "won", "profile").unionByName(since)
+
+        change = merge_buckets(arrived, attempts, checkpoint, batch_id, ["host"], merge, buckets)
+        blocked = F.count("at")
+        counted = change.after.groupBy("host").agg(
+            blocked.alias("blocked"), (blocked >= EXHAUSTED_AFTER).alias("exhausted"), F.max("profile").alias("profile"), F.max("won").alias("won"))
+        # the touched buckets are counted whole, so their rows replace those before
+        merge_buckets(counted, table, checkpoint, batch_id, ["host"], lambda before, arrived: arrived, change.buckets)
 
     return run_batches(stream, checkpoint, step, **options)
 
