@@ -10,7 +10,7 @@ from shelfmark.operators import exports as X
 from shelfmark.operators import files as FI
 from shelfmark.plans.registry import query
 from shelfmark.plans.tables import (
-    EXTRA, FACTS_SQL, LATEST_SQL, LOG_SQL, ORDER, product_facts, product_log, table,
+    EXTRA, FACTS_SQL, LATEST_SQL, LOG_SQL, ORDER, product_facts, product_log, table, write_arrays,
 )
 from shelfmark.runtime import scratch_path
 from shelfmark.schema import EXPORT_FIELDS, export_rows, normalize_records
@@ -367,20 +367,38 @@ def load_products(spark, sf):
 @query("read_product_snapshot", LATEST + """
 SELECT url, title, brand, price_value FROM latest""")
 def read_product_snapshot(spark, sf):
-    """One JSON array per store, built from its records on Spark, and one broken file."""
+    """Indented arrays of records, as a run writes them, and one broken file."""
     path = scratch_path(spark, "snapshot")
     records = latest(spark, sf, [*EXPORT_FIELDS, "l_partkey"])
-    # A file is one array of the records of 500 neighbouring products, whatever the log's size.
-    arrays = records.groupBy(F.floor(F.col("l_partkey") / 500).alias("chunk")).agg(
-        F.to_json(F.collect_list(F.struct(*EXPORT_FIELDS)), {"ignoreNullFields": "false"}).alias("value")
-    )
-    arrays.select("value", "chunk").write.partitionBy("chunk").text(path)
+    _write_snapshots(records, path)
     spark.range(1).select(F.lit('[{"url": "x", ').alias("value")).write.text(f"{path}/chunk=-1")
     return L.read_product_snapshot(spark, f"{path}/*").select(
         "url", "title", "brand", "price_value"
     )
 
 
+def _write_snapshots(records, path):
+    """Each file is one indented array of the records of 500 neighbouring products, whatever the log's size."""
+    write_arrays(records, F.struct(*EXPORT_FIELDS), F.floor(F.col("l_partkey") / 500), path)
+
+
+@query("load_products_of_snapshot", LATEST + " SELECT url, title, brand, price_value FROM latest")
+def load_products_of_snapshot(spark, sf):
+    """A store that has no log is read from its snapshot."""
+    folder = scratch_path(spark, "store")
+    _write_snapshots(latest(spark, sf, [*EXPORT_FIELDS, "l_partkey"]), f"{folder}/{L.SNAPSHOT_NAME}")
+    return L.load_products(spark, folder).select("url", "title", "brand", "price_value")
+
+
+@query("load_resume", LATEST + " SELECT url, title, brand, price_value FROM latest")
+def load_resume(spark, sf):
+    """A run goes on from the snapshot where the log beside it holds no record yet."""
+    folder = scratch_path(spark, "store")
+    _write_snapshots(latest(spark, sf, [*EXPORT_FIELDS, "l_partkey"]), f"{folder}/{L.SNAPSHOT_NAME}")
+    _dirty_lines(spark, sf).select(F.lit("").alias("value")).write.text(f"{folder}/{L.LOG_NAME}")
+    return L.load_resume(spark, folder).select("url", "title", "brand", "price_value")
+
+
 @query("write_snapshot", LATEST + """
 SELECT 'products' AS part, count(*) AS n FROM latest
 UNION ALL SELECT 'categories', count(DISTINCT c) FROM (SELECT unnest(categories) AS c FROM latest)

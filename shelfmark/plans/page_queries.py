@@ -14,7 +14,7 @@ from shelfmark.operators import extract as P
 from shelfmark.operators import images as I
 from shelfmark.operators import jsonld as J
 from shelfmark.plans.registry import query
-from shelfmark.plans.tables import PARSED_SQL, part_pages, table
+from shelfmark.plans.tables import PARSED_SQL, part_pages, table, write_arrays
 from shelfmark.runtime import scratch_path, spread
 from shelfmark.sources import crawl as SC
 
@@ -486,16 +486,17 @@ def read_url_queue(spark, sf):
 
 @query("read_categories", "SELECT DISTINCT p_type AS category FROM part UNION SELECT DISTINCT p_brand FROM part")
 def read_categories(spark, sf):
+    """Indented arrays of names, a file for each size of part."""
     path = scratch_path(spark, "categories")
-    table(spark, sf, "part").select(F.to_json(F.array("p_type", "p_brand")).alias("value")).distinct().write.option("lineSep", "\n").text(path)
-    return SC.read_categories(spark, path).distinct()
+    names = table(spark, sf, "part").select("p_size", F.explode(F.array("p_type", "p_brand")).alias("name")).distinct()
+    write_arrays(names, F.col("name"), F.col("p_size"), path)
+    return SC.read_categories(spark, f"{path}/*").distinct()
 
 
-@query("read_failures", "SELECT url, concat('HTTP ', 400 + page_id % 100) AS reason FROM pages")
+@query("read_failures", "SELECT url, concat('HTTP ', 400 + page_id % 100, ', \"[{\\') AS reason FROM pages")
 def read_failures(spark, sf):
+    """Indented arrays of 500 neighbouring pages; reasons hold what arrays are made of."""
     path = scratch_path(spark, "failures")
-    listed = pages(spark, sf).select(
-        F.to_json(F.array(F.struct("url", F.concat(F.lit("HTTP "), (F.col("page_id") % 100 + 400).cast("string")).alias("reason")))).alias("value")
-    )
-    listed.write.text(path)
-    return SC.read_failures(spark, path)
+    reason = F.concat(F.lit("HTTP "), (F.col("page_id") % 100 + 400).cast("string"), F.lit(', "[{\\'))
+    write_arrays(pages(spark, sf), F.struct("url", reason.alias("reason")), F.floor(F.col("page_id") / 500), path)
+    return SC.read_failures(spark, f"{path}/*")

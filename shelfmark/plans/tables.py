@@ -269,3 +269,10 @@ judged AS (
     CASE WHEN status <> 200 THEN concat('HTTP ', status) WHEN shape = 0 THEN 'bot challenge page'
       WHEN shape = 1 THEN 'suspiciously short HTML (10 bytes)' WHEN shape = 2 THEN 'empty response body' END AS reason
   FROM attempts)"""
+
+
+def write_arrays(rows, value, chunk, path):
+    """One indented JSON array of ``value`` for each chunk, in a folder of its own under ``path``."""
+    arrays = rows.groupBy(chunk.alias("chunk")).agg(
+        F.to_json(F.collect_list(value), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    arrays.select("value", "chunk").write.partitionBy("chunk").text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import strip
 from shelfmark.functions.urls import html_cache_key
+from shelfmark.sources.arrays import read_json_array
 
 
 def read_page_archive(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
@@ -60,11 +61,11 @@ def read_scrape_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of names, one a line, as ``category``; files are split among tasks."""
-    text = spark.read.text(path)
-    return text.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
+    """The names of a JSON array, as ``category``, in any layout; other kinds of elements are left out."""
+    names = read_json_array(spark, path).select(F.try_variant_get(F.try_parse_json("value"), "$", "variant").alias("v"))
+    return names.where(F.schema_of_variant("v") == "STRING").select(F.try_variant_get("v", "$", "string").alias("category"))
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of ``{url, reason}`` objects, one a line, or one object a line."""
-    return spark.read.schema("url string, reason string").json(path)
+    """``(url, reason)`` of a JSON array of such objects, in any layout."""
+    return read_json_array(spark, path).select(F.from_json("value", "url string, reason string").alias("f")).where("f is not null").select("f.*")

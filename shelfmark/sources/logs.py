@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import float_text
+from shelfmark.sources.arrays import read_json_array
 from shelfmark.schema import ALL_FIELDS, FIELD_TYPES, LIST_FIELDS, PRODUCT_SCHEMA, normalize_records
 
 LOG_NAME, SNAPSHOT_NAME = "products.jsonl", "products.json"
@@ -73,13 +74,11 @@ def read_product_log(spark: SparkSession, path: str, extra: dict | None = None)
 def read_product_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot that is one JSON array; missing or unreadable ones are empty.
 
-    A file is one document and so one row at first; its records are rows from then on and are
-    read like lines of a log.
+    Its elements are found by many tasks a file and read like lines of a log.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], PRODUCT_SCHEMA)
-    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
-    return parse_product_lines(text.select(F.explode(F.from_json("value", "array<string>")).alias("value")))
+    return parse_product_lines(read_json_array(spark, path).select("value"))
 
 
 def load_products(spark: SparkSession, folder: str, extra: dict | None = None) -> DataFrame:

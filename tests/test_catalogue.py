@@ -165,7 +165,8 @@ def test_sitemap_limit_counts_missing_documents(spark):
     index = "<sitemapindex>" + "".join(f"<loc>m{i}</loc>" for i in range(100)) + "</sitemapindex>"
     docs = spark.createDataFrame([("s", "root", index), ("s", "m5", "<urlset><loc>a</loc></urlset>")], "site string, sitemap_url string, xml string")
     seeds = spark.createDataFrame([("s", "root", 0)], "site string, sitemap_url string, pos int")
-    got = {r.sitemap_url: r for r in D.expand_sitemap_index(docs, seeds).collect()}
+    assert D.expand_sitemap_index(docs, seeds).count() == 101
+    got = {r.sitemap_url: r for r in D.expand_sitemap_index(docs, seeds, limit=61).collect()}
     assert len(got) == 61 and got["m5"].visit == 6 and got["m5"].found and not got["m6"].found
 
 
