@@ -109,96 +109,122 @@ latest AS (SELECT * FROM ranked WHERE rn = 1)"""
 
 # ── Pages of stores, made of parts ────────────────────────────────────────
 
-SHAPES = 6
+# Six ways to say the same facts; a part's number picks one.
+SHAPES = ("graph", "listed", "offers", "theme", "meta", "items")
 
 
-def _json(*pairs) -> Column:
-    return F.to_json(F.struct(*[value.alias(name) for name, value in pairs]))
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def part_pages(spark, sf_dir) -> DataFrame:
-    """``(p_partkey, site, url, html)``: one product page per part in one of six shapes.
+def _tag(name: str, *inner, **attributes) -> Column:
+    """An element; underscores in attribute names stand for hyphens, content None for an element without end tag."""
+    head = [x for k, v in attributes.items() for x in (f" {k.rstrip('_').replace('_', '-')}=\"", v, '"')]
+    if inner and inner[0] is None:
+        return _text(f"<{name}", *head, ">")
+    return _text(f"<{name}", *head, ">", *inner, f"</{name}>")
 
-    0 graph with breadcrumbs, 1 list with a trailing comma, 2 offer list with low prices,
-    3 theme markup, 4 meta tags, 5 microdata.
-    """
-    key, name, brand, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
-    number = key.cast("string")
-    site = _site("p_partkey")
-    price = F.format_string("%.2f", F.col("p_retailprice"))
-    image = F.concat(F.lit("/img/"), number, F.lit(".jpg"))
-    lit = F.lit
-
-    def ld(body):
-        return F.concat(lit('<script type="application/ld+json">'), body, lit("</script>"))
-
-    crumb = F.array(
-        *[
-            F.struct(lit(p).alias("position"), F.struct(n.alias("name")).alias("item"))
-            for p, n in ((1, lit("Home")), (3, F.concat(kind, lit(" &amp; more"))), (2, brand), (4, name))
-        ]
-    )
-    offer = F.struct(
-        price.alias("price"), lit("usd").alias("priceCurrency"),
-        lit("https://schema.org/InStock").alias("availability"),
-    )
-    graph = _json(
-        ("@context", lit("https://schema.org")),
-        ("@graph", F.array(
-            F.to_variant_object(F.struct(lit("BreadcrumbList").alias("@type"), crumb.alias("itemListElement"))),
-            F.to_variant_object(F.struct(
-                lit("Product").alias("@type"), name.alias("name"), F.concat(lit("P-"), number).alias("sku"),
-                F.struct(lit("Brand").alias("@type"), F.concat(brand, lit(" &amp; Co")).alias("name")).alias("brand"),
-                F.array(image, F.concat(lit("/img/"), number, lit("-b.jpg"))).alias("image"),
-                offer.alias("offers"),
-            )),
-        )),
-    )
-    product = _json(
-        ("@type", F.array(lit("Thing"), lit("schema:Product"))), ("name", name),
-        ("mpn", F.concat(lit("M-"), number)), ("brand", site), ("manufacturer", F.array(brand)),
-        ("offers", F.struct(F.struct(F.format_number("p_retailprice", 2).alias("price")).alias("priceSpecification"))),
-    )
-    listed = F.concat(lit('[{"@type":"Organization","name":"Store"},'), product, lit(",]"))
-    lows = _json(
-        ("@type", lit("http://schema.org/Product")), ("name", name), ("description", F.concat(lit("About "), name)),
-        ("offers", F.array(
-            F.to_variant_object(F.struct((F.col("p_retailprice") + 10).alias("lowPrice"), lit("EUR").alias("priceCurrency"))),
-            F.to_variant_object(F.struct(F.col("p_retailprice").alias("price"), lit("OutOfStock").alias("availability"))),
-        )),
-    )
-    theme = F.concat(
-        lit('<nav class="woocommerce-breadcrumb"><a href="/">Home</a> / <a href="/c">'), kind,
-        lit(' Phones</a></nav><h1 class="product_title entry-title">'), html_escape(name),
-        lit('</h1><div class="summary"><p class="price"><span class="woocommerce-Price-amount"><bdi>KSh&nbsp;'),
-        F.format_number("p_retailprice", 2),
-        lit('</bdi></span></p><div class="woocommerce-product-details__short-description"><p>Short '), name,
-        lit('</p></div></div><div class="woocommerce-product-gallery__wrapper"><img src="/u/spacer.gif">'
-            '<img data-src="'), F.concat(lit("/img/"), number, lit("-300x300.jpg")),
-        lit('"><img srcset="'), F.concat(lit("/img/"), number, lit(".jpg 300w, /img/"), number, lit("-z.jpg 900w")),
-        lit('"></div><span class="sku">S-'), number, lit('</span><div id="tab-description"><p>Long</p></div>'),
-    )
-    meta = F.concat(
-        lit('<meta property="og:title" content="'), name, lit('"><meta property="product:price:amount" content="'),
-        price, lit('"><meta property="product:price:currency" content="GBP"><meta property="og:image" content="'),
-        image, lit('?v=1"><meta property="og:description" content="Say &lt;'), name, lit('&gt;">'),
-    )
-    micro = F.concat(
-        lit('<div itemscope itemtype="https://schema.org/Product"><span itemprop="name">'), name,
-        lit('</span><b itemprop="price" content="'), price, lit('">x</b><meta itemprop="priceCurrency" content="kes">'
-            '<link itemprop="availability" href="https://schema.org/LimitedAvailability"><span itemprop="sku">U-'),
-        number, lit('</span><img itemprop="image" src="//cdn.example/'), number, lit('.png"></div>'),
+
+def _object(**fields) -> Column:
+    """A JSON object as Variant, so that objects of different fields can stand in one array; kind is its type."""
+    values = [(F.lit(v) if isinstance(v, str) else v).alias("@type" if k == "kind" else k) for k, v in fields.items()]
+    return F.to_variant_object(F.struct(*values))
+
+
+def _script(value: Column) -> Column:
+    return _tag("script", value, type="application/ld+json")
+
+
+def _pictures(*names) -> list:
+    return [_text("/img/", F.col("p_partkey").cast("string"), n) for n in names]
+
+
+def _graph() -> Column:
+    """Breadcrumbs from the last to the first, and a product whose texts are escaped for HTML."""
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    trail = [F.lit("Home"), brand, _text(kind, " &amp; more"), name]
+    steps = [_object(kind="ListItem", position=F.lit(i), name=step) for i, step in reversed(list(enumerate(trail, 1)))]
+    pictures = [_object(kind="ImageObject", url=u) for u in _pictures(".jpg", "-b.jpg")]
+    sold = _object(price=_price(), priceCurrency="usd", availability="InStock")
+    product = _object(
+        kind="Product", sku=_text("P-", F.col("p_partkey").cast("string")), offers=F.array(sold), image=F.array(*pictures),
+        brand=_text(brand, " &amp; Co"), name=name)
+    return _script(F.to_json(F.struct(F.array(_object(kind="BreadcrumbList", itemListElement=F.array(*steps)), product).alias("@graph"))))
+
+
+def _listed() -> Column:
+    """A list with a comma too many; the store's own name stands where the brand should."""
+    product = _object(
+        kind=F.array(F.lit("Thing"), F.lit("schema:Product")), mpn=_text("M-", F.col("p_partkey").cast("string")), name=F.col("p_name"),
+        manufacturer=F.array(F.col("p_brand")), brand=_site("p_partkey"),
+        offers=_object(priceSpecification=_object(price=F.format_number("p_retailprice", 2))))
+    return _script(_text("[", F.to_json(_object(kind="WebSite", name="Store")), ",", F.to_json(product), ",]"))
+
+
+def _offers() -> Column:
+    """Offers of a range and of a single price."""
+    low = _object(priceCurrency="EUR", lowPrice=F.col("p_retailprice") + 10)
+    single = _object(availability="OutOfStock", price=F.col("p_retailprice"))
+    return _script(F.to_json(_object(
+        kind="http://schema.org/Product", offers=F.array(low, single), description=_text("About ", F.col("p_name")), name=F.col("p_name"))))
+
+
+def _theme() -> Column:
+    """Elements of a shop theme: pictures that load late, then what stands beside and above them."""
+    number = F.col("p_partkey").cast("string")
+    small, plain, large = _pictures("-300x300.jpg", ".jpg", "-z.jpg")
+    pictures = [{"src": "/u/spacer.gif"}, {"data_src": small}, {"srcset": _text(plain, " 300w, ", large, " 900w")}]
+    amount = _tag("span", _tag("bdi", "KSh&nbsp;", F.format_number("p_retailprice", 2)), class_="woocommerce-Price-amount")
+    short = _tag("div", _tag("p", "Short ", F.col("p_name")), class_="woocommerce-product-details__short-description")
+    return _text(
+        _tag("div", *[_tag("img", None, **x) for x in pictures], class_="woocommerce-product-gallery__wrapper"),
+        _tag("h1", html_escape(F.col("p_name")), class_="product_title entry-title"),
+        _tag("section", short, _tag("p", amount, class_="price"), _tag("span", "S-", number, class_="sku"), class_="summary"),
+        _tag("nav", _tag("a", "Home", href="/"), " / ", _tag("a", F.col("p_type"), " Phones", href="/c"), class_="woocommerce-breadcrumb"),
+        _tag("div", _tag("p", "Long"), id="tab-description"),
     )
-    shape = key % SHAPES
-    body = (
-        F.when(shape == 0, ld(graph)).when(shape == 1, ld(listed)).when(shape == 2, ld(lows))
-        .when(shape == 3, theme).when(shape == 4, meta).otherwise(micro)
+
+
+def _meta() -> Column:
+    said = {
+        "og:image": _text(*_pictures(".jpg"), "?v=1"), "og:description": _text("Say &lt;", F.col("p_name"), "&gt;"), "og:title": F.col("p_name"),
+        "product:price:currency": "GBP", "product:price:amount": _price(),
+    }
+    return _text(*[_tag("meta", None, property=k, content=v) for k, v in said.items()])
+
+
+def _items() -> Column:
+    """Properties in attributes of elements of several kinds, and in their text."""
+    number = F.col("p_partkey").cast("string")
+    return _tag(
+        "div",
+        _tag("img", None, itemprop="image", src=_text("//cdn.example/", number, ".png")),
+        _tag("link", None, itemprop="availability", href="https://schema.org/LimitedAvailability"),
+        _tag("meta", None, itemprop="priceCurrency", content="kes"),
+        _tag("b", "x", itemprop="price", content=_price()),
+        _tag("span", "U-", number, itemprop="sku"),
+        _tag("span", F.col("p_name"), itemprop="name"),
+        itemscope="", itemtype="https://schema.org/Product",
     )
-    html = F.concat(
-        lit("<!DOCTYPE html><html><head><title>"), name, lit(" - Store</title></head><body><!-- x -->"), body,
-        lit("<script>var a = '</p>';</script></body></html>"),
+
+
+def _price() -> Column:
+    return F.format_string("%.2f", F.col("p_retailprice"))
+
+
+def part_pages(spark, sf_dir) -> DataFrame:
+    """``(p_partkey, site, url, html)``: one product page per part, in the shape of its number."""
+    made = {"graph": _graph, "listed": _listed, "offers": _offers, "theme": _theme, "meta": _meta, "items": _items}
+    key = F.col("p_partkey")
+    body = F.lit(None).cast("string")
+    for i, shape in enumerate(SHAPES):
+        body = F.when(key % len(SHAPES) == i, made[shape]()).otherwise(body)
+    html = _text(
+        "<!DOCTYPE html><html><head>", _tag("title", F.col("p_name"), " - Store"), "</head><body><!-- x -->", body,
+        "<script>var a = '</p>';</script></body></html>",
     )
-    url = F.concat(lit("https://www."), site, lit(".example/item/"), number)
+    site = _site("p_partkey")
+    url = _text("https://www.", site, ".example/item/", key.cast("string"))
     return spread(table(spark, sf_dir, "part")).select("p_partkey", site.alias("site"), url.alias("url"), html.alias("html"))
 
 
