@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import urls as U
+from shelfmark.operators import context as CX
 from shelfmark.operators import discovery as D
 from shelfmark.operators import files as FI
 from shelfmark.operators import quality as Q
@@ -521,6 +522,42 @@ def price_context(spark, sf):
     return known.withColumn("preferred_param", F.coalesce("preferred_param", F.lit("")))
 
 
+def context_events(spark, sf):
+    """A log of what memos are told: each host has a number of its own asks before it finds anything."""
+    key, user = F.col("event_id"), F.col("user_id")
+    event = (
+        F.when((key % 11 == 3) & (user % 3 != 0), "found").when(key % 7 == 5, "credit").when((key % 13 == 1) & (user % 4 == 0), "settle").otherwise("ask"))
+    return table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("host-"), user.cast("string")).alias("host"), event.alias("event"),
+        F.when(event == "found", F.concat(F.lit("sid="), (key % 5).cast("string"))).alias("param"))
+
+
+# Each host's log is walked from event to event.
+MEMO_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id, event_id % 5 AS param, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n,
+    CASE WHEN event_id % 11 = 3 AND user_id % 3 <> 0 THEN 'found' WHEN event_id % 7 = 5 THEN 'credit' WHEN event_id % 13 = 1 AND user_id % 4 = 0 THEN 'settle' ELSE 'ask' END AS event
+  FROM events),
+w AS (SELECT DISTINCT user_id, n, 0::BIGINT AS i, NULL::BIGINT AS param, false AS settled, 0 AS probes, 0 AS misses FROM e
+  UNION ALL SELECT w.user_id, w.n, e.i, CASE WHEN w.param IS NULL AND event = 'found' THEN e.param ELSE w.param END,
+    settled OR event IN ('found', 'settle') OR (event = 'ask' AND probes >= 4),
+    CASE WHEN event = 'ask' AND w.param IS NULL AND NOT settled AND probes < 4 THEN probes + 1 ELSE probes END,
+    CASE WHEN event = 'credit' THEN 0 WHEN event = 'ask' AND w.param IS NOT NULL AND misses < 4 THEN misses + 1 ELSE misses END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT concat('host-', user_id) AS host, CASE WHEN param IS NULL THEN '' ELSE concat('sid=', param) END AS preferred_param,
+  CASE WHEN param IS NULL AND NOT settled THEN probes ELSE -1 END AS probes, CASE WHEN param IS NULL THEN 0 ELSE misses END AS misses,
+  CASE WHEN param IS NOT NULL AND misses >= 4 THEN 'retired' WHEN param IS NOT NULL THEN 'known' WHEN settled THEN 'settled' ELSE 'probing' END AS state
+FROM w WHERE i = n"""
+
+
+def memo_rows(found):
+    return found.select("host", F.coalesce("preferred_param", F.lit("")).alias("preferred_param"), F.coalesce("probes", F.lit(-1)).alias("probes"), "misses", "state")
+
+
+@query("context_memo", MEMO_SQL)
+def context_memo(spark, sf):
+    return memo_rows(CX.context_memo(context_events(spark, sf), ["event_id"]))
+
+
 @query("recover_missing_price", """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice
     WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 25 % 2 = 0 THEN p_retailprice + 2 ELSE p_retailprice + 1 END AS price_value,
   p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AS recovered FROM part""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.exports import append_product_log, read_published
 from shelfmark.streaming.buckets import read_buckets
-from shelfmark.plans.crawl_queries import BLOCKS_SQL, CONTEXT_SQL, judged, observations
+from shelfmark.plans.crawl_queries import BLOCKS_SQL, CONTEXT_SQL, MEMO_SQL, context_events, judged, memo_rows, observations
 from shelfmark.plans.log_queries import LATEST
 from shelfmark.plans.registry import query
 from shelfmark.plans.tables import ATTEMPT_ORDER, EXTRA, ORDER, product_log, table
@@ -105,3 +105,12 @@ def stream_price_context(spark, sf):
     _follow(spark, seen, parts, lambda stream, checkpoint: S.stream_price_context(stream, target, checkpoint, ["event_id"]))
     known = read_published(spark, target)
     return known.select("host", F.coalesce("preferred_param", F.lit("")).alias("preferred_param"), "misses", "state")
+
+
+@query("stream_context_memo", MEMO_SQL)
+def stream_context_memo(spark, sf):
+    """Every batch brings events from all of each host's log."""
+    seen, target = context_events(spark, sf), scratch_path(spark, "memo")
+    job = lambda stream, checkpoint: S.stream_context_memo(stream, target, checkpoint, ["event_id"], F.floor(F.col("event_id") / 1000))
+    _follow(spark, seen, _mixed(F.col("event_id")), job)
+    return memo_rows(read_buckets(spark, target))

@@ -158,7 +158,7 @@ def _listed() -> Column:
         kind=F.array(F.lit("Thing"), F.lit("schema:Product")), mpn=_text("M-", F.col("p_partkey").cast("string")), name=F.col("p_name"),
         manufacturer=F.array(F.col("p_brand")), brand=_site("p_partkey"),
         offers=_object(priceSpecification=_object(price=F.format_number("p_retailprice", 2))))
-    return _script(_text("[", F.to_json(_object(kind="WebSite", name="Store")), ",", F.to_json(product), ",]"))
+    return _script(_text("[", F.to_json(_object(kind="Organization", name="Store")), ",", F.to_json(product), ",]"))
 
 
 def _offers() -> Column:
@@ -198,12 +198,12 @@ def _items() -> Column:
     number = F.col("p_partkey").cast("string")
     return _tag(
         "div",
-        _tag("img", None, itemprop="image", src=_text("//cdn.example/", number, ".png")),
-        _tag("link", None, itemprop="availability", href="https://schema.org/LimitedAvailability"),
         _tag("meta", None, itemprop="priceCurrency", content="kes"),
+        _tag("span", F.col("p_name"), itemprop="name"),
+        _tag("img", None, itemprop="image", src=_text("//cdn.example/", number, ".png")),
         _tag("b", "x", itemprop="price", content=_price()),
         _tag("span", "U-", number, itemprop="sku"),
-        _tag("span", F.col("p_name"), itemprop="name"),
+        _tag("link", None, itemprop="availability", href="https://schema.org/LimitedAvailability"),
         itemscope="", itemtype="https://schema.org/Product",
     )
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.operators.catalogue import has_title, latest_per_url
+from shelfmark.operators.context import folded, stretches, told
 from shelfmark.operators.exports import publish, read_published
 from shelfmark.operators.quality import EXHAUSTED_AFTER, PROBE_LIMIT
 from shelfmark.schema import UNKNOWN_BRAND
@@ -244,3 +245,35 @@ def stream_price_context(stream: DataFrame, table: str, checkpoint: str, order:
         publish(state, table, version)
 
     return run_batches(stream, checkpoint, step, **options)
+
+
+def stream_context_memo(stream: DataFrame, table: str, checkpoint: str, order: list, segment, limit: int = PROBE_LIMIT,
+                        buckets: int | None = None, **options):
+    """What each host's memo says, from ``stream(host, event, param, ...)`` in any order of arrival.
+
+    ``<table>/events`` keeps the log by host and ``segment``, a whole number that grows with
+    ``order`` and bounds what one late event makes anew; ``<table>/stretches`` keeps the folded
+    stretches of each segment, and ``table`` a row a host. A batch composes the segments it touches
+    again, and folds the hosts it touches from tables, not from their logs.
+    """
+
+    def step(batch, batch_id):
+        columns = ["host", "event", "param", *order]
+        arrived = batch.where(F.coalesce("host", F.lit("")) != "").select(*columns, segment.cast("long").alias("segment"))
+        keys = ["host", "segment"]
+        change = merge_buckets(
+            arrived, f"{table}/events", checkpoint, batch_id, keys,
+            lambda before, rows: rows if before is None else before.unionByName(rows), buckets)
+        touched = arrived.select(*keys).distinct()
+        again = change.after.join(touched, keys, "left_semi")
+        made = stretches(again, order, limit, segment=F.col("segment"))
+
+        def merge(before, rows):
+            return rows if before is None else before.join(touched, keys, "left_anti").unionByName(rows)
+
+        parts = merge_buckets(made, f"{table}/stretches", checkpoint, batch_id, ["host"], merge, buckets)
+        hosts = told(folded(parts.after), limit)
+        # the touched buckets are folded whole, so their rows replace those before
+        merge_buckets(hosts, table, checkpoint, batch_id, ["host"], lambda before, rows: rows, parts.buckets)
+
+    return run_batches(stream, checkpoint, step, **options)
