@@ -55,11 +55,24 @@ def search_products(df: DataFrame, search: str = "", category: str = "") -> Data
     return out
 
 
+def _ranked(df: DataFrame, order: list, keep: Column, newest_first: bool = False) -> DataFrame:
+    """Rows whose 0-based rank ``_index`` satisfies ``keep``. Only the order's columns are ranked; the
+    ranks that are kept cut the table by a semi-join's cost, and meet the other columns only there.
+    ``order`` is unique, so a key is one row."""
+    names = [f"_k{i}" for i in range(len(order))]
+    value = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = df.select(*[v.alias(n) for v, n in zip(value, names)])
+    kept = with_global_index(keys, [F.col(n).desc() for n in names] if newest_first else names, "_index").where(keep)
+    same = F.lit(True)
+    for v, n in zip(value, names):
+        same = same & v.eqNullSafe(F.col(n))
+    return df.join(kept, same).drop(*names)
+
+
 def paginate(df: DataFrame, page: int, limit: int, order: list) -> DataFrame:
-    """One page of the catalogue in order, by the global index."""
+    """One page of the catalogue in order, by the global index of the order's columns."""
     start = (page - 1) * limit
-    ranked = with_global_index(df, order, "_index")
-    return ranked.where(F.col("_index").between(start, start + limit - 1)).orderBy("_index").drop("_index")
+    return _ranked(df, order, F.col("_index").between(start, start + limit - 1)).orderBy("_index").drop("_index")
 
 
 def page_info(df: DataFrame, page: int, limit: int) -> DataFrame:
@@ -74,14 +87,12 @@ def limit_urls(df: DataFrame, n: int | None, order: list) -> DataFrame:
     """The first ``n`` rows; all of them for 0 or None."""
     if not n:
         return df
-    return with_global_index(df, order, "_index").where(F.col("_index") < n).orderBy("_index").drop("_index")
+    return _ranked(df, order, F.col("_index") < n).orderBy("_index").drop("_index")
 
 
 def log_tail(df: DataFrame, n: int, order: list) -> DataFrame:
     """The last ``n`` rows, oldest first."""
-    newest = [F.col(c).desc() for c in order]
-    ranked = with_global_index(df, newest, "_index")
-    return ranked.where(F.col("_index") < n).orderBy(F.desc("_index")).drop("_index")
+    return _ranked(df, order, F.col("_index") < n, newest_first=True).orderBy(F.desc("_index")).drop("_index")
 
 
 def catalogue_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -136,13 +147,19 @@ def catalogue_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def site_summary(sites: DataFrame, products: DataFrame, failed: DataFrame, active: str | None = None) -> DataFrame:
-    """Per site of ``sites(site, modified)``: products, failures, time of change, active or not.
+    """Per site of ``sites(site, modified)``, one row each: products, failures, time of change, active or not.
 
-    Without an ``active`` name the newest site is the active one.
+    One aggregation over all three inputs, with map-side combine. Without an ``active`` name the newest site is the active one.
     """
-    counts = products.groupBy("site").agg(F.count(F.lit(1)).alias("products"))
-    losses = failed.groupBy("site").agg(F.count(F.lit(1)).alias("failed"))
-    joined = sites.join(counts, "site", "left").join(losses, "site", "left")
+    modified = F.lit(None).cast(sites.schema["modified"].dataType)
+
+    def facts(rows, listed, product, failure, at):
+        return rows.select("site", F.lit(listed).alias("listed"), F.lit(product).alias("product"), F.lit(failure).alias("failure"), at.alias("modified"))
+
+    rows = facts(sites, 1, 0, 0, F.col("modified")).unionByName(facts(products, 0, 1, 0, modified)).unionByName(facts(failed, 0, 0, 1, modified))
+    joined = rows.groupBy("site").agg(
+        F.sum("listed").alias("_listed"), F.sum("product").alias("products"), F.sum("failure").alias("failed"), F.max("modified").alias("modified"),
+    ).where("_listed > 0")
     if active is None:
         newest = sites.orderBy(F.col("modified").desc(), "site").limit(1).select(
             "site", F.lit(True).alias("_active")
@@ -187,13 +204,15 @@ def pending_urls(discovered: DataFrame, done: DataFrame) -> DataFrame:
 def lookup_product(df: DataFrame, refs: DataFrame, order: Column | str) -> DataFrame:
     """First product with the exact URL of a reference, else the first with its exact title.
 
-    ``refs(ref_url, ref_title)``. Each side is reduced to one record per key before the join.
+    ``refs(ref_url, ref_title)``. The different keys that are asked for cut the catalogue first, so
+    records of other keys are never grouped; each key is one record before references join it.
     """
     payload = F.struct(*[F.col(c) for c in df.columns])
 
     def firsts(key, name):
+        asked = refs.select(F.col(f"ref_{key}").alias(key)).where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
         return (
-            df.where(F.coalesce(F.col(key), F.lit("")) != "")
+            df.join(asked, key, "left_semi")
             .groupBy(F.col(key).alias(f"ref_{key}"))
             .agg(F.min_by(payload, order).alias(name))
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.base import let
 from shelfmark.functions.text import strip, unescape_all
 from shelfmark.functions.urls import (
     PRODUCT_HINTS, any_of, first_segment_key, has_product_hint, host_of, is_scrapable_page,
@@ -55,13 +56,36 @@ def xml_text(text: Column) -> Column:
     return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(parts, decoded), ""))
 
 
+_NAME = r"[A-Za-z_][\w.-]*"
+
+
+def _sitemap_prefixes(bare: Column) -> Column:
+    """Prefixes that the root element binds to its own namespace, with their colon; '' for the default one.
+
+    A document that binds none has the root's prefix and plain tags.
+    """
+    root = F.regexp_extract(bare, rf"<({_NAME}(?::{_NAME})?(?:\s[^>]*)?)>", 1)
+    own = F.regexp_extract(root, rf"^({_NAME}):", 1)
+    binding = rf"(?s)\sxmlns(?::({_NAME}))?\s*=\s*[\"']([^\"']*)[\"']"
+    names, spaces = (F.regexp_extract_all(root, F.lit(binding), F.lit(k)) for k in (1, 2))
+    bound = F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("name"), spaces.alias("space"))))
+    space = F.try_element_at(bound, own)
+    same = F.map_keys(F.map_filter(bound, lambda k, v: v == space))
+    plain = F.when(F.array_contains(names, ""), F.array().cast("array<string>")).otherwise(F.array(F.lit("")))
+    prefixes = F.when(space.isNull(), F.array(own, F.lit(""))).otherwise(F.concat(same, plain))
+    return F.transform(prefixes, lambda p: F.when(p == "", "").otherwise(F.concat(p, F.lit(":"))))
+
+
 def sitemap_locations(xml: Column) -> Column:
-    """Trimmed, non-empty values of the unprefixed ``<loc>`` tags of one document, in document order.
+    """Trimmed, non-empty values of the ``loc`` tags of one document, in document order.
 
-    Prefixed tags are extensions (``<image:loc>`` is a picture) and no page addresses.
+    A prefix counts as the root element binds it: ``<sm:loc>`` is a location where ``sm`` is the
+    root's own namespace, ``<image:loc>`` of another one is a picture and no page address.
     """
     bare = F.regexp_replace(F.coalesce(xml, F.lit("")), _COMMENT, "")
-    raw = F.regexp_extract_all(bare, F.lit(r"(?is)<loc(?:\s[^>]*)?>\s*(.*?)\s*</loc\s*>"), F.lit(1))
+    found = rf"(?is)<((?:{_NAME}:)?)loc(?:\s[^>]*)?>\s*(.*?)\s*</\1loc\s*>"
+    pairs = F.arrays_zip(*[F.regexp_extract_all(bare, F.lit(found), F.lit(k)).alias(n) for k, n in ((1, "prefix"), (2, "text"))])
+    raw = let(_sitemap_prefixes(bare), lambda known: F.transform(F.filter(pairs, lambda x: F.array_contains(known, x["prefix"])), lambda x: x["text"]))
 
     def value(loc):
         quoted = F.regexp_extract(loc, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)

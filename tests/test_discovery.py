@@ -82,3 +82,20 @@ def test_time_grows_with_nesting_and_not_with_its_square():
         assert _read(words, "<div class='summary'>" * n + "<p class=price>3</p>")[-1]["texts"] == ["3"]
         times.append(time.process_time() - start)
     assert times[1] < 40 * max(times[0], 0.01)
+
+
+def test_prefixes_of_locations(spark):
+    own = 'xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    picture = 'xmlns:image="http://www.google.com/schemas/sitemap-image/1.1"'
+    docs = {
+        f"<?xml version='1.0'?><!-- <sm:x> --><sm:urlset {own} {picture}><sm:url><sm:loc>a</sm:loc><image:image><image:loc>p</image:loc></image:image></sm:url></sm:urlset>": ["a"],
+        f"<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9' {own}><loc>a</loc><sm:loc> b </sm:loc></urlset>": ["a", "b"],
+        f"<sm:urlset xmlns='urn:other' {own}><loc>n</loc><sm:loc>b</sm:loc></sm:urlset>": ["b"],
+        "<urlset><loc>a</loc><image:loc>p</image:loc></urlset>": ["a"],
+        "<s:urlset><s:loc>a</s:loc><loc>b</loc><t:loc>c</t:loc></s:urlset>": ["a", "b"],
+        f"<urlset {own}><sm:loc>n</sm:loc><loc><![CDATA[x&y]]></loc></urlset>": ["x&y"],
+        "<loc>bare</loc>": ["bare"], "": [], "garbage": [],
+    }
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, xml string")
+    found = {r.i: r.found for r in frame.select("i", D.sitemap_locations(F.col("xml")).alias("found")).collect()}
+    assert [found[i] for i in range(len(docs))] == list(docs.values())
