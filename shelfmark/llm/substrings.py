@@ -238,7 +238,7 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     columns = [F.col(c) for c in keep] if keep else [F.col(id_column).alias("doc_id")]
     return stored(docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc"),
-        F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.struct(*columns).alias("head")), "numbered")
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.struct(*columns).alias("head")), "numbered", "zstd")
 
 
 def _bucket_count(rows: DataFrame) -> int:
