@@ -4,6 +4,7 @@ import math
 import random
 
 from shelfmark.llm.language import fit as fit_language, identify
+from shelfmark.llm import licenses
 from shelfmark.llm.licenses import license_scan, train
 from shelfmark.llm.toxicity import fit as fit_toxicity, toxicity
 
@@ -75,15 +76,40 @@ def test_toxicity_of_held_out_texts(spark):
 
 def test_licenses(spark):
     trained = train(spark)
+    wrapped = "Permission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software and associated documentation\r\nfiles, and so on"
     rows = [
         (1, "Some prose\nReleased under the MIT License.\nmore", "x"), (2, "licensed under the apache license version 2.0", "x"),
         (3, "This work is licensed under the GNU General Public License, version 3.", "x"), (4, "Licensed under CC BY-NC 4.0.", "x"),
         (5, "He lost his driving license on Monday", "x"), (6, None, "x"), (7, "", "x"), (8, "no such words", "x"), (None, "Released under the MIT License.", "x"),
-        (9, "word " * 20000 + "\nLicensed under CC BY-NC 4.0.", "x"),
+        (9, "word " * 20000 + "\nLicensed under CC BY-NC 4.0.", "x"), (10, "CC BY-SA 4.0", "x"), (11, "MPL 2.0", "x"), (12, "Distributed under Apache-2.0", "x"),
+        (13, wrapped, "x"), (14, "word " * 9000 + "Distributed under Apache-2.0 " + "word " * 9000, "x"), (15, "Her license under the general public was new", "x"),
     ]
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, family string")
-    found = sorted((str(r.doc_id), r.paragraph, r.family) for r in license_scan(docs, trained).collect())
+    rows_found = license_scan(docs, trained).collect()
+    found = sorted((str(r.doc_id), r.paragraph, r.family) for r in rows_found if r.confirmed and r.doc_id != 14)
     assert found == sorted([
-        ("1", 1, "MIT"), ("1", 1, "MIT"), ("2", 0, "Apache-2.0"), ("3", 0, "GPL"), ("4", 0, "CC-BY-NC"), ("5", 0, "unknown"), ("None", 0, "MIT"), ("9", 1, "CC-BY-NC")])
+        ("1", 1, "MIT"), ("1", 1, "MIT"), ("2", 0, "Apache-2.0"), ("3", 0, "GPL"), ("4", 0, "CC-BY-NC"), ("None", 0, "MIT"), ("9", 1, "CC-BY-NC"),
+        ("10", 0, "CC-BY-SA"), ("11", 0, "MPL"), ("12", 0, "Apache-2.0"), ("13", 0, "MIT")])
+    assert {(r.paragraph, r.start % 320, r.family) for r in rows_found if r.doc_id == 14 and r.confirmed} == {(0, 0, "Apache-2.0")}
+    assert [r.family for r in rows_found if r.doc_id == 15] == ["unknown"]
     assert license_scan(docs.limit(0), trained).count() == 0
     assert "Python" not in license_scan(docs, trained)._jdf.queryExecution().toString()
+
+
+def test_licenses_without_signs_could_not_be_confirmed(spark):
+    """The cut before the classifier loses nothing: every paragraph's largest share, told plainly."""
+    words, pairs = licenses.signs()
+    listed = [licenses._pairs_of(licenses.plain_words(t)) for ts in licenses.templates().values() for t in ts]
+    listed = [p for p in listed if p]
+    for template in listed:
+        assert len([p for p in template if p not in pairs]) <= licenses.LEAST_SIMILARITY * len(template)
+    texts = [t for ts in licenses.templates().values() for t in ts] + licenses.OTHERS
+    texts += [t[: len(t) // 2] for t in texts] + [a + " " + b for a, b in zip(texts, texts[7:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: set(r._words) for r in licenses.paragraphs(docs, holding=words).collect()}
+    plain = {r.doc_id: r._words for r in licenses.paragraphs(docs).collect()}
+    for i, text in enumerate(texts):
+        assert plain[i] == licenses.plain_words(text)
+        mine = licenses._pairs_of(plain[i])
+        if max(len(mine & t) / len(t) for t in listed) > licenses.LEAST_SIMILARITY:
+            assert kept[i] & set(words) and mine & set(pairs)
