@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+
 # Selectors per field, most specific first.
 TITLE_SELECTORS = [
     "h1.product_title", "h1.product-title", ".product-title h1", ".product_title", "h1.page-title",
@@ -169,3 +171,61 @@ def selector_rows(selectors: dict = SELECTORS) -> list:
         for field, listed in selectors.items()
         for rank, selector in enumerate(listed)
     ]
+
+
+# ── Rule tables of a user ─────────────────────────────────────────────────
+
+# A rule table is configuration that every task holds; a longer one is taken for a mistake.
+MOST_RULES = 10_000
+_STEP = re.compile(rf"(?:{_PART.pattern})+")
+
+
+def _listed(rules: DataFrame, columns: list) -> list:
+    rows = rules.select(*columns).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table has at most {MOST_RULES} rows")
+    for row in rows:
+        empty = [c for c in columns if row[c] is None or row[c] == ""]
+        if empty:
+            raise ValueError(f"rule without {', '.join(empty)}: {row}")
+    return rows
+
+
+def selectors_of(rules: DataFrame, base: dict = SELECTORS) -> dict:
+    """Selectors per field: the rows of ``rules(field, rank, selector)`` by rank, then those of ``base``.
+
+    A field that ``base`` lacks, a selector that cannot be read, a null or empty value and a table
+    of more than ``MOST_RULES`` rows raise ``ValueError``. Equal ranks go by selector, repeated
+    selectors count once; an empty table gives ``base``.
+    """
+    own: dict = {field: [] for field in base}
+    for row in sorted(_listed(rules, ["field", "rank", "selector"]), key=lambda r: (r["rank"], r["selector"])):
+        if row["field"] not in own:
+            raise ValueError(f"no field {row['field']}; fields are {', '.join(base)}")
+        steps = re.sub(r'"[^"]*"', '""', row["selector"]).split()
+        if not steps or not all(_STEP.fullmatch(step) for step in steps):
+            raise ValueError(f"selector cannot be read: {row['selector']}")
+        own[row["field"]].append(row["selector"])
+    return {field: list(dict.fromkeys([*own[field], *base[field]])) for field in base}
+
+
+def platform_rules_of(rules: DataFrame, base: list = PLATFORM_RULES) -> list:
+    """Platform rules: those of ``rules(rank, platform, name, supported, pattern, evidence)``, then ``base``.
+
+    Rows of one platform are its evidence, by pattern; platforms go by their smallest rank, then by
+    id, and come before those of ``base``, of which one of the same id is replaced. Null or empty
+    values, patterns that are no regular expression, two names or verdicts for one platform and a
+    table of more than ``MOST_RULES`` rows raise ``ValueError``; an empty table gives ``base``.
+    """
+    found: dict = {}
+    rows = _listed(rules, ["rank", "platform", "name", "supported", "pattern", "evidence"])
+    for row in sorted(rows, key=lambda r: (r["rank"], r["platform"], r["pattern"])):
+        try:
+            re.compile(row["pattern"])
+        except re.error as problem:
+            raise ValueError(f"pattern cannot be read: {row['pattern']}: {problem}") from problem
+        kept = found.setdefault(row["platform"], (row["platform"], row["name"], row["supported"], []))
+        if kept[1:3] != (row["name"], row["supported"]):
+            raise ValueError(f"platform {row['platform']} is described in two ways")
+        kept[3].append((row["pattern"], row["evidence"]))
+    return [*found.values(), *(rule for rule in base if rule[0] not in found)]

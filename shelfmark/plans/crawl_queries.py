@@ -11,6 +11,7 @@ from shelfmark.operators import files as FI
 from shelfmark.operators import quality as Q
 from shelfmark.operators.catalogue import run_progress
 from shelfmark.operators.report import site_report
+from shelfmark.operators.rules import platform_rules_of
 from shelfmark.plans.registry import query
 from shelfmark.plans.tables import ATTEMPT_ORDER, ATTEMPTS_SQL, attempts, product_facts, table
 from shelfmark.runtime import scratch_path
@@ -382,6 +383,20 @@ def detect_platform(spark, sf):
     return found.select("s_suppkey", "p.id", "p.confidence", F.array_join("p.evidence", "|").alias("evidence"), "p.supported")
 
 
+@query("user_platform_rules", """SELECT s_suppkey, p.id, p.confidence, p.evidence, p.supported FROM supplier JOIN (VALUES
+  (0, 'woocommerce', 'high', 'WooCommerce plugin assets|WooCommerce CSS/JS markers', true), (1, 'shopify', 'medium', 'hosted scripts', false),
+  (2, 'legacy', 'high', 'a picture|an include', false), (3, 'opencart', 'medium', 'OpenCart routing', false),
+  (4, 'unknown', 'none', '', false), (5, 'builder', 'medium', 'a plain paragraph', true)) p(shape, id, confidence, evidence, supported) ON s_suppkey % 6 = p.shape""")
+def user_platform_rules(spark, sf):
+    """A user's platforms before the built-in ones, one of which they replace."""
+    own = spark.createDataFrame([
+        (0, "builder", "Site builder", True, r"<p>plain \d+", "a plain paragraph"), (1, "legacy", "Old theme", False, r"/wp-includes/y", "an include"),
+        (1, "legacy", "Old theme", False, r"/wp-content/x\.png", "a picture"), (2, "shopify", "Shopify", False, r"cdn\.shopify\.com", "hosted scripts"),
+    ], "rank int, platform string, name string, supported boolean, pattern string, evidence string")
+    found = _homepages(spark, sf).select("s_suppkey", D.detect_platform(F.col("html"), platform_rules_of(own)).alias("p"))
+    return found.select("s_suppkey", "p.id", "p.confidence", F.array_join("p.evidence", "|").alias("evidence"), "p.supported")
+
+
 @query("wordpress_facts", """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 2 THEN concat('6.', s_suppkey) ELSE '' END AS version,
   CASE s_suppkey % 6 WHEN 0 THEN 'shopfront' ELSE '' END AS themes,
   CASE s_suppkey % 6 WHEN 0 THEN concat('seo-', s_suppkey, '|woocommerce') ELSE '' END AS plugins,

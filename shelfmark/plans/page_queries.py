@@ -13,6 +13,7 @@ from shelfmark.operators import elements as E
 from shelfmark.operators import extract as P
 from shelfmark.operators import images as I
 from shelfmark.operators import jsonld as J
+from shelfmark.operators.rules import selectors_of
 from shelfmark.plans.registry import query
 from shelfmark.plans.tables import PARSED_SQL, part_pages, table, write_arrays
 from shelfmark.runtime import scratch_path, spread
@@ -277,6 +278,18 @@ def apply_selector_rules(spark, sf):
     return found.select("url", "field", "selector", T.clean_text(F.col("text")).alias("text"))
 
 
+@query("user_selector_rules", """
+SELECT concat('https://www.nation-', p_partkey % 25, '.example/item/', p_partkey) AS url, r.field, r.selector,
+  CASE r.field WHEN 'title' THEN p_name ELSE concat(CASE WHEN r.shape = 3 THEN 'S-' ELSE 'U-' END, p_partkey) END AS text
+FROM part JOIN (VALUES (3, 'title', 'h1'), (3, 'sku', '.sku'), (5, 'sku', '[itemprop="sku"]')) r(shape, field, selector) ON p_partkey % 6 = r.shape""")
+def user_selector_rules(spark, sf):
+    """A user's rule table before the built-in selectors; the fields that it changes."""
+    own = spark.createDataFrame([("title", 0, "h1"), ("sku", 1, '[itemprop="sku"]'), ("sku", 2, ".article b")], "field string, rank int, selector string")
+    selectors = selectors_of(own)
+    found = E.apply_selector_rules(E.page_elements(part_pages(spark, sf), selectors), E.selector_table(spark, selectors))
+    return found.where("field in ('title', 'sku')").select("url", "field", "selector", T.clean_text(F.col("text")).alias("text"))
+
+
 @query("first_layer", """SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'css' WHEN 4 THEN 'opengraph' WHEN 5 THEN 'microdata'
   ELSE 'jsonld' END AS layer FROM part""")
 def first_layer(spark, sf):
@@ -392,12 +405,12 @@ def extract_images(spark, sf):
     return found.select("p_partkey", F.array_join("images", "|").alias("images"))
 
 
-@query("array_caps", "SELECT p_partkey, least(p_size, 30) AS n FROM part")
+@query("array_caps", "SELECT p_partkey, p_size AS n_all, least(p_size, 30) AS n FROM part")
 def array_caps(spark, sf):
-    """The first thirty images, for a caller who asks for so many; the operator has no limit."""
+    """All images, and the first thirty for a caller who asks for so many; the operator has no limit."""
     many = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda n: F.concat(F.lit("/i/"), n.cast("string"), F.lit(".jpg")))
-    capped = F.slice(I.dedupe_image_variants(many), 1, 30)
-    return table(spark, sf, "part").select("p_partkey", F.size(capped).alias("n"))
+    kept = I.dedupe_image_variants(many)
+    return table(spark, sf, "part").select("p_partkey", F.size(kept).alias("n_all"), F.size(F.slice(kept, 1, 30)).alias("n"))
 
 
 @query("image_from_tag", f"""
