@@ -308,7 +308,7 @@ def _platforms(spark, sf):
 def _strategies(spark, sf, *names):
     build = {
         "sitemaps": lambda: D.urls_from_sitemaps(leaf_sitemaps(spark, sf)),
-        "shopify_api": lambda: D.urls_from_shopify(shopify_pages(spark, sf), PAGE_ITEMS).where("site not in ('nation-3', 'nation-7')"),
+        "shopify_api": lambda: D.urls_from_shopify(shopify_pages(spark, sf), PAGE_ITEMS),
         "woocommerce_api": lambda: D.urls_from_woo(post_pages(spark, sf, "permalink"), PAGE_ITEMS),
         "opencart_routes": lambda: D.urls_from_opencart(_listing_pages(spark, sf)),
         "listing_crawl": lambda: _crawled(spark, sf),
@@ -318,7 +318,7 @@ def _strategies(spark, sf, *names):
 
 MERGED_SQL = API_SQL + SITEMAP_URLS_SQL[len(PARTS_SQL):] + CRAWL_SQL[len(PARTS_SQL):] + """, found AS (
   SELECT site, url, 0 AS rank, 'sitemaps' AS strategy FROM from_sitemaps
-  UNION ALL SELECT site, concat(base, '/products/h-', p_partkey), 1, 'shopify_api' FROM served WHERE kind <> 0 AND site NOT IN ('nation-3', 'nation-7')
+  UNION ALL SELECT site, concat(base, '/products/h-', p_partkey), 1, 'shopify_api' FROM served WHERE kind <> 0
   UNION ALL SELECT site, url, 2, 'woocommerce_api' FROM served WHERE kind = 0
   UNION ALL SELECT site, concat(base, '/wares-', p_partkey), 4, 'opencart_routes' FROM urls WHERE kind = 2 AND p_partkey % 2 = 0),
 every AS (SELECT * FROM found UNION ALL SELECT site, url, 5, 'listing_crawl' FROM crawled

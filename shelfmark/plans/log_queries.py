@@ -285,16 +285,28 @@ def export_json(spark, sf):
     )
 
 
-@query("export_bundle", LATEST + """
-SELECT site, f.format, CASE f.format WHEN 'json' THEN n WHEN 'csv' THEN titled WHEN 'xml' THEN titled
-  WHEN 'excel' THEN titled WHEN 'brands' THEN brands ELSE categories END AS rows, '' AS error
-FROM (SELECT site, count(*) AS n, CAST(sum(CASE WHEN title <> '' THEN 1 ELSE 0 END) AS BIGINT) AS titled,
-    count(DISTINCT CASE WHEN brand <> 'Unknown' THEN brand END) AS brands FROM latest GROUP BY site)
-JOIN (SELECT site, count(DISTINCT c) AS categories FROM (SELECT site, unnest(categories) AS c FROM latest) GROUP BY site) USING (site)
-CROSS JOIN (VALUES ('json'), ('csv'), ('excel'), ('xml'), ('categories'), ('brands')) f(format)""")
+@query("export_bundle", LATEST + """, due AS (
+  SELECT site, count(*) AS n, CAST(sum(CASE WHEN title <> '' THEN 1 ELSE 0 END) AS BIGINT) AS titled,
+    count(DISTINCT CASE WHEN brand <> 'Unknown' THEN brand END) AS brands,
+    CAST(sum(CASE WHEN title <> '' AND price_value >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS dear FROM latest GROUP BY site),
+lists AS (SELECT site, count(DISTINCT c) AS categories FROM (SELECT site, unnest(categories) AS c FROM latest) GROUP BY site),
+asked AS (SELECT replace(lower(n_name), '_', '-') AS site FROM nation UNION ALL SELECT 'no-such-store'),
+told AS (SELECT asked.site, f.format, coalesce(titled, 0) AS titled, coalesce(CASE f.format WHEN 'json' THEN n WHEN 'categories' THEN categories
+    WHEN 'brands' THEN brands WHEN 'dear' THEN dear ELSE titled END, 0) AS rows
+  FROM asked LEFT JOIN due USING (site) LEFT JOIN lists USING (site)
+  CROSS JOIN (VALUES ('json'), ('csv'), ('excel'), ('xml'), ('categories'), ('brands'), ('dear')) f(format))
+SELECT site, format, rows, CASE WHEN format = 'dear' AND rows <> titled THEN concat('wrote ', rows, ' of ', titled, ' rows') ELSE '' END AS error FROM told""")
 def export_bundle(spark, sf):
+    """Rows of the files themselves. A store without records is asked for too, and a user's format writes dear products only."""
+    names = table(spark, sf, "nation").select(F.replace(F.lower("n_name"), F.lit("_"), F.lit("-"))).collect()
+
+    def dear(df, path, clean, partition):
+        X.export_json(df.where(C.has_title() & (F.col("price_value") >= 1000)), path, clean, partition)
+
     products = latest(spark, sf, [*EXPORT_FIELDS, "site"])
-    done = X.export_bundle(products.select("site", *EXPORT_FIELDS), scratch_path(spark, "bundle"))
+    done = X.export_bundle(
+        products.select("site", *EXPORT_FIELDS), scratch_path(spark, "bundle"), [*(r[0] for r in names), "no-such-store"],
+        [*X.FORMATS, "dear"], writers={"dear": dear})
     return done.select("site", "format", "rows", F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -515,8 +527,21 @@ def product_folder_index(spark, sf):
     return FI.product_folder_index(_tree(spark, sf))
 
 
-@query("resolve_images")
+@query("resolve_images", "WITH " + TREE_SQL + """, stored AS (
+  SELECT DISTINCT site, path, regexp_extract(path, '^(.*)/[^/]+$', 1) AS dir, regexp_extract(path, '([^/]+)[.]jpg$', 1) AS stem
+  FROM tree WHERE name = 'image'),
+known AS (SELECT tree.site, url, concat(min(folder), '/images') AS dir FROM tree
+  WHERE name = 'data.json' AND (tree.site, concat(folder, '/images')) IN (SELECT (site, dir) FROM stored) GROUP BY tree.site, url),
+tries AS (SELECT site, url, p_partkey, 0 AS first, concat(dir, '/images') AS dir FROM placed
+  UNION ALL SELECT placed.site, url, p_partkey, 3, known.dir FROM placed JOIN known USING (site, url)),
+hits AS (SELECT tries.site, url, min(concat(CASE WHEN stem = concat(p_partkey, '-0') THEN first ELSE first + 2 END, path)) AS best
+  FROM tries JOIN stored ON stored.site = tries.site AND stored.dir = tries.dir
+    AND (starts_with(stem, concat(p_partkey, '-0')) OR starts_with(concat(p_partkey, '-0'), stem)) GROUP BY tries.site, url)
+SELECT site, url, images[1] AS src, coalesce(substr(best, 2), '') AS path,
+  CASE WHEN best IS NULL THEN 'missing' WHEN best[1] IN ('2', '5') THEN 'near' ELSE 'exact' END AS how
+FROM placed LEFT JOIN hits USING (site, url)""")
 def resolve_images(spark, sf):
+    """Wanted images against all stored ones; names within a folder are compared whole."""
     tree = _tree(spark, sf)
     wanted = product_facts(spark, sf).select(
         "site", "url", "title", "categories", F.get("images", F.lit(0)).alias("src")

@@ -142,6 +142,22 @@ def test_bundle_records_a_failing_format_and_goes_on(spark, tmp_path):
     assert "nope" in done["nope"].error and done["nope"].rows == 0 and done["brands"].rows == 1
 
 
+def test_bundle_counts_what_the_files_hold(spark, tmp_path):
+    rows = [("s", "A\nB", "u1", "<b>x</b>", ["c,1", 'c"2']), ("s", "", "u2", None, []), ("007", 'C "q", x', "u3", "l1\nl2", ["c,1"])]
+    df = normalize_records(spark.createDataFrame(rows, "site string, title string, url string, long_description string, categories array<string>")).select("site", *EXPORT_FIELDS)
+
+    def first_store(df, path, clean, partition):
+        X.export_json(df.where("title <> '' AND site = 's'"), path, clean, partition)
+
+    done = X.export_bundle(df, str(tmp_path), ["s", "007", "none"], [*X.FORMATS, "own"], writers={"own": first_store}).collect()
+    got = {(r.site, r.format): (r.rows, r.error) for r in done}
+    assert len(got) == len(done) == 21
+    assert [got["s", f] for f in ("json", "csv", "excel", "xml", "categories", "own")] == [(2, None), (1, None), (1, None), (1, None), (2, None), (1, None)]
+    assert [got["007", f] for f in ("json", "csv", "excel", "xml", "categories")] == [(1, None)] * 5
+    assert got["007", "own"] == (0, "wrote 0 of 1 rows")
+    assert all(got["none", f] == (0, None) for f in (*X.FORMATS, "own"))
+
+
 def test_publishing_keeps_old_versions(spark, tmp_path):
     X.publish(spark.range(3), str(tmp_path), "001")
     X.publish(spark.range(5), str(tmp_path), "002")
