@@ -26,27 +26,27 @@ FIT_VALUES = 8 << 20
 
 
 def learn_codes(vectors: np.ndarray, tables: int = TABLES, table_bits: int = TABLE_BITS, iterations: int = ITERATIONS, seed: int = 1):
-    """(mean, directions): signs of (x - mean) @ directions are the bits of codes, table after table.
+    """Directions: signs of unit vectors @ directions are the bits of codes, table after table.
 
-    Unit vectors are centred and turned to their principal directions; a rotation is then learned by
-    turns of signs and the orthogonal fit to them, which balances the directions' variance. One
-    rotation gives as many bits as dimensions, at most 64; further ones start from other turns.
+    Unit vectors are turned to their principal directions about the origin; a rotation is then learned
+    by turns of signs and the orthogonal fit to them, which balances the directions' shares. They are
+    not centred: a cosine is an angle at the origin, and about a mean that most vectors share, near
+    ones would differ in many bits. One rotation gives as many bits as dimensions, at most 64; further
+    ones start from other turns.
     """
-    mean = vectors.mean(0)
-    centred = vectors - mean
-    d = centred.shape[1]
-    value, axes = np.linalg.eigh(centred.T @ centred)
+    d = vectors.shape[1]
+    value, axes = np.linalg.eigh(vectors.T @ vectors)
     axes = axes[:, np.argsort(-value)][:, : min(d, 64)]
     rng, out = np.random.default_rng(seed), []
     bits = tables * table_bits
     while sum(x.shape[1] for x in out) < bits:
-        flat = centred @ axes
+        flat = vectors @ axes
         turn, _ = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))
         for _ in range(iterations):
             u, _, v = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         out.append(axes @ turn)
-    return mean, np.concatenate(out, 1)[:, :bits]
+    return np.concatenate(out, 1)[:, :bits]
 
 
 def _units(batch_column: pa.Array) -> np.ndarray:
@@ -111,11 +111,11 @@ def _groups(lengths, sample_vectors: int, bits: int):
 def _encoder(models: dict, tables: int, table_bits: int):
     def encode(batches):
         for batch in batches:
-            for d, (mean, directions) in models.items():
+            for d, directions in models.items():
                 part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), d))
                 if not len(part):
                     continue
-                bit = (_units(part.column(1)) - mean) @ directions >= 0
+                bit = _units(part.column(1)) @ directions >= 0
                 code = bit.reshape(len(part), tables, table_bits) @ (1 << np.arange(table_bits))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(4)), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], names=["label", "vec", "node", "n", "codes"])
@@ -134,11 +134,9 @@ def embedding_near_dedup(
     Only vectors of one length are compared. Equal vectors of a label are one class with a count: its
     rows are linked with each other.
 
-    Codes are fitted for each length on a bounded sample and made for every class; the classes of a
-    length that has at most ``block`` of them all have the same code, so all their pairs are compared.
-    A pair is compared, by the
-    vectors themselves in double precision, if some table's bits are the same in both codes, and it
-    counts in the first such table. Buckets over ``block`` classes are split into blocks, and each
+    Codes are fitted for each length on a bounded sample and made for every class, however few a length
+    has. A pair is compared, by the vectors themselves in double precision, if some table's bits are the
+    same in both codes, and it counts in the first such table. Buckets over ``block`` classes are split into blocks, and each
     pair of blocks is a task of its own, so no task holds a whole bucket.
     """
     spark = vectors.sparkSession
@@ -150,11 +148,8 @@ def embedding_near_dedup(
     lengths = classes.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy("d").collect()
     kind = classes.schema["label"].dataType
     schema = T.StructType([T.StructField("label", kind)]).add("vec", T.ArrayType(T.DoubleType())).add("node", "long").add("n", "long").add("codes", T.ArrayType(T.LongType()))
-    coded, few = [], [r.d for r in lengths if r.c <= block]
-    if few:
-        one = classes.where(F.size("vec").isin(few)).select("label", "vec", "node", "n", F.array(F.lit(0).cast("long")).alias("codes"))
-        coded.append(stored(one, "codes"))
-    for group in _groups([r for r in lengths if r.c > block], sample_vectors, tables * table_bits):
+    coded = []
+    for group in _groups(lengths, sample_vectors, tables * table_bits):
         size = F.size("vec")
         alike = classes.where(size.isin([r.d for r in group]))
         taken = F.lit(0)

@@ -151,6 +151,26 @@ def test_links_of_embeddings_of_several_lengths(spark, monkeypatch, block, fit_v
     assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {i: (links[i], root[i]) for i in root}
 
 
+@pytest.mark.parametrize("shared", [0.0, 3.0])
+def test_recall_at_the_threshold(spark, shared):
+    """1,500 pairs between 0.98 and 0.985 among 3,000 classes; with ``shared`` all vectors lean to one direction."""
+    rng, d = np.random.default_rng(8), 64
+    lean = np.ones(d) * shared / np.sqrt(d)
+    base = rng.normal(size=(1500, d)) / np.sqrt(d) + lean
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.985, size=(1500, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside])
+    found = {r.vec_id: r for r in embedding_near_dedup(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert links.sum() >= 3000 and all(found[i].n_links <= links[i] for i in range(len(x)))
+    recall = sum(r.n_links for r in found.values()) / links.sum()
+    print("recall", recall)
+    assert recall >= 0.98
+
+
 SF = "/root/testdata/sf0.001"
 
 
