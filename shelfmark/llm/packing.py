@@ -16,7 +16,8 @@ CAPACITY = 2048
 
 # Pieces that one task packs together.
 PART_PIECES = 50_000
-ROUNDS = 3
+# Bits of a sequence's number: its bin within a part, then the part; the round is above them.
+BIN_BITS, PART_BITS = 24, 26
 
 
 def pieces(
@@ -112,7 +113,7 @@ def _pack(pool: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
         part = group["part"][0].as_py()
         return pa.table({
             **{c: group[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "copy")},
-            "sequence_id": pa.array((np.int64(number) << 58) | (np.int64(part) << 32) | own), "offset": pa.array(offset),
+            "sequence_id": pa.array((np.int64(number) << (PART_BITS + BIN_BITS)) | (np.int64(part) << BIN_BITS) | own), "offset": pa.array(offset),
             "closed": pa.array(shut[own]),
         })
 
@@ -128,35 +129,42 @@ def best_fit_packing(
     vocabulary_path: str,
     capacity: int = CAPACITY,
     part_pieces: int = PART_PIECES,
-    rounds: int = ROUNDS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, over_bound) of every piece of every document.
 
     Pieces are dealt to parts of about ``part_pieces`` by a hash, and each part is packed best fit
     decreasing. Dual-feasible bounds certify parts that need no bin less; those give only their
     emptiest bin to a common pool, the others all bins that are not full. The pool is dealt anew to
-    fewer parts and packed again, for at most ``rounds`` rounds, until the bins of all parts meet the
-    bound of all pieces; a round that would not lower the number of bins is dropped. Null and
-    empty texts have one piece that holds the end id alone. Repeated rows are packed as often as
-    they occur; an empty table gives no rows.
+    fewer parts and packed again, until the bins of all parts meet the bound of all pieces or one part
+    holds the whole pool. A round that would not lower the number of bins is dropped and the pool is
+    dealt once more; a second one in a row ends it. ``over_bound`` is how many sequences there are
+    beyond the bound, the same on all rows. Null and empty texts have one piece that holds the end id
+    alone. Repeated rows are packed as often as they occur, and it does not matter which of equal
+    lengths comes first; an empty table gives no rows.
     """
+    if not 0 < part_pieces < 1 << (BIN_BITS - 1):
+        raise ValueError(f"part_pieces {part_pieces}: at least 1 and fewer than {1 << (BIN_BITS - 1)}")
     cut = stored(
         pieces(docs, vocabulary_path, capacity, 0, id_column, text_column).withColumn("copy", F.monotonically_increasing_id()), "pieces"
     )
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     lengths = np.array([(r.length, r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()], np.int64).reshape(-1, 2)
     least = lower_bound(lengths[:, 0], capacity, lengths[:, 1])
-    done, pool, shut, held = None, cut, 0, None
-    for number in range(rounds):
+    done, pool, shut, held, number, idle = None, cut, 0, None, 0, 0
+    while True:
         parts = max(1, -(-pool.count() // part_pieces))
         packed = stored(_pack(pool, number, parts, capacity), "packed")
         closed, still = (packed.where(c).select("sequence_id").distinct().count() for c in ("closed", "not closed"))
+        number += 1
         if held is not None and closed + still >= held:
-            break
+            idle += 1
+            if idle == 2 or parts == 1:
+                break
+            continue
         kept = packed.where("closed").select(*names)
-        done, pool, shut, held = kept if done is None else done.unionByName(kept), packed.where("not closed"), shut + closed, still
+        done, pool, shut, held, idle = kept if done is None else done.unionByName(kept), packed.where("not closed"), shut + closed, still, 0
         if shut + held <= least or not still or parts == 1:
             break
-    return done.unionByName(pool.select(*names))
+    return done.unionByName(pool.select(*names)).withColumn("over_bound", F.lit(int(shut + held - least)).cast("long"))

@@ -100,6 +100,9 @@ def test_packing_is_gapless_whole_and_certified(spark, library):
     import numpy as np
     length = np.array([r.length for r in found])
     assert lower_bound(length, 64) <= len(bins) <= best_fit_decreasing(length, 64)[2] + 2
+    assert {r.over_bound for r in found} == {len(bins) - lower_bound(length, 64)}
+    with pytest.raises(ValueError):
+        best_fit_packing(docs, PATH, part_pieces=0)
     assert best_fit_packing(docs.limit(0), PATH).count() == 0
 
 
