@@ -7,11 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shelfmark.llm.common import slices, utf8
 
-# Fitting: about so many texts of each language are read, and so many contexts are kept.
+# Fitting: about so many texts of each language are read, and the trees of all languages together hold
+# at most so many contexts, the same number each.
 SAMPLE_TEXTS = 2000
 CONTEXTS = 8192
 ORDER = 3
@@ -82,10 +83,12 @@ def fit(
 ) -> Model | None:
     """Fit on a bounded sample: about ``sample_texts`` texts a language, chosen by a hash of the id.
 
-    Contexts are strings of up to ``order`` bytes, the ``contexts`` most frequent ones; each is known
-    to all languages. A symbol's probability after a context is its count over count plus distinct
-    symbols there; what is left is the escape to the context without its oldest byte, down to 1/256.
-    None if no text has a language.
+    Each language has a tree of its own: its most frequent strings of up to ``order`` bytes, so many
+    that all trees together hold at most ``contexts``; ties go to shorter, then lesser strings. A
+    symbol's probability after a context of the tree is its count over count plus distinct symbols
+    there; what is left is the escape to the context without its oldest byte, down to 1/256. The trees
+    share one automaton over the contexts of any of them; where a language does not hold a context, its
+    longest held end decides. None if no text has a language.
     """
     rows = labelled.select(
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column)).alias("h")
@@ -96,14 +99,16 @@ def fit(
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_texts / n)))])
     place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     grams = _counts(rows.where(place < share[F.col("lang")]).select("lang", "text"), order)
-    kept = grams.where(F.col("n") <= order).groupBy("n", "gram").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "n", "gram").limit(contexts - 1)
-    nodes = [b""] + [int(r.gram).to_bytes(r.n, "big") for r in kept.collect()]
+    each = max(1, (contexts - 1) // len(sizes))
+    by_count = Window.partitionBy("lang").orderBy(F.desc("c"), "n", "gram")
+    kept = grams.where(F.col("n") <= order).withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= each).select("lang", "n", "gram")
+    nodes = [b""] + sorted({int(r.gram).to_bytes(r.n, "big") for r in kept.collect()}, key=lambda s: (len(s), s))
     number = {s: i for i, s in enumerate(nodes)}
-    # counts after kept contexts only: no more rows than contexts times symbols times languages
-    context = kept.select((F.col("n") + 1).alias("n"), F.col("gram").alias("lead"))
+    # counts after a language's own contexts only: no more rows than contexts times symbols
+    context = kept.select("lang", (F.col("n") + 1).alias("n"), F.col("gram").alias("lead"))
     after = grams.withColumn("lead", F.shiftright("gram", 8))
     one = after.where("n = 1").select("lang", "n", "gram", "c")
-    more = after.where("n > 1").join(F.broadcast(context), ["n", "lead"]).select("lang", "n", "gram", "c")
+    more = after.where("n > 1").join(F.broadcast(context), ["lang", "n", "lead"]).select("lang", "n", "gram", "c")
     held = one.unionByName(more).toArrow()
     languages = sorted(sizes)
     symbols = sorted({int(g) for n, g in zip(held["n"].to_pylist(), held["gram"].to_pylist()) if n == 1})

@@ -50,6 +50,39 @@ def test_code_lengths_are_sums_of_single_bytes(spark):
     assert (chance[:, 1:].sum(1) <= 1 + 1e-5).all()
 
 
+def test_trees_are_fitted_by_language(spark):
+    """Code lengths against trees counted, cut and walked plainly; one language has a hundredth of the bytes."""
+    import collections
+    import math
+
+    import numpy as np
+    rng, order, contexts = random.Random(5), 3, 91
+    rows = [(i, made(lang, rng, n), lang) for i, (lang, n) in enumerate([("aa", 40)] * 30 + [("bb", 40)] * 20 + [("cc", 12)])]
+    model = fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), contexts=contexts, order=order)
+    trees = {}
+    for lang in SYLLABLES:
+        grams = collections.Counter()
+        for _, text, own in rows:
+            t = text.encode()
+            if own == lang:
+                grams.update(t[i : i + n] for n in range(1, order + 2) for i in range(len(t) - n + 1))
+        ranked = sorted((g for g in grams if len(g) <= order), key=lambda g: (-grams[g], len(g), g))
+        trees[lang] = {c: {g[-1]: k for g, k in grams.items() if g[:-1] == c} for c in [b"", *ranked[: (contexts - 1) // 3]]}
+    assert any(c not in trees["aa"] for c in trees["cc"])
+
+    def chance(tree, context, byte):
+        after = tree.get(context, {})
+        if byte in after:
+            return after[byte] / (sum(after.values()) + len(after))
+        escape = len(after) / (sum(after.values()) + len(after)) if after else 1.0
+        return escape * (chance(tree, context[1:], byte) if context else 1 / 256)
+
+    texts = [made(lang, rng).encode() for lang in SYLLABLES] + [b"", "zñ?".encode()]
+    at = np.cumsum([0] + [len(t) for t in texts])
+    plain = [[-sum(math.log2(chance(trees[lang], t[max(0, i - order) : i], t[i])) for i in range(len(t))) for lang in sorted(SYLLABLES)] for t in texts]
+    assert np.allclose(model.lengths(np.frombuffer(b"".join(texts), np.uint8), at), plain, rtol=1e-5)
+
+
 def test_toxicity_of_held_out_texts(spark):
     rng = random.Random(3)
     rude = ["grubb", "snarl", "vexor"]
