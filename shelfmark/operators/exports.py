@@ -43,8 +43,8 @@ def _writer(df: DataFrame, partition: str | None):
 
 
 def append_product_log(df: DataFrame, path: str) -> None:
-    """Append one JSON line per product; each append is new files, which streams can follow."""
-    df.write.mode("append").option("ignoreNullFields", False).json(path)
+    """Append one JSON line per product; each append is new compressed files, which streams can follow."""
+    df.write.mode("append").option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def export_json(df: DataFrame, path: str, clean: bool = True, partition: str | None = None) -> None:

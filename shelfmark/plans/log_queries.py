@@ -325,10 +325,13 @@ def append_product_log(spark, sf):
     )
 
 
-def _dirty_lines(spark, sf):
-    """The log as text: with blank, torn, list-valued and scalar lines in between."""
+def _dirty_lines(spark, sf, by=None):
+    """The log as text: with blank, torn, list-valued and scalar lines in between; neighbours by a column on request."""
     log = product_log(spark, sf)
-    log = log.select("site", "l_orderkey", F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"}).alias("line"))
+    columns = log.columns
+    if by:  # records move, not the text made of them
+        log = log.hint("rebalance", by)
+    log = log.select("site", "l_orderkey", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
     good = F.col("line")
     noise = (
         F.when(F.col("l_orderkey") % 4 == 0, F.array(good, F.lit("")))
@@ -339,13 +342,19 @@ def _dirty_lines(spark, sf):
     return log.select("site", F.explode(noise).alias("value"))
 
 
+def _write_lines(lines, path, *partition):
+    """Logs are kept compressed; a file is as large as the task that writes it makes it."""
+    lines.write.partitionBy(*partition).option("compression", "gzip").text(path)
+
+
 READ_SQL = LATEST + """
 SELECT site, url, title, brand, price_value, array_to_string(categories, '|') AS categories,
   in_stock, l_orderkey AS last_order FROM latest"""
 
 
 def _read_back(records):
-    return C.latest_per_url(records, ORDER).select(
+    used = ["site", "title", "brand", "price_value", "categories", "in_stock", "l_orderkey"]
+    return C.latest_per_url(records, ORDER, used).select(
         "site", "url", "title", "brand", "price_value",
         F.array_join("categories", "|").alias("categories"), "in_stock", F.col("l_orderkey").alias("last_order"),
     )
@@ -354,7 +363,7 @@ def _read_back(records):
 @query("read_product_log", READ_SQL)
 def read_product_log(spark, sf):
     path = scratch_path(spark, "lines")
-    _dirty_lines(spark, sf).select("value").write.text(path)
+    _write_lines(_dirty_lines(spark, sf).select("value"), path)
     return _read_back(L.read_product_log(spark, path, EXTRA))
 
 
@@ -362,8 +371,8 @@ def read_product_log(spark, sf):
 def scan_sites(spark, sf):
     """One log per store folder, written in one job; the store is read off the path."""
     root = scratch_path(spark, "sites")
-    lines = _dirty_lines(spark, sf).withColumn("log", F.lit(L.LOG_NAME))
-    lines.hint("rebalance", "site").write.partitionBy("site", "log").text(root)
+    lines = _dirty_lines(spark, sf, by="site").withColumn("log", F.lit(L.LOG_NAME))
+    _write_lines(lines, root, "site", "log")
     extra = {k: v for k, v in EXTRA.items() if k != "site"}
     return _read_back(L.scan_sites(spark, root, extra))
 
@@ -372,7 +381,7 @@ def scan_sites(spark, sf):
 def load_products(spark, sf):
     """The log is preferred to the (empty) snapshot beside it."""
     folder = scratch_path(spark, "store")
-    _dirty_lines(spark, sf).select("value").write.text(f"{folder}/products.jsonl")
+    _write_lines(_dirty_lines(spark, sf).select("value"), f"{folder}/products.jsonl")
     return _read_back(L.load_products(spark, folder, EXTRA))
 
 
