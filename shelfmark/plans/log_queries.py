@@ -426,7 +426,9 @@ UNION ALL SELECT 'categories', count(DISTINCT c) FROM (SELECT unnest(categories)
 UNION ALL SELECT 'failures', count(*) FROM latest WHERE title = ''""")
 def write_snapshot(spark, sf):
     root = scratch_path(spark, "published")
-    products = latest(spark, sf, EXPORT_FIELDS).drop("position")
+    found = scratch_path(spark, "found")  # published twice, and read for the failures
+    latest(spark, sf, EXPORT_FIELDS).drop("position").write.parquet(found)
+    products = spark.read.parquet(found)
     failed = products.where(~C.has_title()).select("url", F.lit("no product data found in page").alias("reason"))
     X.write_snapshot(products, failed, root, "001")
     X.write_snapshot(products, failed, root, "002")

@@ -18,3 +18,20 @@ def test_logs_are_written_compressed(spark, tmp_path):
     append_product_log(spark.createDataFrame([("a",)], "title string").coalesce(1), f"{tmp_path}/appended")
     assert len(list(tmp_path.glob("log/site=s/*.txt.gz"))) == 1 and len(list(tmp_path.glob("appended/*.json.gz"))) == 1
     assert spark.read.text(f"{tmp_path}/appended").first().value == '{"title":"a"}'
+
+
+def test_a_snapshot_computes_its_products_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    plain = (*["x"] * 4, ["c"], ["i"], "", "", 1.0, "USD", "s", "", True, {})
+    by = {"categories": ["c"], "images": ["i"], "price_value": 1.0, "in_stock": True, "extracted_by": {}}
+    assert len(plain) == len(PRODUCT_SCHEMA.names)
+    rows = spark.sparkContext.parallelize([tuple(by.get(n, "x") for n in PRODUCT_SCHEMA.names)], 1).map(counted)
+    made = spark.createDataFrame(rows, PRODUCT_SCHEMA).withColumn("position", F.lit(1))
+    monkeypatch.setattr(Q, "latest", lambda *_: made)
+    assert {r.part: r.n for r in Q.write_snapshot(spark, "").collect()} == {"products": 1, "categories": 1, "failures": 0}
+    assert seen.value == 1
