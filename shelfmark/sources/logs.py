@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfmark.functions.base import let
 from shelfmark.functions.text import float_text
 from shelfmark.sources.arrays import read_json_array
 from shelfmark.schema import ALL_FIELDS, FIELD_TYPES, LIST_FIELDS, PRODUCT_SCHEMA, normalize_records
@@ -45,9 +46,9 @@ def parse_product_lines(lines: DataFrame, extra: dict | None = None) -> DataFram
     wanted = {n: direct[n].simpleString() if n in direct else "variant" for n in ALL_FIELDS}
     wanted.update(extra or {})
     record = f"struct<{','.join(f'{n}:{t}' for n, t in wanted.items())}>"
-    parsed = lines.where(F.col("value").rlike(r"^[\s\x1c-\x1f\u00a0\ufeff]*\{")).select(
-        *carried, F.try_variant_get(F.try_parse_json("value"), "$", record).alias("_r")
-    )
+    # A filter on the parsed object would be pushed below it and parse every line twice.
+    objects = F.filter(F.array(F.try_variant_get(F.try_parse_json("value"), "$", record)), lambda r: r.isNotNull())
+    parsed = lines.where(F.col("value").rlike(r"^[\s\x1c-\x1f\u00a0\ufeff]*\{")).select(*carried, F.explode(objects).alias("_r"))
     texts = [n for n in ALL_FIELDS if n not in FIELD_TYPES]
 
     def listed(name):
@@ -55,15 +56,10 @@ def parse_product_lines(lines: DataFrame, extra: dict | None = None) -> DataFram
         alone = F.when(value.isNotNull() & ~F.is_variant_null(value), F.transform(F.array(value), _text_of))
         return F.coalesce(F.try_variant_get(value, "$", "array<string>"), alone).alias(name)
 
-    # One short expression over all text fields keeps the generated code small.
-    read = parsed.where("_r is not null").select(
-        F.transform(F.array(*[F.col(f"_r.{n}") for n in texts]), _text_of).alias("_t"),
-        *[listed(n) for n in LIST_FIELDS],
-        *[F.col(f"_r.{n}").alias(n) for n in [*direct, *(extra or {})]],
-        *carried,
-    )
-    fields = [F.get("_t", F.lit(i)).alias(n) for i, n in enumerate(texts)]
-    return normalize_records(read.select(*fields, *[c for c in read.columns if c != "_t"]))
+    # One expression a field, so that fields nobody asks for cost nothing; ``let`` keeps it short.
+    fields = {n: let(F.col(f"_r.{n}"), _text_of).alias(n) for n in texts}
+    fields |= {n: listed(n) for n in LIST_FIELDS} | {n: F.col(f"_r.{n}").alias(n) for n in [*direct, *(extra or {})]}
+    return normalize_records(parsed.select(*fields.values(), *carried))
 
 
 def read_product_log(spark: SparkSession, path: str, extra: dict | None = None) -> DataFrame:

@@ -35,3 +35,11 @@ def test_a_snapshot_computes_its_products_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "latest", lambda *_: made)
     assert {r.part: r.n for r in Q.write_snapshot(spark, "").collect()} == {"products": 1, "categories": 1, "failures": 0}
     assert seen.value == 1
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([('{"url": "u", "title": 7}',), ("{",), ("[1]",), ('{"x": 1}',)], "value string")
+    read = parse_product_lines(lines)
+    assert sorted((r.url, r.title) for r in read.collect()) == [("", ""), ("u", "7")]
+    filters = [x for x in read._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("parseJson" in x or "parse_json" in x for x in filters)
