@@ -37,19 +37,30 @@ def dedupe_image_variants(images: Column) -> Column:
         area = F.regexp_extract(url, _SIZE_SUFFIX, 1).try_cast("long") * F.regexp_extract(
             url, _SIZE_SUFFIX, 2
         ).try_cast("long")
-        return F.struct(
-            F.regexp_replace(url, _SIZE_SUFFIX, "").alias("base"),
-            F.when(url.rlike(_SIZE_SUFFIX), 0).otherwise(1).alias("original"),
-            F.coalesce(area, F.lit(0)).alias("area"),
-            (-position).alias("first"),
-            url.alias("url"),
+        resized = F.struct(
+            F.regexp_replace(url, _SIZE_SUFFIX, "").alias("base"), F.lit(0).alias("original"),
+            F.coalesce(area, F.lit(0)).alias("area"), (-position).alias("first"), url.alias("url"),
         )
+        whole = F.struct(
+            url.alias("base"), F.lit(1).alias("original"), F.lit(0).cast("long").alias("area"),
+            (-position).alias("first"), url.alias("url"),
+        )
+        return F.when(url.rlike(_SIZE_SUFFIX), resized).otherwise(whole)
+
+    def ends(runs, step):
+        """Of each run of one base in a sorted array, the item that has no neighbour of it at ``step``."""
+        def beside(i):
+            at = i + step
+            return F.when((at >= 0) & (at < F.size(runs)), F.get(runs, at)["base"])
+        return F.filter(runs, lambda x, i: ~x["base"].eqNullSafe(beside(i)))
 
+    # Sorted twice by base: its best item ends a run of one, its first item starts a run of the other.
     def best_per_base(items):
-        bases = F.array_distinct(F.transform(items, lambda i: i["base"]))
-        return F.transform(
-            bases, lambda base: F.array_max(F.filter(items, lambda i: i["base"] == base))["url"]
-        )
+        best = let(F.array_sort(items), lambda s: ends(s, 1))
+        places = F.transform(items, lambda x: F.struct(x["base"].alias("base"), (-x["first"]).alias("place")))
+        first = let(F.array_sort(places), lambda s: ends(s, -1))
+        chosen = F.zip_with(first, best, lambda f, x: F.struct(f["place"].alias("place"), x["url"].alias("url")))
+        return F.transform(F.array_sort(chosen), lambda x: x["url"])
 
     kept = F.filter(images, lambda u: F.coalesce(u, F.lit("")) != "")
     return let(F.transform(kept, described), best_per_base)

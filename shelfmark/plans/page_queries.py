@@ -410,7 +410,7 @@ def array_caps(spark, sf):
     """All images, and the first thirty for a caller who asks for so many; the operator has no limit."""
     many = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda n: F.concat(F.lit("/i/"), n.cast("string"), F.lit(".jpg")))
     kept = I.dedupe_image_variants(many)
-    return table(spark, sf, "part").select("p_partkey", F.size(kept).alias("n_all"), F.size(F.slice(kept, 1, 30)).alias("n"))
+    return spread(table(spark, sf, "part")).select("p_partkey", F.size(kept).alias("n_all"), F.size(F.slice(kept, 1, 30)).alias("n"))
 
 
 @query("image_from_tag", f"""

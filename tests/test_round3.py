@@ -43,3 +43,13 @@ def test_lines_are_parsed_once(spark):
     assert sorted((r.url, r.title) for r in read.collect()) == [("", ""), ("u", "7")]
     filters = [x for x in read._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in x]
     assert filters and not any("parseJson" in x or "parse_json" in x for x in filters)
+
+
+def test_many_pictures_of_one_product(spark):
+    few = ["/b-20x30.jpg", "/a.jpg", "/b-5x5.jpg", None, "/a-9x9.jpg", "", "/c.jpg", "/b-30x20.jpg", "/c.jpg"]
+    many = [f"/i/{i}.jpg" for i in range(20000)]
+    df = spark.createDataFrame([(0, few), (1, many), (2, []), (3, None)], "k int, v array<string>").coalesce(1)
+    start = time.time()
+    found = {r.k: r.x for r in df.select("k", dedupe_image_variants(F.col("v")).alias("x")).collect()}
+    assert found == {0: ["/b-20x30.jpg", "/a.jpg", "/c.jpg"], 1: many, 2: [], 3: None}
+    assert time.time() - start < 20
