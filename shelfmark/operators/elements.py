@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,6 +25,7 @@ ELEMENT = (
     "attrs:map<string,string>,texts:array<string>,html:string>"
 )
 ERROR_TAG = "!error"
+PAGES_AT_ONCE = 128
 
 # HTML elements without an end tag, and those closed by a following sibling.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -207,6 +209,13 @@ def _read(words, page):
                  "texts": [type(problem).__name__], "html": None}]
 
 
+def _read_batches(words, batches):
+    """Elements are several times as large as their pages, so they are handed back a few pages at a time."""
+    for pages in batches:
+        for start in range(0, len(pages), PAGES_AT_ONCE):
+            yield pages.iloc[start:start + PAGES_AT_ONCE].map(lambda page: _read(words, page))
+
+
 def element_array(page: Column, selectors: dict = SELECTORS, keep_path: bool = False) -> Column:
     """``array<struct>`` of the elements of one page that some rule matches or some layer reads.
 
@@ -216,8 +225,8 @@ def element_array(page: Column, selectors: dict = SELECTORS, keep_path: bool = F
     words = _Vocabulary(selectors, keep_path)
 
     @F.pandas_udf(f"array<{ELEMENT}>")
-    def read_pages(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: _read(words, page))
+    def read_pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _read_batches(words, batches)
 
     # Non-deterministic for the planner: it must not be copied into the expressions that use it.
     return read_pages.asNondeterministic()(page)

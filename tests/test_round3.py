@@ -53,3 +53,13 @@ def test_many_pictures_of_one_product(spark):
     found = {r.k: r.x for r in df.select("k", dedupe_image_variants(F.col("v")).alias("x")).collect()}
     assert found == {0: ["/b-20x30.jpg", "/a.jpg", "/c.jpg"], 1: many, 2: [], 3: None}
     assert time.time() - start < 20
+
+
+def test_elements_come_back_a_few_pages_at_a_time(spark):
+    words = E._Vocabulary(E.SELECTORS, False)
+    n = 3 * E.PAGES_AT_ONCE + 1
+    parts = list(E._read_batches(words, iter([pd.Series(["<h1>x</h1>"] * n), pd.Series([], dtype=object)])))
+    assert [len(p) for p in parts] == [E.PAGES_AT_ONCE] * 3 + [1]
+    pages = spark.range(n).coalesce(1).select("id", F.concat(F.lit("<h1>"), F.col("id").cast("string"), F.lit("</h1>")).alias("html"))
+    found = pages.select("id", E.element_array(F.col("html"))[0]["texts"][0].alias("t")).collect()
+    assert len(found) == n and all(r.t == str(r.id) for r in found)
