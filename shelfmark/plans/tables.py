@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import html_escape
-from shelfmark.runtime import spread
+from shelfmark.runtime import shares, spread
 
 # Unique per line item.
 ORDER = [
@@ -61,8 +61,12 @@ def product_facts(spark, sf_dir) -> DataFrame:
 def product_log(spark, sf_dir) -> DataFrame:
     """One record per line item: the product log, with the columns of ``ORDER``."""
     lines = table(spark, sf_dir, "lineitem").select(*ORDER)
-    # Both sides grow with the data and neither may be broadcast; a hot part is split by AQE.
-    facts = product_facts(spark, sf_dir).hint("merge")
+    # Both sides grow with the data and neither may be broadcast. A hot part of a small table is split
+    # by AQE; in many partitions it is one task, whose sort may spill.
+    facts, n = product_facts(spark, sf_dir), shares(lines)
+    if n:
+        lines, facts = lines.repartition(n, "l_partkey"), facts.repartition(n, "p_partkey")
+    facts = facts.hint("merge")
     quantity = F.col("l_quantity").cast("long").cast("string")
     return lines.join(facts, F.col("l_partkey") == F.col("p_partkey")).select(
         "title", "brand", F.concat(F.lit("USD "), quantity).alias("price"), "url", "categories", "images",

@@ -9,6 +9,7 @@ from shelfmark.operators import elements as E
 from shelfmark.operators.exports import append_product_log
 from shelfmark.operators.images import dedupe_image_variants
 from shelfmark.plans import log_queries as Q
+from shelfmark.runtime import shares
 from shelfmark.schema import PRODUCT_SCHEMA
 from shelfmark.sources.logs import parse_product_lines
 
@@ -63,3 +64,15 @@ def test_elements_come_back_a_few_pages_at_a_time(spark):
     pages = spark.range(n).coalesce(1).select("id", F.concat(F.lit("<h1>"), F.col("id").cast("string"), F.lit("</h1>")).alias("html"))
     found = pages.select("id", E.element_array(F.col("html"))[0]["texts"][0].alias("t")).collect()
     assert len(found) == n and all(r.t == str(r.id) for r in found)
+
+
+def test_large_scans_get_partitions_by_their_size(spark, tmp_path):
+    spark.range(4000).repartition(8).write.parquet(f"{tmp_path}/many")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        many = spark.read.parquet(f"{tmp_path}/many")
+        assert shares(many) == 16 * many.rdd.getNumPartitions() == 128
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert shares(spark.read.parquet(f"{tmp_path}/one")) is None
