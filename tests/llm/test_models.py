@@ -146,3 +146,49 @@ def test_licenses_without_signs_could_not_be_confirmed(spark):
         mine = licenses._pairs_of(plain[i])
         if max(len(mine & t) / len(t) for t in listed) > licenses.LEAST_SIMILARITY:
             assert kept[i] & set(words) and mine & set(pairs)
+
+
+def test_toxicity_counts_pairs(spark):
+    """Both orders of the model against plain dictionaries; a pair tells what its words alone do not."""
+    import numpy as np
+    from shelfmark.llm import toxicity as module
+    rng, d = random.Random(4), module.DISCOUNT
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=12) + (["x", "y"] if i % 2 else ["y", "x"])), i % 2) for i in range(60)]
+    model = fit_toxicity(spark.createDataFrame(docs, "doc_id long, text string, toxic int").select("doc_id", "text").repartition(3),
+                         spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int"), count_texts=1000)
+    part = {r.doc_id: r.p for r in spark.range(60).selectExpr("id AS doc_id", f"pmod(xxhash64(id), {1 << 30}) / {float(1 << 30)} AS p").collect()}
+    seen = [{}, {}]
+    for i, text, y in docs:
+        if part[i] < 0.7:
+            for pair in zip(["<"] + text.split(), text.split()):
+                seen[y][pair] = seen[y].get(pair, 0) + 1
+    both = {p: sum(s.get(p, 0) for s in seen) for p in {*seen[0], *seen[1]}}
+    known = sorted({b for _, b in both})
+
+    def lower(pairs, backoff):
+        follows = {b: sum(q[1] == b for q in pairs) for b in known}
+        left = d * max(sum(n > 0 for n in follows.values()), 1)
+        return {b: (max(follows.get(b, 0) - d, 0) + left * backoff[b]) / max(len(pairs), 1) for b in [*known, "?"]}
+
+    every = lower(both, dict.fromkeys([*known, "?"], 1 / (len(known) + 1)))
+    alone = [lower(s, every) for s in seen]
+
+    def after(a, pairs, base):
+        own = {b: n for (c, b), n in pairs.items() if c == a}
+        total = sum(own.values())
+        return {b: (max(own.get(b, 0) - d, 0) + d * len(own) * base[b]) / total for b in base} if total else base
+
+    def plain(k, a):
+        scaled = {b: p * alone[k][b] / every[b] for b, p in after(a, both, every).items()}
+        return after(a, seen[k], {b: p / sum(scaled.values()) for b, p in scaled.items()})
+
+    first = ["<", *known, "?"]
+    hashed = dict(zip("".join(known) + "?", module._bigrams(*module.utf8(module.pa.array([" ".join(known) + " q"])))[2])) | {"<": module._START}
+    a, b = zip(*[(p, q) for p in first for q in [*known, "?"]])
+    pairs, back = np.unique(model.pairs(np.array([hashed[p] for p in a], np.uint64), np.array([hashed[q] for q in b], np.uint64)), return_inverse=True)
+    found = model.chances(pairs)[back]
+    want = np.array([[plain(k, p)[q] for k in (0, 1)] for p, q in zip(a, b)])
+    assert np.allclose(found, want) and np.allclose(found.reshape(len(first), -1, 2).sum(1), 1)
+    texts = [(i, "a b c " + ("x y" if i % 2 else "y x") + " d e") for i in range(20)]
+    scored = toxicity(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in scored)
