@@ -480,13 +480,10 @@ def read_page_archive(spark, sf):
     """Pages written one file each under the hash of their address; half of what is asked for is missing."""
     path = scratch_path(spark, "archive")
     stored = pages(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
-    name = F.concat(U.html_cache_key(F.col("url")), F.lit(".html"))
-    files = stored.select(name.alias("name"), F.col("html").alias("value"))
-    files.hint("rebalance").write.partitionBy("name").option("compression", "gzip").text(path)
+    SC.write_page_archive(stored, path)
     asked = stored.select(F.explode(F.array("url", F.concat("url", F.lit("-gone")))).alias("url"), "page_id")
     found = SC.read_page_archive(spark, path, asked)
-    # The writer ends each file with a line break.
-    return found.select("url", "page_id", (F.length("html") - 1).cast("long").alias("chars"))
+    return found.select("url", "page_id", F.length("html").cast("long").alias("chars"))
 
 
 @query("read_url_queue", "SELECT DISTINCT url FROM pages")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import strip
@@ -9,6 +14,35 @@ from shelfmark.functions.urls import html_cache_key
 from shelfmark.sources.arrays import read_json_array
 
 
+def write_page_archive(pages: DataFrame, path: str) -> int:
+    """Store each of ``pages(url, html)`` as ``<sha1 of the URL>.html.gz`` in the folder ``path``; how many.
+
+    ``path`` must be one that executors reach by Arrow's file systems. Files are written beside and
+    moved, so a repeated task replaces a file by an equal one. Of pages with one key one stays; pages
+    without text are empty files.
+    """
+    spark = pages.sparkSession
+    system, folder = pa.fs.FileSystem.from_uri(path)
+    system.create_dir(folder)
+
+    def write(batches):
+        system, folder = pa.fs.FileSystem.from_uri(path)
+        n = 0
+        for batch in batches:
+            for key, html in zip(*batch.columns):
+                beside = f"{folder}/.{key}.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside, compression=None) as f:
+                    f.write(gzip.compress(html.as_py() or b"", 6, mtime=0))
+                system.move(beside, f"{folder}/{key}.html.gz")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    # Each file waits for its folder more than it computes, so tasks go by the session's partitions, not by bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = pages.select(html_cache_key(F.col("url")).alias("key"), F.col("html").cast("binary").alias("html"))
+    return sum(r.n for r in keyed.repartition(parts, "key").mapInArrow(write, "n long").collect())
+
+
 def read_page_archive(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
     """Archived pages of ``urls(url, ...)``, stored as ``<sha1 of the URL>.html.gz``.
 

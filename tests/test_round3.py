@@ -1,5 +1,7 @@
 """What one task, one file or one line costs: sizes that must not follow the table's."""
 
+import gzip
+import hashlib
 import time
 
 import pandas as pd
@@ -9,8 +11,10 @@ from shelfmark.operators import elements as E
 from shelfmark.operators.exports import append_product_log
 from shelfmark.operators.images import dedupe_image_variants
 from shelfmark.plans import log_queries as Q
+from shelfmark.plans import QUERIES
 from shelfmark.runtime import shares
 from shelfmark.schema import PRODUCT_SCHEMA
+from shelfmark.sources import crawl as C
 from shelfmark.sources.logs import parse_product_lines
 
 
@@ -76,3 +80,22 @@ def test_large_scans_get_partitions_by_their_size(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/one")
     assert shares(spark.read.parquet(f"{tmp_path}/one")) is None
+
+
+def test_an_archive_has_a_file_and_no_folder_for_each_page(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", f"<p>é{i}\r\n</p>\n") for i in range(40)] + [(50, "empty", ""), (51, "none", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr("shelfmark.plans.page_queries.scratch_path", lambda *_: f"{tmp_path}/archive")
+    found = {r.url: r.chars for r in QUERIES["read_page_archive"](spark, str(tmp_path)).collect()}
+    assert found == {url: len(html or "") for _, url, html in rows}
+    name = {url: hashlib.sha1(url.encode()).hexdigest() + ".html.gz" for _, url, _ in rows}
+    assert sorted(f.name for f in (tmp_path / "archive").iterdir()) == sorted(name.values())
+    assert gzip.open(tmp_path / "archive" / name["u7"]).read().decode() == rows[7][2]
+    # a page fetched again replaces its file; corrupt and missing ones are misses
+    assert C.write_page_archive(spark.createDataFrame([("u1", "new")], "url string, html string"), f"{tmp_path}/archive") == 1
+    whole = (tmp_path / "archive" / name["u2"]).read_bytes()
+    (tmp_path / "archive" / name["u2"]).write_bytes(whole[: len(whole) // 2])
+    asked = spark.createDataFrame([("u1",), ("u2",), ("u3",), ("gone",)], "url string")
+    assert {r.url: r.html for r in C.read_page_archive(spark, f"{tmp_path}/archive", asked).collect()} == {"u1": "new", "u3": rows[3][2]}
+    none = C.write_page_archive(spark.createDataFrame([], "url string, html string"), f"{tmp_path}/nothing")
+    assert none == 0 and C.read_page_archive(spark, f"{tmp_path}/nothing", asked).count() == 0
