@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.functions.paths import image_path, product_dir, safe_path_segment
 from shelfmark.functions.text import html_to_markdown, html_to_text
 from shelfmark.functions.urls import host_of, site_name, store_host, with_params
+from shelfmark.runtime import stored
 
 # File kinds by extension.
 FILE_KINDS = {
@@ -131,18 +132,19 @@ def resolve_images(wanted: DataFrame, files: DataFrame, index: DataFrame, root:
     ``wanted(site, url, title, categories, src)``; ``files(site, path)``. Two folders are tried,
     the computed one and then the one ``index`` knows for the URL. In each: the exact computed
     path, the same name, a similar name. What is left is looked for in the flat layout of older
-    data, then in any folder of the product's name. All of it is equi-joins on whole keys.
+    data, then in any folder of the product's name. All of it is equi-joins on whole keys. What
+    several joins read is stored once.
     """
     base_name = name_of(F.substring_index(F.coalesce("src", F.lit("")), "?", 1))
     computed = product_dir(root, F.col("categories"), F.col("title"), F.col("url"))
     indexed = index.select("site", "url", F.concat_ws("/", "folder", F.lit("images")).alias("_indexed"))
-    asked = wanted.select(
+    asked = stored(wanted.select(
         "site", "url", "src", F.concat_ws("/", computed, F.lit("images")).alias("_computed"),
         base_name.alias("_name"), safe_path_segment(F.col("title")).alias("_folder_name"),
-    ).where("_name <> ''").join(indexed, ["site", "url"], "left")
-    listed = files.select(
+    ).where("_name <> ''").join(indexed, ["site", "url"], "left"), "asked")
+    listed = stored(files.select(
         "site", "path", parent_of(F.col("path")).alias("dir"), name_of(F.col("path")).alias("name")
-    )
+    ), "listed")
     row = ["site", "url", "src"]
 
     # Ranks: exact path, same name, similar name; 0 to 2 in the first folder, 3 to 5 in the second.
@@ -155,17 +157,16 @@ def resolve_images(wanted: DataFrame, files: DataFrame, index: DataFrame, root:
             (4, F.concat(F.col("_indexed"), F.lit("/"), F.col("_name"))),
         )
     ])
-    exact = (
+    exact = stored(
         asked.select(*row, F.explode(tries).alias("t")).select(*row, "t.*")
         .where(F.coalesce(F.col("path"), F.lit("")) != "")
         .join(listed.select("site", "path"), ["site", "path"])
-        .groupBy(*row).agg(F.min(F.struct("rank", "path")).alias("best"))
-    )
+        .groupBy(*row).agg(F.min(F.struct("rank", "path")).alias("best")), "exact")
     settled = exact.where("best.rank <= 1").select(*row)
     similar = _similar_files(asked.join(settled, row, "left_anti"), listed).select(
         *row, F.struct((F.col("try") * 3 + 2).alias("rank"), "path").alias("best")
     )
-    direct = exact.unionByName(similar).groupBy(*row).agg(F.min("best").alias("best"))
+    direct = stored(exact.unionByName(similar).groupBy(*row).agg(F.min("best").alias("best")), "direct")
     parent_name, grand_name = name_of(F.col("dir")), name_of(parent_of(F.col("dir")))
     flat = F.when(grand_name == "images", F.struct(F.lit(6).alias("rank"), parent_name.alias("_folder_name")))
     nested = F.when(parent_name == "images", F.struct(F.lit(7).alias("rank"), grand_name.alias("_folder_name")))

@@ -12,7 +12,7 @@ from shelfmark.plans.registry import query
 from shelfmark.plans.tables import (
     EXTRA, FACTS_SQL, LATEST_SQL, LOG_SQL, ORDER, product_facts, product_log, table, write_arrays,
 )
-from shelfmark.runtime import scratch_path
+from shelfmark.runtime import scratch_path, stored
 from shelfmark.schema import EXPORT_FIELDS, export_rows, normalize_records
 from shelfmark.sources import logs as L
 
@@ -504,7 +504,7 @@ def product_documents(spark, sf):
 def _tree(spark, sf):
     """A file listing: documents and images, some images under other names or in older places."""
     key = F.col("p_partkey")
-    facts = product_facts(spark, sf)
+    facts = product_facts(spark, sf, heavy=True)
     folder = product_dir(_root(), F.col("categories"), F.col("title"), F.col("url"))
     # Older trees placed a fifth of the products elsewhere.
     where = F.when(key % 5 == 0, F.concat_ws("/", _root(), F.lit("Old"), F.concat(F.lit("f"), key.cast("string")))).otherwise(folder)
@@ -553,8 +553,8 @@ SELECT site, url, images[1] AS src, coalesce(substr(best, 2), '') AS path,
 FROM placed LEFT JOIN hits USING (site, url)""")
 def resolve_images(spark, sf):
     """Wanted images against all stored ones; names within a folder are compared whole."""
-    tree = _tree(spark, sf)
-    wanted = product_facts(spark, sf).select(
+    tree = stored(_tree(spark, sf), "tree")
+    wanted = product_facts(spark, sf, heavy=True).select(
         "site", "url", "title", "categories", F.get("images", F.lit(0)).alias("src")
     )
     return FI.resolve_images(wanted, tree.select("site", "path").distinct(), FI.product_folder_index(tree), _root())

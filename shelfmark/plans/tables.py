@@ -30,9 +30,10 @@ def _site(key: str) -> Column:
     return F.concat(F.lit("nation-"), (F.col(key) % 25).cast("string"))
 
 
-def product_facts(spark, sf_dir) -> DataFrame:
-    """One row per part with the fields of its record that do not change between scrapes."""
+def product_facts(spark, sf_dir, heavy: bool = False) -> DataFrame:
+    """One row per part with the fields of its record that do not change between scrapes; for heavy work on all cores."""
     part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    part = spread(part) if heavy else part
     stores = nation.select(
         F.col("n_nationkey").cast("long").alias("_store"),
         F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("site"),

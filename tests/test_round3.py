@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import elements as E
 from shelfmark.operators.exports import append_product_log
+from shelfmark.operators.files import resolve_images
 from shelfmark.operators.images import dedupe_image_variants
 from shelfmark.plans import log_queries as Q
 from shelfmark.plans import QUERIES
@@ -99,3 +100,28 @@ def test_an_archive_has_a_file_and_no_folder_for_each_page(spark, tmp_path, monk
     assert {r.url: r.html for r in C.read_page_archive(spark, f"{tmp_path}/archive", asked).collect()} == {"u1": "new", "u3": rows[3][2]}
     none = C.write_page_archive(spark.createDataFrame([], "url string, html string"), f"{tmp_path}/nothing")
     assert none == 0 and C.read_page_archive(spark, f"{tmp_path}/nothing", asked).count() == 0
+
+
+def test_images_are_resolved_from_listings_read_once(spark):
+    context = spark.sparkContext
+    seen = {name: context.accumulator(0) for name in ("wanted", "files", "index")}
+
+    def counted(name, rows, schema):
+        count = seen[name]
+
+        def add(row):
+            count.add(1)
+            return row
+
+        return spark.createDataFrame(context.parallelize(rows, 1).map(add), schema)
+
+    wanted = [("s", f"u{i}", f"T{i}", ["C"], f"https://s.test/{n}") for i, n in enumerate(["a.jpg", "b.jpg", "c.jpg", "d.jpg", "e.jpg"])]
+    files = [("s", p) for p in ("r/C/T0/images/a.jpg", "r/C/T1/images/b_1.jpg", "old/images/c.jpg", "x/T3/images/d.jpg")]
+    got = resolve_images(
+        counted("wanted", wanted, "site string, url string, title string, categories array<string>, src string"),
+        counted("files", files, "site string, path string"), counted("index", [("s", "u2", "old")], "site string, url string, folder string"), F.lit("r"))
+    found = [(r.url, r.path, r.how) for r in got.collect()]
+    paths = [p for _, p in files] + [""]
+    assert sorted(found) == sorted([(f"u{i}", p, h) for i, (p, h) in enumerate(zip(paths, ["exact", "near", "exact", "legacy", "missing"]))])
+    # what is wanted is read for its folders and for the result
+    assert {k: v.value for k, v in seen.items()} == {"wanted": 10, "files": 4, "index": 1}
