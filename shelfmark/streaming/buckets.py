@@ -78,16 +78,16 @@ def merge_buckets(batch: DataFrame, table: str, checkpoint: str, batch_id: int,
     prior = manifest(spark, table, own)
     buckets = prior.buckets if prior else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     version = f"{int(prior.version.split('-')[0]) + 1 if prior else 0:012d}{own}"
-    batch = batch.persist()
-    try:
-        touched = sorted(r[0] for r in batch.select(bucket_of(keys, buckets)).distinct().collect())
-        before = prior.read(spark, table, touched) if prior else None
-        after = merge(before, batch)
-        folder = f"data/{version}"
-        placed = after.withColumn("_bucket", bucket_of(keys, buckets))
-        placed.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/{folder}")
-    finally:
-        batch.unpersist()
+    # In files, which no manifest names: cached, a batch of many keys would leave its own merge too little memory.
+    arrived = f"{table}/data/arrived-{version}"
+    batch.write.mode("overwrite").parquet(arrived)
+    batch = spark.read.schema(batch.schema).parquet(arrived)
+    touched = sorted(r[0] for r in batch.select(bucket_of(keys, buckets)).distinct().collect())
+    before = prior.read(spark, table, touched) if prior else None
+    after = merge(before, batch)
+    folder = f"data/{version}"
+    placed = after.withColumn("_bucket", bucket_of(keys, buckets))
+    placed.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/{folder}")
     written = {int(name.split("=")[1]): f"{folder}/{name}" for name in _names(spark, f"{table}/{folder}") if name.startswith("_bucket=")}
     folders = {b: f for b, f in (prior.folders if prior else {}).items() if b not in touched} | written
     held = Manifest(version, buckets, after.schema, folders)

@@ -105,23 +105,17 @@ def _references(products: DataFrame, sign: int) -> DataFrame:
 def stream_stats(stream: DataFrame, table: str, stats: str, checkpoint: str, order: list, buckets: int | None = None, **options):
     """The same, with the catalogue's statistics kept up after every batch.
 
-    Each value has a count of the records that hold it. A batch adds what its URLs hold now and
-    takes what they held before; values whose count leaves or reaches 0 change the number of
-    distinct ones. Neither the catalogue nor the counts are read but for the touched buckets.
+    Each value has a count of the records that hold it. A batch takes what its buckets held before
+    and adds what they hold now, so records that it left alone cancel out without a join; values
+    whose count leaves or reaches 0 change the number of distinct ones. Neither the catalogue nor
+    the counts are read but for the touched buckets, and the batch itself is not read again.
     ``stats`` has a version a batch, ``<stats>/references`` the counts.
     """
     references = f"{stats}/references"
 
     def on_batch(change, urls, batch_id):
         spark = change.after.sparkSession
-        own = F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.struct(*order))
-        keys = urls.select(F.col("url").alias("_url"), F.col("_own").alias("_place")).distinct()
-
-        def asked(rows):
-            same = F.col("url").eqNullSafe(F.col("_url")) & own.eqNullSafe(F.col("_place"))
-            return rows.join(keys, same, "left_semi")
-
-        moved = _references(asked(change.before), -1).unionByName(_references(asked(change.after), 1))
+        moved = _references(change.before, -1).unionByName(_references(change.after, 1))
         moved = moved.groupBy("kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
 
         def merge(before, arrived):

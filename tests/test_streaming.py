@@ -107,6 +107,27 @@ def test_statistics_equal_the_recount_after_every_batch(spark, tmp_path):
         assert sorted(read_buckets(spark, table).select(*columns).collect(), key=str) == sorted(whole.select(*columns).collect(), key=str)
 
 
+def test_statistics_of_many_urls_need_no_broadcast_and_one_reading(spark, tmp_path):
+    rows = spark.range(6000).select(
+        F.concat(F.lit("https://a.example/product/"), (F.col("id") % 4000).cast("string")).alias("url"), F.lit("t").alias("title"),
+        F.concat(F.lit("B"), (F.col("id") % 7).cast("string")).alias("brand"), F.array(F.lit("x")).alias("categories"),
+        F.array(F.lit("i"), F.lit("j")).alias("images"), F.col("id").alias("seq"))
+    source, table, stats = (str(tmp_path / name) for name in ("in", "table", "stats"))
+    seen = spark.sparkContext.accumulator(0)
+    noted = F.udf(lambda title: seen.add(1) or title)
+    # the planner takes a batch of compressed lines for small, so what is left to it to broadcast may be of any size
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "32KB")
+    try:
+        for part in range(2):
+            rows.where(F.col("seq") % 2 == part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).parquet(source).withColumn("title", noted("title"))
+            S.stream_stats(stream, table, stats, str(tmp_path / "checkpoint"), ["seq"], buckets=4)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert seen.value == 6000
+    assert read_published(spark, stats).collect() == catalogue_stats(latest_per_url(rows, ["seq"])).collect()
+
+
 def summed(before, arrived):
     rows = arrived if before is None else before.unionByName(arrived)
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
@@ -133,3 +154,20 @@ def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
     (checkpoint / "metadata").write_text('{"id":"r"}')
     merge_buckets(one, table, str(checkpoint), 0, ["key"], lambda before, arrived: before.join(arrived.select("key"), "key", "left_anti"))
     assert read_buckets(spark, table).count() == 1999
+
+
+def test_a_batch_is_kept_in_files_while_it_is_merged(spark, tmp_path):
+    checkpoint, table, kept = tmp_path / "checkpoint", str(tmp_path / "table"), []
+    checkpoint.mkdir()
+    (checkpoint / "metadata").write_text('{"id":"q"}')
+
+    def merge(before, arrived):
+        kept.append((arrived.storageLevel.useMemory, len(arrived.inputFiles()) > 0))
+        return summed(before, arrived)
+
+    many = spark.range(20).select(F.col("id").alias("key"), F.lit(1).cast("long").alias("n"))
+    for batch in range(2):
+        version = merge_buckets(many, table, str(checkpoint), batch, ["key"], merge, 4).version
+    assert kept == [(False, True)] * 2
+    assert version in os.listdir(f"{table}/data") and not [f for f in os.listdir(f"{table}/data") if f.startswith("arrived")]
+    assert {r.n for r in read_buckets(spark, table).collect()} == {2}
